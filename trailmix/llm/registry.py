@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmix.llm import packing, token_counts
+from trailmix.llm import packing, quality, token_counts, toxicity
+from trailmix.llm.common import shipped
+
+_MODULES = (token_counts, quality, toxicity, packing)
+
+
+def _with_code(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        shipped(spark)
+        return query(spark, sf_dir)
+
+    return run
 
-_MODULES = (token_counts, packing)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 for _module in _MODULES:
-    QUERIES[_module.NAME] = _module.query
+    QUERIES[_module.NAME] = _with_code(_module.query)
     if getattr(_module, "ORACLE", None):
         ORACLES[_module.NAME] = _module.ORACLE
