@@ -71,7 +71,7 @@ def test_toxicity_on_documents(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     hit = [p for _, p, t in held if t == 1]
     false = [p for _, p, t in held if t == 0]
-    assert np.mean(hit) > 0.9 and np.mean(false) < 0.05
+    assert np.mean(hit) > 0.85 and np.mean(false) < 0.02
 
 
 def test_obfuscated_words_are_restored(spark):

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmix.llm import packing, quality, token_counts, toxicity
+from trailmix.llm import fingerprints, packing, quality, secrets, token_counts, toxicity, warc
 from trailmix.llm.common import shipped
 
-_MODULES = (token_counts, quality, toxicity, packing)
+_MODULES = (fingerprints, token_counts, secrets, quality, warc, toxicity, packing)
 
 
 def _with_code(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
