@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmix.llm import byte_bpe, fingerprints, packing, quality, secrets, token_counts, toxicity, warc
+from trailmix.llm import byte_bpe, fingerprints, packing, quality, secrets, substrings, token_counts, toxicity, warc
 from trailmix.llm.common import shipped
 
-_MODULES = (byte_bpe, fingerprints, token_counts, secrets, quality, warc, toxicity, packing)
+_MODULES = (byte_bpe, fingerprints, token_counts, secrets, substrings, quality, warc, toxicity, packing)
 
 
 def _with_code(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
