@@ -48,7 +48,7 @@ def test_windows_against_brute_force(spark, monkeypatch, seed):
 
 def test_shards_keep_their_state_between_portions():
     text = b" ".join(b"w%d" % i for i in range(25))
-    rows = [(d, 0, 0, 7, 3, text) for d in range(5)]
+    rows = [(d, 0, 0, 7, 6, text) for d in range(5)]
     want = [(d, 0, 0, 6) for d in range(1, 5)]
     shard = substrings.Shard()
     assert list(shard.resolve(rows)) == want

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailmix.llm.bits import bit_table, members
 from trailmix.llm.common import stored, table
 from trailmix.llm.shingling import Words, grams, least_over, portions
 
@@ -73,13 +74,7 @@ def recurring_bits(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.maximum(n, 1 + again).astype(np.int64))], names=["least", "n"])
 
     counted = docs.select("text").mapInArrow(run, "least long, n long").groupBy("least").agg(F.sum("n").alias("n"))
-    low = F.col("least").bitwiseAND(F.lit((1 << BITS) - 1).cast("bigint"))
-    bits = F.expr("shiftleft(1L, cast(least & 63L AS int))")
-    packed = counted.where("n > 1").select(F.shiftright(low, 6).alias("slot"), bits.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
-    got = packed.toArrow()
-    out = np.zeros(1 << (BITS - 6), np.uint64)
-    out[got.column("slot").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    return out
+    return bit_table(counted.where("n > 1"), "least", BITS)
 
 
 def runs(flags_break: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,8 +95,7 @@ def scanned(docs: DataFrame, bits) -> DataFrame:
             orders, keys, texts = (c.to_pylist() for c in batch.columns)
             for a, b in portions(texts, PORTION):
                 v = Windows(texts[a:b])
-                low = v.least & np.uint64((1 << BITS) - 1)
-                asked = np.flatnonzero(known[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1))
+                asked = np.flatnonzero(members(known, v.least))
                 if not len(asked):
                     continue
                 text, start, place = v.text[asked], v.start[asked], v.at[asked]
