@@ -88,17 +88,18 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     placed = F.col("doc_id").isNotNull()
     block = F.floor(F.col("doc_id") / WIDTH)
-    rows = docs.withColumn("_part", F.when(placed, block).otherwise(F.xxhash64("text"))).withColumn("_placed", placed)
-    window = Window.partitionBy("_placed", "_part").orderBy("doc_id", "text")
+    apart = F.lit(10**16) + F.shiftrightunsigned(F.xxhash64("text"), 1) % 10**15  # beyond any block
+    rows = docs.withColumn("_part", F.when(placed, block).otherwise(apart))
+    window = Window.partitionBy("_part").orderBy("doc_id", "text")
     inside = rows.withColumn("_next", F.lead(F.struct("text", "own")).over(window))
     firsts = docs.where(placed).groupBy(block.alias("_part")).agg(F.min_by("text", F.struct("doc_id", "text")).alias("text"))
     heads = with_sketch(firsts, "text", "own").select(F.col("_part").alias("next_key"), F.struct("text", "own").alias("_head"))
-    tails = successors(firsts, "_part").join(heads, "next_key").select(F.lit(True).alias("_placed"), "_part", F.lit(True).alias("_last"), "_head")
-    found = inside.withColumn("_last", F.col("_next").isNull()).join(tails, ["_placed", "_part", "_last"], "left")
+    tails = successors(firsts, "_part").join(heads, "next_key").select(F.col("_part").alias("_tail"), "_head")
+    # joined on the window's own key, so that the texts are not shuffled again
+    found = inside.join(tails, (F.col("_part") == F.col("_tail")) & F.col("_next").isNull(), "left")
     after = F.coalesce("_next", "_head")
-    empty = F.array().cast(SKETCH)
-    text, own = F.when(F.col("_placed"), after["text"]), F.when(F.col("_placed"), after["own"])
-    return found.select(*docs.columns, F.coalesce(text, F.lit("")).alias("next_text"), F.coalesce(own, empty).alias("next_own"))
+    text, own = F.when(placed, after["text"]), F.when(placed, after["own"])
+    return found.select(*docs.columns, F.coalesce(text, F.lit("")).alias("next_text"), F.coalesce(own, F.array().cast(SKETCH)).alias("next_own"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
