@@ -225,7 +225,7 @@ def document_score(hits: list[float]) -> float:
 
 
 def toxicity(
-    docs: DataFrame, labels: DataFrame, rows: int = 20_000, strength: float = 10.0, least: int = 4, share: float = 0.02, precision: float = 0.7, most: int = 20_000,
+    docs: DataFrame, labels: DataFrame, rows: int = 20_000, strength: float = 10.0, least: int = 6, share: float = 0.02, precision: float = 0.7, most: int = 20_000,
     stems: int = 4, threshold: float = 0.3, folds: int = 4, held: int = 2,
 ) -> DataFrame:
     """All columns of ``docs`` with held_out, score (0 to 1) and predicted.
