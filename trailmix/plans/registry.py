@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trailmix.plans import corpus_queries
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _module in (corpus_queries,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
