@@ -78,7 +78,7 @@ def poisson_weight(draw: Column) -> Column:
 
 def poisson_replicates(rows: DataFrame, replicates: int, seed: int) -> DataFrame:
     """Pooled recall of each replicate; base, second list and denominator of a session share its weight. Pre-aggregates before the shuffle."""
-    drawn = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).cast("bigint"))
+    drawn = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))))
     w = poisson_weight(portable_hash(F.col("session"), F.col("replicate"), F.lit(seed)))
     drawn = drawn.withColumn("_w", w)
     return drawn.groupBy("replicate").agg(F.sum(F.col("_w") * F.col("base_hits")).alias("base"), F.sum(F.col("_w") * F.col("second_hits")).alias("second"), F.sum(F.col("_w") * F.col("denominator")).alias("denominator"))
