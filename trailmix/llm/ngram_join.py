@@ -7,8 +7,9 @@ frequent last (those decide least) and the others in the order of differently se
 
 1. Tokens that recur in prefixes of the first order are counted; sets without one have no partner.
 2. Members of a prefix group meet one pivot each; verified pairs merge most of each family of near copies.
-3. Pairs of different components that share a prefix token under every order are pruned by a bound on their
-   difference from parity bitmaps, and verified on whole sets. So no group emits the pairs within a family.
+3. Members of a group that are of different components are paired. So no group emits the pairs within a family.
+In both, a group drops at once the pairs whose parity bitmaps show that they differ too much, and pairs go on to the
+comparison of whole sets only if they also share a prefix token under each further order.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from trailmix.llm.shingling import Words, grams, mixed, portions
 NAME = "op1_ngram_jaccard_join"
 PORTION = 4_000_000
 TOKEN_BITS, CLASS_BITS = 26, 23
-PARITY = 1024
+PARITY = 512
 SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 
 
@@ -92,9 +93,18 @@ def unpacked_set(data: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def parity(tokens: np.ndarray) -> bytes:
+def parity(tokens: np.ndarray) -> np.ndarray:
     """Bit i: whether an odd number of tokens fall on it. The bits in which two sets differ are at most the tokens in which they do."""
-    return np.packbits(np.bincount((tokens >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1).tobytes()
+    return np.packbits(np.bincount((tokens >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1).view(np.int64)
+
+
+WORDS = [f"p{k}" for k in range(PARITY // 64)]
+
+
+def near(n: np.ndarray, bits: np.ndarray, m: int, other: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets of sizes ``n`` may be similar to one of size ``m``: differ <= n + m - 2 both and 100 both >= percent (n + m - both)."""
+    differ = np.bitwise_count((bits ^ other).view(np.uint64)).sum(axis=1).astype(np.int64)
+    return differ * (100 + percent) <= (n.astype(np.int64) + m) * (100 - percent)
 
 
 class Join:
@@ -132,8 +142,8 @@ class Join:
         return tokens[sort], ranks[sort]
 
     def prefixes(self, hot) -> DataFrame:
-        """(ord, token, class, n) of sets that have a recurring prefix token in the first order; of that order only those tokens."""
-        size, percent, orders = self.size, self.percent, self.orders
+        """(token, class, n, parity words) for the recurring prefix tokens of each set under the first order."""
+        size, percent = self.size, self.percent
 
         def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, sets in texts_of(batches, size):
@@ -147,22 +157,19 @@ class Join:
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, sets in texts_of(batches, size):
-                rows: list[tuple[int, np.ndarray, np.uint64, int]] = []
+                rows: list[tuple[np.ndarray, np.uint64, int, np.ndarray]] = []
                 for c, t in sets.each():
                     shared = prefix(t, 0, percent, *hot.value)
                     shared = shared[members(known.value, shared)]
                     if len(shared):
-                        rows.append((0, shared, c, len(t)))
-                        rows += [(k, prefix(t, k, percent, *hot.value), c, len(t)) for k in range(1, orders)]
+                        rows.append((shared, c, len(t), parity(t)))
                 if rows:
-                    counts = [len(r[1]) for r in rows]
-                    columns = [
-                        pa.array(np.repeat([r[0] for r in rows], counts).astype(np.int32)), signed(np.concatenate([r[1] for r in rows])),
-                        signed(np.repeat(np.array([r[2] for r in rows], np.uint64), counts)), pa.array(np.repeat([r[3] for r in rows], counts).astype(np.int32)),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, names=["ord", "token", "class", "n"])
+                    counts = [len(r[0]) for r in rows]
+                    bits = np.repeat(np.array([r[3] for r in rows]), counts, axis=0)
+                    columns = [signed(np.concatenate([r[0] for r in rows])), signed(np.repeat(np.array([r[1] for r in rows], np.uint64), counts)), pa.array(np.repeat([r[2] for r in rows], counts).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(len(WORDS)))], names=["token", "class", "n", *WORDS])
 
-        return stored(self.docs.mapInArrow(emit, "ord int, token long, class long, n int"), "join-prefixes")
+        return stored(self.docs.mapInArrow(emit, "token long, class long, n int, " + ", ".join(f"{w} long" for w in WORDS)), "join-prefixes")
 
     def grouped(self, rows: DataFrame, pairs_of, schema: str) -> DataFrame:
         """Apply ``pairs_of(class, n, label)`` to each group of equal token, streamed in order of size; groups may be of any length."""
@@ -198,38 +205,40 @@ class Join:
         """(a, b): each class b of a prefix group with one pivot a of like size; of several pivots that with most shared tokens."""
         percent = self.percent
 
-        def run(classes: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            at = 0
+        def run(classes: np.ndarray, n: np.ndarray, *words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            bits, at = np.column_stack(words), 0
             while at < len(n):
                 end = int(np.searchsorted(n, 100 * int(n[at]) // percent, "right"))
-                some = np.unique(classes[at:end])
-                pivot = some[np.argmin(mixed(some.view(np.uint64)))]
-                others = some[some != pivot]
+                k = at + int(np.argmin(mixed(classes[at:end].view(np.uint64))))
+                fine = near(n[at:end], bits[at:end], int(n[k]), bits[k], percent) & (classes[at:end] != classes[k])
+                others = np.unique(classes[at:end][fine])
                 if len(others):
-                    yield np.full(len(others), pivot), others
+                    yield np.full(len(others), classes[k]), others
                 at = end
 
-        met = self.grouped(prefixes.where("ord = 0").select("token", "class", "n"), run, "a long, b long")
+        met = self.grouped(prefixes.select("token", "class", "n", *WORDS), run, "a long, b long")
         counted = met.groupBy("a", "b").count()
         return counted.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
 
-    def crossing(self, prefixes: DataFrame, order: int) -> DataFrame:
-        """Distinct pairs a < b of different labels and like size that share a prefix token under the order."""
+    def crossing(self, labelled: DataFrame) -> DataFrame:
+        """Distinct pairs a < b of different labels and like size that share a prefix token and may be near by their bitmaps."""
         percent = self.percent
 
-        def run(classes: np.ndarray, n: np.ndarray, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def run(classes: np.ndarray, n: np.ndarray, labels: np.ndarray, *words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             fresh = np.append(True, (classes[1:] != classes[:-1]) | (n[1:] != n[:-1]))
             classes, n, labels = classes[fresh], n[fresh], labels[fresh]
             if len(labels) < 2 or (labels == labels[0]).all():
                 return
+            bits = np.column_stack(words)[fresh]
             ends = np.searchsorted(n, 100 * n.astype(np.int64) // percent, "right").tolist()
             for i, end in enumerate(ends):
-                others = classes[i + 1 : end][labels[i + 1 : end] != labels[i]]
-                if len(others):
-                    yield np.minimum(others, classes[i]), np.maximum(others, classes[i])
+                if end > i + 1:
+                    fine = (labels[i + 1 : end] != labels[i]) & near(n[i + 1 : end], bits[i + 1 : end], int(n[i]), bits[i], percent)
+                    others = classes[i + 1 : end][fine]
+                    if len(others):
+                        yield np.minimum(others, classes[i]), np.maximum(others, classes[i])
 
-        rows = prefixes.where(F.col("ord") == order).select("token", "class", "n", "label")
-        return self.grouped(rows, run, "a long, b long").distinct()
+        return self.grouped(labelled.select("token", "class", "n", "label", *WORDS), run, "a long, b long").distinct()
 
     def described(self, wanted: DataFrame, describe, name: str) -> DataFrame:
         """(class, n, ``name``) for the classes in ``wanted``, made anew from the texts; a bit table keeps most others back."""
@@ -252,35 +261,19 @@ class Join:
     def ends(self, pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
 
-    def pruned(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose parity bitmaps differ in no more bits than a similar pair's sets may in tokens."""
-        percent = self.percent
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                a, b, a_n, b_n = (batch.column(k).to_numpy() for k in range(4))
-                left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (4, 5))
-                differ = np.bitwise_count(left ^ right).sum(axis=1).astype(np.int64)
-                total = a_n.astype(np.int64) + b_n
-                # differ <= |x| + |y| - 2 both and 100 both >= percent (|x| + |y| - both)
-                good = differ * (100 + percent) <= total * (100 - percent)
-                yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
-
-        facts = stored(self.described(self.ends(pairs), parity, "bits"), "join-parity")
-        return stored(self.attached(pairs, facts, "bits").mapInArrow(run, "a long, b long"), "join-pruned")
-
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Pairs of similarity ``percent`` or more, on whole sets."""
-        percent = self.percent
+        """Pairs that share a prefix token under each further order too and are of similarity ``percent`` or more on whole sets."""
+        percent, orders, none = self.percent, self.orders, (np.empty(0, np.uint64), np.empty(0, np.uint64))
+
+        def candidate(x: np.ndarray, y: np.ndarray) -> bool:
+            return all(len(np.intersect1d(prefix(x, k, percent, *none), prefix(y, k, percent, *none), assume_unique=True)) for k in range(1, orders))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = []
                 for a_n, b_n, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
-                    both = len(np.intersect1d(unpacked_set(x), unpacked_set(y), assume_unique=True))
-                    keep.append(similar(a_n, b_n, both, percent))
+                    left, right = unpacked_set(x), unpacked_set(y)
+                    keep.append(candidate(left, right) and similar(a_n, b_n, len(np.intersect1d(left, right, assume_unique=True)), percent))
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
         facts = self.described(self.ends(pairs), packed_set, "tokens")
@@ -290,14 +283,10 @@ class Join:
         members_ = self.members()
         hot = self.spark.sparkContext.broadcast(self.frequent())
         prefixes = self.prefixes(hot)
-        links = self.verified(self.pruned(stored(self.pivots(prefixes), "join-pivots")))
+        links = self.verified(stored(self.pivots(prefixes), "join-pivots"))
         labels = components(links)
         labelled = prefixes.join(labels.toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-        labelled = stored(labelled, "join-labelled")
-        candidates = self.crossing(labelled, 0)
-        for order in range(1, self.orders):
-            candidates = candidates.join(self.crossing(labelled, order), ["a", "b"], "left_semi")
-        more = self.verified(self.pruned(stored(candidates, "join-candidates")))
+        more = self.verified(stored(self.crossing(labelled), "join-candidates"))
         labels = components(links.union(more)).toDF("class", "label")
         least = members_.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
         classes = least.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
