@@ -48,14 +48,14 @@ SOURCE_SQL = (
         "source_std_share": "sqrt((" + " + ".join(f"({c}_h - {_mean}) * ({c}_h - {_mean})" for c in SRC) + ") / 5)",
     } | {f"source_{a}_{b}_{k}": e.format(a=f"{a}_h", b=f"{b}_h") for a, b in (("time", "cart"), ("time", "order"), ("cart", "order")) for k, e in (("product", "{a} * {b}"), ("difference", "{a} - {b}"), ("ratio", "{a} / (0.01::DOUBLE + {b})"))})
     + " FROM sh_"
-)
+).replace(", 9) AS", ", 6) AS")
 KINDS = {"all": "true", "clicks": "event_type = 0", "carts": "event_type = 1", "orders": "event_type = 2"}
 
 
 @add("feat_source", SOURCE_SQL)
 def _(s: Steps) -> DataFrame:
     rows = features.source_features(s.cand)
-    return rounded(rows.select("session", "aid", *[c for c in rows.columns if c.startswith("source_")]))
+    return rounded(rows.select("session", "aid", *[c for c in rows.columns if c.startswith("source_")]), 6)
 
 
 @add("feat_context", "SELECT session, count(*) AS context_events, count(DISTINCT aid) AS context_unique, " + sql_of({
@@ -162,7 +162,7 @@ CORE = [f"source_{c}_{k}" for c in SRC for k in ("score", "rank", "present", "sh
 
 @add("core_feature_rows", f"SELECT session, aid, {', '.join(CORE)} FROM ({SOURCE_SQL.replace(SHARES, '')})".replace("SELECT session", SHARES + " SELECT session", 1))
 def _(s: Steps) -> DataFrame:
-    return rounded(features.source_features(s.cand).select("session", "aid", *CORE))
+    return rounded(features.source_features(s.cand).select("session", "aid", *CORE), 6)
 
 
 @add("feature_catalog")
