@@ -28,7 +28,7 @@ def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
 
 
 def sql_of(columns: dict[str, str], digits: int = 9) -> str:
-    return ", ".join(f"round({e}, {digits}) AS {n}" for n, e in columns.items())
+    return ", ".join(f"round({e}, {digits}) + 0 AS {n}" for n, e in columns.items())  # + 0: no negative zero
 
 
 SRC = candidates.SOURCES
@@ -48,7 +48,7 @@ SOURCE_SQL = (
         "source_std_share": "sqrt((" + " + ".join(f"({c}_h - {_mean}) * ({c}_h - {_mean})" for c in SRC) + ") / 5)",
     } | {f"source_{a}_{b}_{k}": e.format(a=f"{a}_h", b=f"{b}_h") for a, b in (("time", "cart"), ("time", "order"), ("cart", "order")) for k, e in (("product", "{a} * {b}"), ("difference", "{a} - {b}"), ("ratio", "{a} / (0.01::DOUBLE + {b})"))})
     + " FROM sh_"
-).replace(", 9) AS", ", 6) AS")
+).replace(", 9) AS", ", 6) AS").replace(", 9) + 0 AS", ", 6) + 0 AS")
 KINDS = {"all": "true", "clicks": "event_type = 0", "carts": "event_type = 1", "orders": "event_type = 2"}
 
 
