@@ -60,3 +60,20 @@ def test_long_chains_are_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 90), (7, 7)], "a long, b long")
     got = {r.node: r.label for r in components.components(links).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 90: 90, 100: 90}
+
+
+def test_sketches_and_ranges():
+    import numpy as np
+
+    draw = np.random.default_rng(5)
+    for n, m in ((3, 3), (500, 700), (40, 3000)):
+        x, y = (np.unique(draw.integers(0, 1 << 63, k).astype(np.uint64)) for k in (n, m))
+        y = np.union1d(x[: n // 2], y)
+        found = ngram_join.differing(ngram_join.sketch(x), ngram_join.sketch(y))
+        assert found <= len(np.setxor1d(x, y)) and found == ngram_join.differing(ngram_join.sketch(y), ngram_join.sketch(x))
+    starts, ends = np.array([2, 5, 9, 0]), np.array([4, 5, 12, 1])
+    got = [(int(i), int(k)) for a, b in ngram_join.ranges(np.arange(4), starts, ends, 3) for i, k in zip(a, b)]
+    assert got == [(i, k) for i in range(4) for k in range(starts[i], ends[i])]
+    groups, labels = np.array([0, 0, 0, 1, 2, 2]), np.array([7, 9, 9, 4, 5, 5])
+    assert ngram_join.most_common(groups, labels).tolist() == [False, True, True, True, True, True]
+    assert ngram_join.like_size(groups, np.array([100, 117, 118, 10, 5, 6]), 85).tolist() == [2, 3, 3, 4, 5, 6]

@@ -8,8 +8,8 @@ frequent last (those decide least) and the others in the order of differently se
 1. Tokens that recur in prefixes of the first order are counted; sets without one have no partner.
 2. Members of a prefix group meet one pivot each; verified pairs merge most of each family of near copies.
 3. Members of a group that are of different components are paired. So no group emits the pairs within a family.
-In both, a group drops at once the pairs whose parity bitmaps show that they differ too much, and pairs go on to the
-comparison of whole sets only if they also share a prefix token under each further order.
+In both, a group drops at once the pairs whose parity bitmaps show that they differ too much, then finer bitmaps are
+compared, and pairs go on to the comparison of whole sets only if they also share a prefix token under each further order.
 """
 
 from __future__ import annotations
@@ -99,42 +99,91 @@ def parity(tokens: np.ndarray) -> np.ndarray:
 
 
 WORDS = [f"p{k}" for k in range(PARITY // 64)]
+ROW = ["doc_id", "class", "n", "sketch", "token"]
 
 
-def near(n: np.ndarray, bits: np.ndarray, m: int, other: np.ndarray, percent: int) -> np.ndarray:
-    """Which sets of sizes ``n`` may be similar to one of size ``m``: differ <= n + m - 2 both and 100 both >= percent (n + m - both)."""
+def near(n: np.ndarray, bits: np.ndarray, m: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets of sizes ``n`` may be similar to those of sizes ``m``: differ <= n + m - 2 both and 100 both >= percent (n + m - both)."""
     differ = np.bitwise_count((bits ^ other).view(np.uint64)).sum(axis=1).astype(np.int64)
     return differ * (100 + percent) <= (n.astype(np.int64) + m) * (100 - percent)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parity bits as many as the tokens, rounded up to a power of two: a finer bitmap, kept once a row."""
+    width = max(64, 1 << (len(tokens) - 1).bit_length()) if len(tokens) else 64
+    return np.packbits(np.bincount((tokens >> np.uint64(20)).astype(np.int64) % width, minlength=width) & 1).tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ; the longer is folded to the other's width."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def like_size(groups: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Per row the end of the rows of its group that are at most 100 / percent times as large; rows ascend by group and n."""
+    key = groups.astype(np.int64) << 32
+    return np.searchsorted(key + n, key + 100 * n.astype(np.int64) // percent, "right")
+
+
+def most_common(groups: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Which rows have the label that is most common in their group."""
+    order = np.lexsort((labels, groups))
+    g, x = groups[order], labels[order]
+    starts = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (x[1:] != x[:-1])))
+    counts = np.diff(np.append(starts, len(g)))
+    best = np.lexsort((counts, g[starts]))
+    last = np.append(g[starts][best][1:] != g[starts][best][:-1], True)
+    top = x[starts][best][last]
+    return labels == top[groups]
+
+
+def ranges(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Arrays (row, k) for every k from each row's start to its end, in pieces of about ``most``."""
+    counts = np.maximum(ends - starts, 0)
+    some = np.flatnonzero(counts)
+    rows, starts, counts = rows[some], starts[some], counts[some]
+    total, at = np.cumsum(counts), 0
+    while at < len(rows):
+        done = int(total[at] - counts[at])
+        end = max(at + 1, int(np.searchsorted(total, done + most, "right")))
+        c = counts[at:end]
+        inner = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+        yield np.repeat(rows[at:end], c), np.repeat(starts[at:end], c) + inner
+        at = end
+
+
 class Join:
     def __init__(self, docs: DataFrame, percent: int = 85, size: int = 4, orders: int = 3, frequent: int = 50_000):
         self.docs, self.percent, self.size, self.orders, self.most = docs, percent, size, orders, frequent
         self.spark = docs.sparkSession
 
-    def members(self) -> DataFrame:
-        """doc_id, class, n of every row."""
+    def described_rows(self) -> DataFrame:
+        """One pass: doc_id, class, n and sketch of every row; and, with a token, how many sets of a portion hold it where four do."""
         size = self.size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for ids, sets in texts_of(batches, size):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), signed(sets.classes), pa.array([len(t) for t in sets.tokens], pa.int64())], names=["doc_id", "class", "n"])
-
-        return stored(self.docs.mapInArrow(run, "doc_id long, class long, n long"), "join-members")
-
-    def frequent(self) -> tuple[np.ndarray, np.ndarray]:
-        """The most frequent tokens, sorted, and their ranks from the rarest up. Any choice is a valid order; this one keeps prefix groups small."""
-        size = self.size
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, sets in texts_of(batches, size):
+                sizes, sketches = [len(t) for t in sets.tokens], [sketch(t) for t in sets.tokens]
+                none = pa.nulls(len(ids), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), signed(sets.classes), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), none], names=ROW)
                 kept = [t for _, t in sets.each()]
                 if kept:
                     found, n = np.unique(np.concatenate(kept), return_counts=True)
                     often = n >= 4
-                    yield pa.RecordBatch.from_arrays([signed(found[often]), pa.array(n[often].astype(np.int64))], names=["token", "n"])
+                    some = int(often.sum())
+                    none = pa.nulls(some, pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, none, pa.array(n[often].astype(np.int64)), pa.nulls(some, pa.binary()), signed(found[often])], names=ROW)
+
+        return stored(self.docs.mapInArrow(run, "doc_id long, class long, n long, sketch binary, token long"), "join-rows")
 
-        counted = self.docs.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    def frequent(self, rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """The most frequent tokens, sorted, and their ranks from the rarest up. Any choice is a valid order; this one keeps prefix groups small."""
+        counted = rows.where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n"))
         rows = counted.orderBy(F.desc("n"), "token").limit(self.most).collect()
         tokens = np.array([r["token"] for r in rows], np.int64).view(np.uint64)
         ranks = np.arange(len(rows), dtype=np.uint64)[::-1]
@@ -171,74 +220,88 @@ class Join:
 
         return stored(self.docs.mapInArrow(emit, "token long, class long, n int, " + ", ".join(f"{w} long" for w in WORDS)), "join-prefixes")
 
-    def grouped(self, rows: DataFrame, pairs_of, schema: str) -> DataFrame:
-        """Apply ``pairs_of(class, n, label)`` to each group of equal token, streamed in order of size; groups may be of any length."""
+    def grouped(self, rows: DataFrame, pairs_of) -> DataFrame:
+        """Pairs (a, b) by ``pairs_of(groups, *columns)``, applied to whole groups of equal token streamed in order of size; groups may be of any length."""
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[tuple[np.ndarray, ...]] = []
 
-            def out(columns: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-                token, *rest = columns
-                edges = np.flatnonzero(np.append(True, token[1:] != token[:-1])).tolist() + [len(token)]
-                for a, b in zip(edges, edges[1:]):
-                    if b - a > 1:
-                        for left, right in pairs_of(*(c[a:b] for c in rest)):
-                            yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], names=["a", "b"])
+            def out(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+                if not parts:
+                    return
+                columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                token, classes = columns[0], columns[1]
+                fresh = np.append(True, (token[1:] != token[:-1]) | (classes[1:] != classes[:-1]))  # a class may come from several tasks
+                token, *rest = (c[fresh] for c in columns)
+                groups = np.cumsum(np.append(0, token[1:] != token[:-1]))
+                for left, right in pairs_of(groups, *rest):
+                    yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], names=["a", "b"])
 
             for batch in batches:
                 columns = tuple(c.to_numpy() for c in batch.columns)
-                if held:
-                    columns = tuple(np.concatenate([h, c]) for h, c in zip(held[0], columns, strict=True))
-                if not len(columns[0]):
+                token = columns[0]
+                if not len(token):
                     continue
-                last = int(np.searchsorted(columns[0], columns[0][-1]))  # tokens ascend; the last group may go on
-                if last:
-                    yield from joined_batches(out(tuple(c[:last] for c in columns)))
-                held = [tuple(c[last:] for c in columns)]
-            if held:
-                yield from joined_batches(out(held[0]))
+                last = int(np.searchsorted(token, token[-1]))  # tokens ascend; the last group may go on
+                if last or held and held[-1][0][-1] != token[0]:
+                    yield from out([*held, tuple(c[:last] for c in columns)])
+                    held = []
+                held.append(tuple(c[last:] for c in columns))
+            yield from out(held)
 
-        return rows.repartition(n, "token").sortWithinPartitions("token", "n", "class").mapInArrow(run, schema)
+        return rows.repartition(n, "token").sortWithinPartitions("token", "n", "class").mapInArrow(run, "a long, b long")
 
     def pivots(self, prefixes: DataFrame) -> DataFrame:
         """(a, b): each class b of a prefix group with one pivot a of like size; of several pivots that with most shared tokens."""
         percent = self.percent
 
-        def run(classes: np.ndarray, n: np.ndarray, *words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            bits, at = np.column_stack(words), 0
-            while at < len(n):
-                end = int(np.searchsorted(n, 100 * int(n[at]) // percent, "right"))
-                k = at + int(np.argmin(mixed(classes[at:end].view(np.uint64))))
-                fine = near(n[at:end], bits[at:end], int(n[k]), bits[k], percent) & (classes[at:end] != classes[k])
-                others = np.unique(classes[at:end][fine])
-                if len(others):
-                    yield np.full(len(others), classes[k]), others
-                at = end
-
-        met = self.grouped(prefixes.select("token", "class", "n", *WORDS), run, "a long, b long")
+        def run(groups: np.ndarray, classes: np.ndarray, n: np.ndarray, *words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            bits, ends = np.column_stack(words), like_size(groups, n, percent)
+            starts, at = [], np.unique(groups, return_index=True)[1]
+            limits = np.append(at[1:], len(groups))
+            while len(at):  # windows of like size; every group opens its next one in each round
+                starts.append(at)
+                at = ends[at]
+                at, limits = at[at < limits], limits[at < limits]
+            first = np.sort(np.concatenate(starts))
+            window = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(groups))))
+            order = np.lexsort((mixed(classes.view(np.uint64)), window))
+            pivot = order[first][window]
+            some = np.flatnonzero(pivot != np.arange(len(groups)))
+            some = some[near(n[some], bits[some], n[pivot[some]], bits[pivot[some]], percent)]
+            if len(some):
+                yield classes[pivot[some]], classes[some]
+
+        met = self.grouped(prefixes.select("token", "class", "n", *WORDS), run)
         counted = met.groupBy("a", "b").count()
         return counted.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
 
     def crossing(self, labelled: DataFrame) -> DataFrame:
-        """Distinct pairs a < b of different labels and like size that share a prefix token and may be near by their bitmaps."""
+        """Distinct pairs a < b of different labels and like size that share a prefix token and may be near by their bitmaps.
+
+        Rows of a group's first label, often its family, do not meet each other; other rows meet all of like size.
+        """
         percent = self.percent
 
-        def run(classes: np.ndarray, n: np.ndarray, labels: np.ndarray, *words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            fresh = np.append(True, (classes[1:] != classes[:-1]) | (n[1:] != n[:-1]))
-            classes, n, labels = classes[fresh], n[fresh], labels[fresh]
-            if len(labels) < 2 or (labels == labels[0]).all():
-                return
-            bits = np.column_stack(words)[fresh]
-            ends = np.searchsorted(n, 100 * n.astype(np.int64) // percent, "right").tolist()
-            for i, end in enumerate(ends):
-                if end > i + 1:
-                    fine = (labels[i + 1 : end] != labels[i]) & near(n[i + 1 : end], bits[i + 1 : end], int(n[i]), bits[i], percent)
-                    others = classes[i + 1 : end][fine]
-                    if len(others):
-                        yield np.minimum(others, classes[i]), np.maximum(others, classes[i])
-
-        return self.grouped(labelled.select("token", "class", "n", "label", *WORDS), run, "a long, b long").distinct()
+        def run(groups: np.ndarray, classes: np.ndarray, n: np.ndarray, labels: np.ndarray, *words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            bits, ends = np.column_stack(words), like_size(groups, n, percent)
+            main = most_common(groups, labels)
+            rows, others = np.arange(len(groups)), np.flatnonzero(~main)
+            for i, j in ranges(rows[~main], rows[~main] + 1, ends[~main]):
+                yield from fine(i, j, classes, n, labels, bits)
+            for i, k in ranges(rows[main], np.searchsorted(others, rows[main]), np.searchsorted(others, ends[main])):
+                yield from fine(i, others[k], classes, n, labels, bits)
+
+        def fine(i, j, classes, n, labels, bits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            keep = labels[i] != labels[j]
+            i, j = i[keep], j[keep]
+            keep = near(n[i], bits[i], n[j], bits[j], percent)
+            if keep.any():
+                a, b = classes[i[keep]], classes[j[keep]]
+                yield np.minimum(a, b), np.maximum(a, b)
+
+        return self.grouped(labelled.select("token", "class", "n", "label", *WORDS), run).distinct()
 
     def described(self, wanted: DataFrame, describe, name: str) -> DataFrame:
         """(class, n, ``name``) for the classes in ``wanted``, made anew from the texts; a bit table keeps most others back."""
@@ -261,6 +324,19 @@ class Join:
     def ends(self, pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
 
+    def close(self, pairs: DataFrame, rows: DataFrame) -> DataFrame:
+        """Pairs whose sketches do not rule them out, so that few whole sets need to meet."""
+        percent = self.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                values = zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)
+                keep = pa.array([differing(x, y) * (100 + percent) <= (a_n + b_n) * (100 - percent) for a_n, b_n, x, y in values], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+        facts = rows.where("n > 0 AND token IS NULL").select("class", "n", "sketch").join(self.ends(pairs), "class", "left_semi").dropDuplicates(["class"])
+        return stored(self.attached(pairs, facts, "sketch").mapInArrow(run, "a long, b long"), "join-close")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Pairs that share a prefix token under each further order too and are of similarity ``percent`` or more on whole sets."""
         percent, orders, none = self.percent, self.orders, (np.empty(0, np.uint64), np.empty(0, np.uint64))
@@ -280,13 +356,14 @@ class Join:
         return stored(self.attached(pairs, facts, "tokens").mapInArrow(run, "a long, b long"), "join-links")
 
     def run(self) -> DataFrame:
-        members_ = self.members()
-        hot = self.spark.sparkContext.broadcast(self.frequent())
+        rows = self.described_rows()
+        members_ = rows.where("token IS NULL").select("doc_id", "class", "n")
+        hot = self.spark.sparkContext.broadcast(self.frequent(rows))
         prefixes = self.prefixes(hot)
-        links = self.verified(stored(self.pivots(prefixes), "join-pivots"))
+        links = self.verified(self.close(stored(self.pivots(prefixes), "join-pivots"), rows))
         labels = components(links)
         labelled = prefixes.join(labels.toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-        more = self.verified(stored(self.crossing(labelled), "join-candidates"))
+        more = self.verified(self.close(stored(self.crossing(labelled), "join-candidates"), rows))
         labels = components(links.union(more)).toDF("class", "label")
         least = members_.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
         classes = least.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
@@ -295,19 +372,6 @@ class Join:
         return members_.join(named, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def joined_batches(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
-    """Small batches put together."""
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= rows:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, n = [], 0
-    if n:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def linked(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFrame:
     """doc_id, n_shingles and component_id per row of ``docs`` (doc_id, text).
 
