@@ -27,7 +27,7 @@ from trailmix.llm.components import components
 from trailmix.llm.shingling import Words, grams, mixed, portions
 
 NAME = "op1_ngram_jaccard_join"
-PORTION = 4_000_000
+PORTION, LEAST = 2_000_000, 3
 TOKEN_BITS, CLASS_BITS = 26, 23
 PARITY = 512
 SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
@@ -47,12 +47,13 @@ class Sets:
         place = np.uint64(0x9E3779B97F4A7C15)
         self.classes = np.array([mixed(np.array([mixed(t * place + np.uint64(len(t))).sum()], np.uint64))[0] for t in self.tokens], np.uint64).reshape(-1)
 
-    def each(self) -> Iterator[tuple[np.uint64, np.ndarray]]:
-        """Every class of the list once, without the empty set."""
-        done = set()
+    def each(self, done: set[int]) -> Iterator[tuple[np.uint64, np.ndarray]]:
+        """Every class of the list that is not in ``done`` once, without the empty set; ``done`` takes them, and starts anew when it is large."""
+        if len(done) > 200_000:
+            done.clear()
         for c, t in zip(self.classes, self.tokens, strict=True):
-            if len(t) and c not in done:
-                done.add(c)
+            if len(t) and int(c) not in done:
+                done.add(int(c))
                 yield c, t
 
 
@@ -142,7 +143,7 @@ def most_common(groups: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return labels == top[groups]
 
 
-def ranges(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def ranges(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Arrays (row, k) for every k from each row's start to its end, in pieces of about ``most``."""
     counts = np.maximum(ends - starts, 0)
     some = np.flatnonzero(counts)
@@ -163,18 +164,19 @@ class Join:
         self.spark = docs.sparkSession
 
     def described_rows(self) -> DataFrame:
-        """One pass: doc_id, class, n and sketch of every row; and, with a token, how many sets of a portion hold it where four do."""
+        """One pass: doc_id, class, n and sketch of every row; and, with a token, how many sets of a portion hold it where ``LEAST`` do."""
         size = self.size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            done: set[int] = set()
             for ids, sets in texts_of(batches, size):
                 sizes, sketches = [len(t) for t in sets.tokens], [sketch(t) for t in sets.tokens]
                 none = pa.nulls(len(ids), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), signed(sets.classes), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), none], names=ROW)
-                kept = [t for _, t in sets.each()]
+                kept = [t for _, t in sets.each(done)]
                 if kept:
                     found, n = np.unique(np.concatenate(kept), return_counts=True)
-                    often = n >= 4
+                    often = n >= LEAST
                     some = int(often.sum())
                     none = pa.nulls(some, pa.int64())
                     yield pa.RecordBatch.from_arrays([none, none, pa.array(n[often].astype(np.int64)), pa.nulls(some, pa.binary()), signed(found[often])], names=ROW)
@@ -195,8 +197,9 @@ class Join:
         size, percent = self.size, self.percent
 
         def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            done: set[int] = set()
             for _, sets in texts_of(batches, size):
-                kept = [prefix(t, 0, percent, *hot.value) for _, t in sets.each()]
+                kept = [prefix(t, 0, percent, *hot.value) for _, t in sets.each(done)]
                 if kept:
                     found, n = np.unique(np.concatenate(kept), return_counts=True)
                     yield pa.RecordBatch.from_arrays([signed(found), pa.array(n.astype(np.int64))], names=["token", "n"])
@@ -205,9 +208,10 @@ class Join:
         known = self.spark.sparkContext.broadcast(bit_table(counted.where("n > 1"), "token", TOKEN_BITS))
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            done: set[int] = set()
             for _, sets in texts_of(batches, size):
                 rows: list[tuple[np.ndarray, np.uint64, int, np.ndarray]] = []
-                for c, t in sets.each():
+                for c, t in sets.each(done):
                     shared = prefix(t, 0, percent, *hot.value)
                     shared = shared[members(known.value, shared)]
                     if len(shared):
@@ -308,8 +312,9 @@ class Join:
         size, known = self.size, self.spark.sparkContext.broadcast(bit_table(wanted, "class", CLASS_BITS))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            done: set[int] = set()
             for _, sets in texts_of(batches, size):
-                rows = [(c, t) for c, t in sets.each() if members(known.value, np.array([c]))[0]]
+                rows = [(c, t) for c, t in sets.each(done) if members(known.value, np.array([c]))[0]]
                 if rows:
                     columns = [signed(np.array([c for c, _ in rows], np.uint64)), pa.array([len(t) for _, t in rows], pa.int32()), pa.array([describe(t) for _, t in rows], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=["class", "n", name])
