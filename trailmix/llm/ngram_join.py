@@ -29,7 +29,7 @@ from trailmix.llm.shingling import Words, grams, mixed, portions
 NAME = "op1_ngram_jaccard_join"
 PORTION, LEAST = 2_000_000, 3
 TOKEN_BITS, CLASS_BITS = 26, 23
-PARITY = 512
+PARITY = 384
 SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 
 
@@ -369,9 +369,13 @@ class Join:
         labels = components(links)
         labelled = prefixes.join(labels.toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
         more = self.verified(self.close(stored(self.crossing(labelled), "join-candidates"), rows))
-        labels = components(links.union(more)).toDF("class", "label")
+        # links between families are links between their labels, and many are the same
+        left, right = labels.toDF("a", "x"), labels.toDF("b", "y")
+        families = more.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).distinct()
+        final = components(families).toDF("label", "final")
         least = members_.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-        classes = least.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+        classes = least.join(labels.toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+        classes = classes.join(final, "label", "left").select("class", "least", F.coalesce("final", "label").alias("label"))
         smallest = classes.groupBy("label").agg(F.min("least").alias("component"))
         named = classes.join(smallest, "label").select("class", "component")
         return members_.join(named, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
