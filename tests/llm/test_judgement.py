@@ -64,6 +64,23 @@ def test_quality_without_labels_and_of_an_empty_table(spark):
     assert quality.quality(docs.where("doc_id > 5"), none).count() == 0
 
 
+def test_the_forest_draws_rows_whatever_their_statistics(spark, monkeypatch):
+    usual = " ".join(f"{a}{b}ord" for a in "abcdefgh" for b in "abcdefgh")
+    docs = spark.createDataFrame([(None if i % 5 == 0 else i, usual + (f" text{i}" if i % 2 else " " + "7" * (100 + i)), "", "") for i in range(3000)], SCHEMA)
+    fitted, make = [], quality.IsolationForest.__init__
+
+    def kept(self, rows, *rest):
+        fitted.append(rows)
+        make(self, rows, *rest)
+
+    monkeypatch.setattr(quality.IsolationForest, "__init__", kept)
+    for parts in (2, 5):
+        assert quality.quality(docs.repartition(parts), spark.createDataFrame([], LABELS), trees=16, sample=16).count() == 3000
+    assert len(fitted[0]) == 256 and (fitted[0] == fitted[1]).all()
+    assert 0.4 < (fitted[0].sum(axis=1) == 0).mean() < 0.6
+    assert len({r.tobytes() for r in fitted[0]}) > 100
+
+
 def test_toxicity_on_documents(spark):
     rows = toxicity.query(spark, "/root/testdata/sf0.1").collect()
     marks = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}

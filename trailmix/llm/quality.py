@@ -63,10 +63,11 @@ def statistics(text: str | None) -> tuple[tuple[int, ...], tuple[float, ...]]:
     return (n, chars, symbols, duplicates, repeats), outside
 
 
-def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` with counts and rule statistics of every whole text; a map over the scan."""
+def measured(docs: DataFrame, seed: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` with a hash of key and text (``drawn``), counts and rule statistics of every whole text; a map over the scan."""
     chosen = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = chosen.select("doc_id").schema
+    chosen = chosen.withColumn("drawn", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    schema = chosen.select("doc_id", "drawn").schema
     for c in COUNTS:
         schema = schema.add(c, "long")
     for c in FEATURES:
@@ -77,7 +78,7 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             rows = [statistics(t) for t in batch.column(1).to_pylist()]
             counts = [pa.array([r[0][k] for r in rows], pa.int64()) for k in range(len(COUNTS))]
             shares = [pa.array([r[1][k] for r in rows], pa.float64()) for k in range(len(FEATURES))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, *shares], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *counts, *shares], names=schema.names)
 
     return chosen.mapInArrow(run, schema)
 
@@ -161,14 +162,16 @@ def quality(
 ) -> DataFrame:
     """One row per document: counts, rule statistics, base_failed, anomaly (0 to 1) and kept.
 
-    The forest is fitted on at most trees * sample rows, those of least hash of doc_id; the threshold comes
+    The forest is fitted on at most trees * sample rows, those of least hash of doc_id and text, so that rows enter
+    whatever their statistics are; rows equal in both enter together. The threshold comes
     from all rows of ``labels`` (doc_id, quality; where a document has several, the worst counts). Statistics
     are taken once and stored. Null and empty texts have zero counts and fail the base rule; rows with a null
     doc_id are judged but match no label; repeated rows are judged alike; extra columns are left out.
     """
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    rows = stored(measured(docs).withColumn("base_failed", base), "quality")
-    picked = rows.where("NOT base_failed").select(*FEATURES).orderBy(F.xxhash64(*FEATURES, F.lit(seed))).limit(trees * sample).collect()
+    measures = stored(measured(docs, seed).withColumn("base_failed", base), "quality")
+    picked = measures.where("NOT base_failed").orderBy("drawn", *FEATURES).select(*FEATURES).limit(trees * sample).collect()
+    rows = measures.drop("drawn")
     forest = IsolationForest(np.array([tuple(r) for r in picked], float).reshape(-1, len(FEATURES)), trees, sample, seed)
     shared = docs.sparkSession.sparkContext.broadcast(forest)
     schema = StructType([*rows.schema.fields]).add("anomaly", DoubleType())
