@@ -91,6 +91,19 @@ def test_toxicity_on_documents(spark):
     assert np.mean(hit) > 0.85 and np.mean(false) < 0.02
 
 
+def test_only_copies_count_once_as_evidence(spark):
+    """Texts that share most words are told apart; of copies one counts, in rows and in the base rate."""
+    said = "the same few words stand in each of these"
+    bad = [(i, f"{said} rows{i} idiot") for i in range(0, 40, 2)] + [(i, "A  Much copied\nrant" if i % 4 else "a much copied rant") for i in range(40, 80, 2)]
+    good = [(i, f"{said} rows{i} here") for i in range(1, 200, 2)]
+    docs = spark.createDataFrame([(i, t, "s", "k") for i, t in bad + good], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, int(i % 2 == 0)) for i, _ in bad + good], LABELS).select("doc_id", "toxic")
+    channel = spark.sparkContext.broadcast(toxicity.Channel(toxicity.character_counts(docs)))
+    known = toxicity.learnt(docs, labels, channel, 20_000, 10.0, 6, 0.02, 0.3, 0.7, 20_000, 4)
+    assert known["idiot"] == pytest.approx((20 + 10 * 21 / 121) / 30)
+    assert not {"much", "copied", "rant"} & set(known)
+
+
 def test_obfuscated_words_are_restored(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     channel = toxicity.Channel(toxicity.character_counts(docs))

@@ -157,7 +157,7 @@ def features(words: set[str]) -> set[str]:
 
 
 def label_evidence(sample: DataFrame, channel) -> DataFrame:
-    """(feature, label, docs) over labelled texts, counted once a document; pre-aggregated in each task."""
+    """(feature, label, docs) over labelled texts, counted once a document; a null feature counts the texts. Pre-aggregated in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = Words(channel.value), Counter()
@@ -174,6 +174,7 @@ def label_evidence(sample: DataFrame, channel) -> DataFrame:
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts.update((f, toxic) for f in features(words.of(text)))
+                counts[None, toxic] += 1
                 if len(counts) > 500_000:
                     yield out()
         yield out()
@@ -190,7 +191,7 @@ def learnt(
     by ``strength`` rows; ``least`` toxic rows and a ``share`` of them must bear the feature, and a beginning must stand in ``stems``
     different words of toxic rows, else the word itself tells as much. At most ``most`` features
     are kept. Of labelled copies one counts, else all words of a much copied toxic row would look telling; copies are
-    told by the least hash of their words.
+    texts equal but for case and blanks, and the least text stays. Rows and the base rate are counted after that.
     """
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
@@ -198,13 +199,14 @@ def learnt(
         return {}
     schema = StructType([StructField("doc_id", LongType()), *marked.schema.fields[1:]])
     bounded = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], schema)
-    family = F.array_min(F.transform(F.split("text", "\\s+"), lambda w: F.xxhash64(w)))
-    sample = docs.join(F.broadcast(bounded), "doc_id").withColumn("family", family).dropDuplicates(["family", "toxic"])
-    toxic_rows = sum(r["toxic"] > 0 for r in chosen)
-    base, least = toxic_rows / len(chosen), max(least, share * toxic_rows)
+    copies = F.md5(F.lower(F.trim(F.regexp_replace("text", "\\s+", " "))))
+    sample = docs.join(F.broadcast(bounded), "doc_id").groupBy(copies.alias("copies"), "toxic").agg(F.min("text").alias("text"))
     evidence = stored(label_evidence(sample, channel), "toxicity-evidence")
+    counted = {r["toxic"] > 0: r["n"] for r in evidence.where("feature IS NULL").groupBy(F.expr("int(toxic > 0)").alias("toxic")).agg(F.sum("docs").alias("n")).collect()}
+    toxic_rows = counted.get(True, 0)
+    base, least = toxic_rows / max(1, sum(counted.values())), max(least, share * toxic_rows)
     toxic = F.sum(F.when(F.col("toxic") > 0, F.col("docs")).otherwise(0))
-    summed = evidence.groupBy("feature").agg(toxic.alias("bad"), F.sum("docs").alias("all"))
+    summed = evidence.where("feature IS NOT NULL").groupBy("feature").agg(toxic.alias("bad"), F.sum("docs").alias("all"))
     p = (F.col("bad") + strength * base) / (F.col("all") + strength)
     strong = summed.where((F.col("bad") >= least) & (p >= least_p) & (F.col("bad") >= precision * F.col("all"))).select("feature", p.alias("p"), "bad")
     spread = (
