@@ -114,6 +114,24 @@ def test_obfuscated_words_are_restored(spark):
     assert channel.restored("Word,") == "word"
 
 
+def test_boundaries_in_spaced_words_are_chosen(spark):
+    channel = toxicity.Channel(toxicity.character_counts(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")))
+    for text, want in {
+        "he is a m o r o n": {"a", "moron"},
+        "you s t u p i d m o r o n": {"stupid", "moron"},
+        "s-t-u-p-i-d m-o-r-o-n": {"stupid", "moron"},
+        "an s.t.u.p.i.d one": {"stupid"},
+        "M  o  r  o  n": {"moron"},
+        "m\no\nr\no\nn": {"moron"},
+        "s c u m!": {"scum"},
+        "5 t u u u u p 1 d !": {"stupid"},
+    }.items():
+        assert set(channel.despaced(text)) >= want, text
+    assert channel.despaced("or d i e now") == ["die"]
+    assert channel.despaced("1 2 3 4 and 5.6.7 or x y") == []
+    assert channel.restored("@$$") == "ass" and channel.restored("1990") == "1990"
+
+
 def test_toxicity_of_odd_rows(spark):
     bad = [(i, f"plain text {i} idiot") for i in range(0, 60, 2)]
     good = [(i, f"plain text {i} here") for i in range(1, 60, 2)]

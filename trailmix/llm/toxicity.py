@@ -26,7 +26,11 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 TRIM = ".,;:?!\"'()[]{}<>*_-~#%&"
 SIGNS = re.compile(r"[a-zß-ÿ][0134578@$!|+9]|[0134578@$!|+9][a-zß-ÿ]")
 STRETCH = re.compile(r"([a-zß-ÿ0-9@$])\1\1")
-SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
+#: Tokens of signs only, if not a number.
+SIGNS_ONLY = re.compile(r"(?=\d*[@$!|+])[0134578@$!|+9]{3,}")
+#: Single letters or signs apart by blanks or punctuation, and what is between them.
+SPACED = re.compile(r"(?<![\w@$|+])(?:[^\W_]|[@$!|+])(?:[\s.\-_*~,/]{1,3}(?:[^\W_]|[@$!|+])){2,}(?![\w@$|+])")
+GAP = re.compile(r"[\s.\-_*~,/]+")
 PREFIXES = (4, 5, 6, 7, 8)
 CACHE_ENTRIES = 300_000
 CLASSES = 64  # 0: edge of a word, 1-26: a-z, 27-58: letters of Latin-1, 59: digit, 60: others
@@ -72,12 +76,12 @@ def character_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
 class Channel:
     """Restores obfuscated tokens. ``counts`` are the trigram counts of the language model."""
 
-    def __init__(self, counts: np.ndarray, substitution: float = 2.0, literal_sign: float = 4.0, repeat: float = 1.0):
+    def __init__(self, counts: np.ndarray, substitution: float = 2.0, literal_sign: float = 4.0, repeat: float = 1.0, boundary: float = 3.0):
         cube = counts.reshape(CLASSES, CLASSES, CLASSES).astype(float)
         pair = cube.sum(axis=0)
         back = (pair + 0.1) / (pair + 0.1).sum(axis=1, keepdims=True)
         self.cost = -np.log((cube + 8 * back[None]) / (cube + 8 * back[None]).sum(axis=2, keepdims=True))
-        self.substitution, self.literal_sign, self.repeat = substitution, literal_sign, repeat
+        self.substitution, self.literal_sign, self.repeat, self.boundary = substitution, literal_sign, repeat, boundary
 
     def lattice(self, token: str) -> list[list[tuple[str, float]]]:
         """Per run of equal signs the (text, channel cost) choices."""
@@ -94,11 +98,34 @@ class Channel:
             at = end
         return out
 
+    def spaced_lattice(self, signs: list[str], gaps: list[tuple], split: bool) -> list[list[tuple[str, float]]]:
+        """The lattice of separated signs; a gap is dropped or kept as a blank. Wider gaps than the least are rather kept, others only with ``split``."""
+        out, least, at = [], min(gaps), 0
+        while at < len(signs):
+            if at and gaps[at - 1] > least:
+                out.append([("", self.boundary), (" ", 0.0)])
+            elif at and split:
+                out.append([("", 0.0), (" ", self.boundary)])
+            end = at + 1
+            while end < len(signs) and signs[end] == signs[at] and gaps[end - 1] == least:
+                end += 1
+            end = end if end - at > 2 else at + 1
+            out += self.lattice(signs[at] * (end - at))
+            at = end
+        return out
+
     def decode(self, token: str) -> str:
-        """The likeliest meant word: Viterbi over the lattice, states are the last two character classes."""
+        """The likeliest meant word of a token."""
+        if SIGNS_ONLY.fullmatch(token):  # all of it is meant or none, as rows of signs are frequent in some corpora
+            meant = [[x for x in choices if x[0][0] not in LEET] for choices in self.lattice(token)]
+            return min(self.likeliest(meant), self.likeliest([[(c, self.literal_sign)] for c in token]))[1]
+        return self.likeliest(self.lattice(token))[1]
+
+    def likeliest(self, lattice: list[list[tuple[str, float]]]) -> tuple[float, str]:
+        """Cost and text of the best path by Viterbi, states are the last two character classes."""
         states = {(0, 0): (0.0, None)}  # state: (cost, (text, parent))
         cost = self.cost
-        for choices in [*self.lattice(token), [(" ", 0.0)]]:
+        for choices in [*lattice, [(" ", 0.0)]]:
             following: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (spent, chain) in states.items():
                 for text, channel in choices:
@@ -111,23 +138,32 @@ class Channel:
                     if known is None or total < known[0]:
                         following[x, y] = (total, (text, chain))
             states = following
-        chain = min(states.values(), key=lambda s: s[0])[1]
+        least, chain = min(states.values(), key=lambda s: s[0])
         parts = []
         while chain is not None:
             parts.append(chain[0])
             chain = chain[1]
-        return "".join(reversed(parts))[:-1]
+        return least, "".join(reversed(parts))[:-1]
 
     def restored(self, token: str) -> str:
         """A lower-case word without outer punctuation, decoded if it shows signs of obfuscation."""
         word = token.lower().strip(TRIM)
-        if SIGNS.search(word) or STRETCH.search(word):
+        if SIGNS.search(word) or STRETCH.search(word) or SIGNS_ONLY.fullmatch(word):
             return self.decode(word)
         return word
 
     def despaced(self, text: str) -> list[str]:
-        """Words meant by runs of spaced single letters."""
-        return [self.restored(m.group().replace(" ", "")) for m in SPACED.finditer(text)] if SPACED.search(text) else []
+        """Words meant by runs of separated single letters: by the likeliest boundaries, and by those at wider gaps alone."""
+        words: dict[str, None] = {}
+        for m in SPACED.finditer(text):
+            run = m.group().rstrip(TRIM + " \t\r\n")
+            signs = [c.lower() for c in GAP.split(run)]
+            if len(signs) < 3 or all(c.isdigit() for c in signs):
+                continue
+            gaps = [("\n" in g or "\r" in g, g.strip() != g, len(g)) for g in GAP.findall(run)]
+            for split in (True, False):
+                words |= dict.fromkeys(self.likeliest(self.spaced_lattice(signs, gaps, split))[1].split(" "))
+        return [w for w in words if w]
 
 
 class Words(dict):
