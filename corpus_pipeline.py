@@ -29,9 +29,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by n-gram similarity the document of the smallest id stays; texts without words are in no group."""
+    """Of each group linked by n-gram similarity (0.8 on five words) the document of the smallest id stays; texts without words are in no group."""
     shipped(spark)
-    found = ngram_join.linked(docs)
+    found = ngram_join.linked(docs, percent=80, size=5)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 

@@ -61,6 +61,15 @@ def test_one_of_each_group_stays(steps):
     assert {str(i) for i in after} == {d for d, _, c in groups if d == c}
 
 
+def test_similar_on_five_words_go(spark, steps):
+    def copy(kind, edits):
+        return " ".join(f"edit{k}" if k in edits else f"{kind}{k}" for k in range(100))
+
+    rows = [(1, copy("a", ())), (2, copy("a", (30, 60))), (3, copy("b", ())), (4, copy("b", (20, 50, 80)))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], steps[0].schema)
+    assert set(held(pipeline.keep_one_of_similar(spark, docs, SF))) == {1, 3, 4}  # similarities 0.81 and 0.73
+
+
 def test_repeats_go(steps):
     before, after = held(steps[2]), held(steps[3])
     want = {int(d): (n, gone, kept) for d, n, gone, kept in brute_repeats(list(before.items()))}
