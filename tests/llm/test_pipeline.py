@@ -57,7 +57,7 @@ def test_toxic_documents_go(spark, steps):
 
 def test_one_of_each_group_stays(steps):
     before, after = held(steps[1]), held(steps[2])
-    groups = brute_components(list(before.items()))
+    groups = brute_components(list(before.items()), 80, 5)
     assert {str(i) for i in after} == {d for d, _, c in groups if d == c}
 
 

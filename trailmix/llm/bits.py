@@ -7,6 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def power_for(bits: int) -> int:
+    """The power of two that a table of about ``bits`` bits needs; from 8 KB to 64 MB, beyond which false members grow."""
+    return min(29, max(16, int(bits).bit_length()))
+
+
 def bit_table(hashes: DataFrame, column: str, power: int) -> np.ndarray:
     """A table of 2**power bits with the bit of every hash set; what reaches the driver is bounded by that size."""
     low = F.col(column).bitwiseAND(F.lit((1 << power) - 1).cast("bigint"))

@@ -3,13 +3,17 @@
 A document is the set of hashes of its word n-grams; documents of equal sets are one class. Two sets of Jaccard
 similarity t or more share one of the first |x| - ceil(t |x|) + 1 tokens of each, whatever the order of all tokens,
 so a pair is a candidate only if it shares such a prefix token under every order. The orders put tokens known to be
-frequent last (those decide least) and the others in the order of differently seeded hashes.
-
-1. Tokens that recur in prefixes of the first order are counted; sets without one have no partner.
-2. Members of a prefix group meet one pivot each; verified pairs merge most of each family of near copies.
-3. Members of a group that are of different components are paired. So no group emits the pairs within a family.
-In both, a group drops at once the pairs whose parity bitmaps show that they differ too much, then finer bitmaps are
-compared, and pairs go on to the comparison of whole sets only if they also share a prefix token under each further order.
+frequent last (the first order only, as these decide least) and the others in the order of differently seeded hashes.
+Prefixes of the first order are longer by some tokens, and pairs must share as many more.
+
+1. Sets meet in the prefix groups of the first order. There each meets one leader, the set nearest to what the group
+   has in common, so that a family of near copies has one leader and gives a row per set, not per pair.
+2. Pairs that share a prefix token under each further order too, and whose bitmaps allow it, are verified on whole
+   sets. A set of half a leader's tokens or more becomes a member of its family and is kept as its difference from it.
+3. Two members of a family that are not both similar to the leader must share a good part of their differences, so
+   they meet by prefixes of these, tokens that the leader lacks first. Similar families stay linear thereby.
+4. Sets of different leaders meet in prefix groups, those of a group's main leader only with the others.
+Pairs that are linked by then are not looked at again; 2 holds for 4 as well.
 """
 
 from __future__ import annotations
@@ -18,19 +22,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmix.llm.bits import bit_table, members
+from trailmix.llm.bits import bit_table, members, power_for
 from trailmix.llm.common import stored, table
 from trailmix.llm.components import components
 from trailmix.llm.shingling import Words, grams, mixed, portions
 
 NAME = "op1_ngram_jaccard_join"
-PORTION, LEAST = 2_000_000, 3
-TOKEN_BITS, CLASS_BITS = 26, 23
+PORTION, LEAST = 1_000_000, 3
 PARITY = 384
+#: A set joins a leader's family from this percentage of similarity on.
+LOOSE = 50
+#: Rows of a prefix group that one task looks at together; a longer group has a leader for every so many rows.
+BLOCK = 20_000
 SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
+NO_FREQUENT = (np.empty(0, np.uint64), np.empty(0, np.uint64))
 
 
 class Sets:
@@ -47,60 +55,63 @@ class Sets:
         place = np.uint64(0x9E3779B97F4A7C15)
         self.classes = np.array([mixed(np.array([mixed(t * place + np.uint64(len(t))).sum()], np.uint64))[0] for t in self.tokens], np.uint64).reshape(-1)
 
-    def each(self, done: set[int]) -> Iterator[tuple[np.uint64, np.ndarray]]:
-        """Every class of the list that is not in ``done`` once, without the empty set; ``done`` takes them, and starts anew when it is large."""
-        if len(done) > 200_000:
-            done.clear()
-        for c, t in zip(self.classes, self.tokens, strict=True):
-            if len(t) and int(c) not in done:
-                done.add(int(c))
-                yield c, t
-
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.asarray(x, np.uint64).view(np.int64))
 
 
-def prefix(tokens: np.ndarray, order: int, percent: int, frequent: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The tokens of the set that come first in the order; enough of them for any partner to share one."""
+def read_set(data) -> np.ndarray:
+    return np.frombuffer(data, "<u8")
+
+
+def views(column: pa.Array) -> Iterator[memoryview]:
+    """The values of a binary column without nulls, not copied."""
+    if len(column):
+        _, offsets, data = column.buffers()
+        ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+        whole = memoryview(data) if data is not None else memoryview(b"")
+        for a, b in zip(ends, ends[1:]):
+            yield whole[a:b]
+
+
+def needed(n):
+    """How many tokens of the first order's prefixes a set of ``n`` tokens must share with any partner as large or larger."""
+    return 1 + n // 50
+
+
+def prefix(tokens: np.ndarray, order: int, percent: int, frequent: np.ndarray, ranks: np.ndarray, least: int = 1) -> np.ndarray:
+    """The tokens of the set that come first in the order; enough of them for any partner to share ``least``."""
     n = len(tokens)
     keys = mixed(tokens ^ np.uint64(SEEDS[order])) >> np.uint64(1)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
         keys = np.where(frequent[at] == tokens, np.uint64(1 << 63) + ranks[at], keys)
-    length = n - -(-percent * n // 100) + 1
+    length = n - -(-percent * n // 100) + least
     return tokens[np.argsort(keys)[:length]] if length < n else tokens
 
 
-def texts_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, Sets]]:
-    for batch in batches:
-        ids, texts = (c.to_pylist() for c in batch.columns)
-        for a, b in portions(texts, PORTION):
-            yield ids[a:b], Sets(texts[a:b], size)
-
-
-def similar(a: int, b: int, both: int, percent: int) -> bool:
-    return 100 * both >= percent * (a + b - both)
-
-
-def packed_set(tokens: np.ndarray) -> bytes:
-    """48 bits of each token, sorted."""
-    return np.sort(tokens >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def parity(tokens: np.ndarray, width: int = PARITY) -> np.ndarray:
+    """Bit i: whether an odd number of tokens fall on it. The bits in which two sets differ are at most the tokens in which they do."""
+    return np.packbits(np.bincount((tokens >> np.uint64(20)).astype(np.int64) % width, minlength=width) & 1)
 
 
-def unpacked_set(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").reshape(-1)
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parity bits twice as many as the tokens, rounded up to a power of two: a finer bitmap."""
+    return parity(tokens, max(64, 2 << (len(tokens) - 1).bit_length()) if len(tokens) else 64).tobytes()
 
 
-def parity(tokens: np.ndarray) -> np.ndarray:
-    """Bit i: whether an odd number of tokens fall on it. The bits in which two sets differ are at most the tokens in which they do."""
-    return np.packbits(np.bincount((tokens >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1).view(np.int64)
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ; the longer is folded to the other's width."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 WORDS = [f"p{k}" for k in range(PARITY // 64)]
-ROW = ["doc_id", "class", "n", "sketch", "token"]
+PARITY_TYPE = ", ".join(f"{w} long" for w in WORDS)
 
 
 def near(n: np.ndarray, bits: np.ndarray, m: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
@@ -109,20 +120,11 @@ def near(n: np.ndarray, bits: np.ndarray, m: np.ndarray, other: np.ndarray, perc
     return differ * (100 + percent) <= (n.astype(np.int64) + m) * (100 - percent)
 
 
-def sketch(tokens: np.ndarray) -> bytes:
-    """Parity bits as many as the tokens, rounded up to a power of two: a finer bitmap, kept once a row."""
-    width = max(64, 1 << (len(tokens) - 1).bit_length()) if len(tokens) else 64
-    return np.packbits(np.bincount((tokens >> np.uint64(20)).astype(np.int64) % width, minlength=width) & 1).tobytes()
-
-
-def differing(x: bytes, y: bytes) -> int:
-    """Bits in which two sketches differ; the longer is folded to the other's width."""
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    while len(a) != len(b):
-        if len(a) < len(b):
-            a, b = b, a
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
+def may_link(x: str, y: str, percent: int) -> Column:
+    """The same test, and that of sizes, on rows aliased ``x`` and ``y``."""
+    differ = " + ".join(f"bit_count({x}.{w} ^ {y}.{w})" for w in WORDS)
+    like = f"100L * {x}.n >= {percent} * {y}.n AND 100L * {y}.n >= {percent} * {x}.n"
+    return F.expr(f"{like} AND ({differ}) * {100 + percent}L <= ({x}.n + {y}.n) * {100 - percent}L")
 
 
 def like_size(groups: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
@@ -131,57 +133,79 @@ def like_size(groups: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
     return np.searchsorted(key + n, key + 100 * n.astype(np.int64) // percent, "right")
 
 
-def most_common(groups: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Which rows have the label that is most common in their group."""
-    order = np.lexsort((labels, groups))
-    g, x = groups[order], labels[order]
-    starts = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (x[1:] != x[:-1])))
-    counts = np.diff(np.append(starts, len(g)))
-    best = np.lexsort((counts, g[starts]))
-    last = np.append(g[starts][best][1:] != g[starts][best][:-1], True)
-    top = x[starts][best][last]
-    return labels == top[groups]
-
-
-def ranges(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Arrays (row, k) for every k from each row's start to its end, in pieces of about ``most``."""
-    counts = np.maximum(ends - starts, 0)
-    some = np.flatnonzero(counts)
-    rows, starts, counts = rows[some], starts[some], counts[some]
-    total, at = np.cumsum(counts), 0
-    while at < len(rows):
-        done = int(total[at] - counts[at])
-        end = max(at + 1, int(np.searchsorted(total, done + most, "right")))
-        c = counts[at:end]
-        inner = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
-        yield np.repeat(rows[at:end], c), np.repeat(starts[at:end], c) + inner
-        at = end
+def windows(groups: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """First rows of the windows of like size into which every group falls."""
+    ends = like_size(groups, n, percent)
+    starts, at = [], np.unique(groups, return_index=True)[1]
+    limits = np.append(at[1:], len(groups))
+    while len(at):
+        starts.append(at)
+        at = ends[at]
+        at, limits = at[at < limits], limits[at < limits]
+    return np.sort(np.concatenate(starts))
+
+
+def leaders(first: np.ndarray, classes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Per row the row that leads its window: the nearest to the window's majority in each bit, ties by a hash of the class."""
+    window = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(classes))))
+    plain = np.unpackbits(bits.view(np.uint8), axis=1)
+    counts = np.add.reduceat(plain, first, axis=0, dtype=np.int32)
+    sizes = np.diff(np.append(first, len(classes)))
+    common = np.packbits(2 * counts > sizes[:, None], axis=1)
+    distance = np.bitwise_count(bits.view(np.uint8) ^ common[window]).sum(axis=1, dtype=np.int64)
+    order = np.lexsort((mixed(classes.view(np.uint64)), distance, window))
+    return order[first][window]
+
+
+def bounds(n: int, percent: int) -> int:
+    """The most tokens in which a set of ``n`` tokens differs from any similar set."""
+    return n * (100 - percent) // percent
+
+
+def asked(differences: int, n: int, percent: int) -> int:
+    """How many first tokens of a member's difference from its leader meet others.
+
+    Let x be a member that is not similar to the leader p, y another, d their differences from p, o what these share.
+    x and y differ by d(x) + d(y) - 2 o, at most r (n(x) + n(y)) if they are similar, r = (100 - percent) / (100 + percent),
+    and d(x) > r (n(x) + n(p)), d(y) >= |n(y) - n(p)|, so 2 o > (1 - r) d(y). Also d(x) >= d(y) - bound, so that
+    o >= d(y) - bound, which holds for x as well.
+    """
+    return differences - max(differences * percent // (100 + percent) + 1, differences - bounds(n, percent)) + 1
 
 
 class Join:
-    def __init__(self, docs: DataFrame, percent: int = 85, size: int = 4, orders: int = 3, frequent: int = 50_000):
+    def __init__(self, docs: DataFrame, percent: int = 80, size: int = 5, orders: int = 3, frequent: int = 50_000):
         self.docs, self.percent, self.size, self.orders, self.most = docs, percent, size, orders, frequent
         self.spark = docs.sparkSession
 
     def described_rows(self) -> DataFrame:
-        """One pass: doc_id, class, n and sketch of every row; and, with a token, how many sets of a portion hold it where ``LEAST`` do."""
+        """One pass over the texts: doc_id, class and n of every row, with the set where a task first meets the class; and, with a token, how many sets of a portion hold it where ``LEAST`` do."""
         size = self.size
+        names = ["doc_id", "class", "n", "tokens", "token"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             done: set[int] = set()
-            for ids, sets in texts_of(batches, size):
-                sizes, sketches = [len(t) for t in sets.tokens], [sketch(t) for t in sets.tokens]
-                none = pa.nulls(len(ids), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), signed(sets.classes), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), none], names=ROW)
-                kept = [t for _, t in sets.each(done)]
-                if kept:
-                    found, n = np.unique(np.concatenate(kept), return_counts=True)
-                    often = n >= LEAST
-                    some = int(often.sum())
-                    none = pa.nulls(some, pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, none, pa.array(n[often].astype(np.int64)), pa.nulls(some, pa.binary()), signed(found[often])], names=ROW)
-
-        return stored(self.docs.mapInArrow(run, "doc_id long, class long, n long, sketch binary, token long"), "join-rows")
+            for batch in batches:
+                ids, texts = (c.to_pylist() for c in batch.columns)
+                for a, b in portions(texts, PORTION):
+                    sets = Sets(texts[a:b], size)
+                    if len(done) > 200_000:
+                        done.clear()
+                    fresh = []
+                    for c, t in zip(sets.classes.tolist(), sets.tokens, strict=True):
+                        fresh.append(t if len(t) and c not in done else None)
+                        done.add(c)
+                    data = pa.array([None if t is None else t.astype("<u8").tobytes() for t in fresh], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), signed(sets.classes), pa.array([len(t) for t in sets.tokens], pa.int64()), data, pa.nulls(b - a, pa.int64())], names=names)
+                    kept = [t for t in fresh if t is not None]
+                    if kept:
+                        found, n = np.unique(np.concatenate(kept), return_counts=True)
+                        often = n >= LEAST
+                        some = int(often.sum())
+                        none = pa.nulls(some, pa.int64())
+                        yield pa.RecordBatch.from_arrays([none, none, pa.array(n[often].astype(np.int64)), pa.nulls(some, pa.binary()), signed(found[often])], names=names)
+
+        return stored(self.docs.mapInArrow(run, "doc_id long, class long, n long, tokens binary, token long"), "join-rows")
 
     def frequent(self, rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """The most frequent tokens, sorted, and their ranks from the rarest up. Any choice is a valid order; this one keeps prefix groups small."""
@@ -192,208 +216,273 @@ class Join:
         sort = np.argsort(tokens)
         return tokens[sort], ranks[sort]
 
-    def prefixes(self, hot) -> DataFrame:
-        """(token, class, n, parity words) for the recurring prefix tokens of each set under the first order."""
-        size, percent = self.size, self.percent
+    def prefixes(self, sets: DataFrame, hot, power: int) -> DataFrame:
+        """(class, n, parity words, shared) where ``shared`` are the recurring prefix tokens of the set under the first order. Sets without have no partner."""
+        percent = self.percent
 
         def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            done: set[int] = set()
-            for _, sets in texts_of(batches, size):
-                kept = [prefix(t, 0, percent, *hot.value) for _, t in sets.each(done)]
+            for batch in batches:
+                kept = [prefix(t, 0, percent, *hot.value, needed(len(t))) for t in map(read_set, views(batch.column(2)))]
                 if kept:
                     found, n = np.unique(np.concatenate(kept), return_counts=True)
                     yield pa.RecordBatch.from_arrays([signed(found), pa.array(n.astype(np.int64))], names=["token", "n"])
 
-        counted = self.docs.mapInArrow(first, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-        known = self.spark.sparkContext.broadcast(bit_table(counted.where("n > 1"), "token", TOKEN_BITS))
+        counted = sets.mapInArrow(first, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+        known = self.spark.sparkContext.broadcast(bit_table(counted.where("n > 1"), "token", power))
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            done: set[int] = set()
-            for _, sets in texts_of(batches, size):
-                rows: list[tuple[np.ndarray, np.uint64, int, np.ndarray]] = []
-                for c, t in sets.each(done):
-                    shared = prefix(t, 0, percent, *hot.value)
-                    shared = shared[members(known.value, shared)]
-                    if len(shared):
-                        rows.append((shared, c, len(t), parity(t)))
-                if rows:
-                    counts = [len(r[0]) for r in rows]
-                    bits = np.repeat(np.array([r[3] for r in rows]), counts, axis=0)
-                    columns = [signed(np.concatenate([r[0] for r in rows])), signed(np.repeat(np.array([r[1] for r in rows], np.uint64), counts)), pa.array(np.repeat([r[2] for r in rows], counts).astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(len(WORDS)))], names=["token", "class", "n", *WORDS])
-
-        return stored(self.docs.mapInArrow(emit, "token long, class long, n int, " + ", ".join(f"{w} long" for w in WORDS)), "join-prefixes")
-
-    def grouped(self, rows: DataFrame, pairs_of) -> DataFrame:
-        """Pairs (a, b) by ``pairs_of(groups, *columns)``, applied to whole groups of equal token streamed in order of size; groups may be of any length."""
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            for batch in batches:
+                shared, bits, keep = [], [], []
+                for i, tokens in enumerate(map(read_set, views(batch.column(2)))):
+                    some = prefix(tokens, 0, percent, *hot.value, needed(len(tokens)))
+                    some = some[members(known.value, some)]
+                    if len(some):
+                        keep.append(i)
+                        shared.append(some.view(np.int64))
+                        bits.append(parity(tokens).view(np.int64))
+                if keep:
+                    words, chosen = np.array(bits), pa.array(keep)
+                    columns = [batch.column(0).take(chosen), batch.column(1).take(chosen), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(len(WORDS)))]
+                    offsets = pa.array(np.cumsum([0, *map(len, shared)]).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(shared)))], names=["class", "n", *WORDS, "shared"])
+
+        rows = sets.mapInArrow(emit, f"class long, n long, {PARITY_TYPE}, shared array<long>")
+        return stored(rows.dropDuplicates(["class"]), "join-prefixes")
+
+    def led(self, prefixes: DataFrame) -> DataFrame:
+        """(a, b): each class b with the leader a that it meets in most of its prefix groups, if these are an eighth of its prefix."""
+        percent = self.percent
+        names = ["token", "class", "n", *WORDS]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[tuple[np.ndarray, ...]] = []
 
-            def out(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-                if not parts:
+            def out() -> Iterator[pa.RecordBatch]:
+                if not held:
                     return
-                columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-                token, classes = columns[0], columns[1]
-                fresh = np.append(True, (token[1:] != token[:-1]) | (classes[1:] != classes[:-1]))  # a class may come from several tasks
-                token, *rest = (c[fresh] for c in columns)
-                groups = np.cumsum(np.append(0, token[1:] != token[:-1]))
-                for left, right in pairs_of(groups, *rest):
-                    yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], names=["a", "b"])
-
+                token, classes, n, *words = (np.concatenate(x) for x in zip(*held, strict=True))
+                held.clear()
+                bits = np.ascontiguousarray(np.column_stack(words))
+                leader = leaders(windows(np.cumsum(np.append(0, token[1:] != token[:-1])), n, percent), classes, bits)
+                some = np.flatnonzero(leader != np.arange(len(n)))
+                some = some[near(n[some], bits[some], n[leader[some]], bits[leader[some]], LOOSE)]
+                yield pa.RecordBatch.from_arrays([pa.array(classes[leader[some]]), pa.array(classes[some]), pa.array(n[some])], names=["a", "b", "n"])
+
+            rows = 0
             for batch in batches:
                 columns = tuple(c.to_numpy() for c in batch.columns)
-                token = columns[0]
-                if not len(token):
-                    continue
-                last = int(np.searchsorted(token, token[-1]))  # tokens ascend; the last group may go on
-                if last or held and held[-1][0][-1] != token[0]:
-                    yield from out([*held, tuple(c[:last] for c in columns)])
-                    held = []
-                held.append(tuple(c[last:] for c in columns))
-            yield from out(held)
-
-        return rows.repartition(n, "token").sortWithinPartitions("token", "n", "class").mapInArrow(run, "a long, b long")
-
-    def pivots(self, prefixes: DataFrame) -> DataFrame:
-        """(a, b): each class b of a prefix group with one pivot a of like size; of several pivots that with most shared tokens."""
-        percent = self.percent
-
-        def run(groups: np.ndarray, classes: np.ndarray, n: np.ndarray, *words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            bits, ends = np.column_stack(words), like_size(groups, n, percent)
-            starts, at = [], np.unique(groups, return_index=True)[1]
-            limits = np.append(at[1:], len(groups))
-            while len(at):  # windows of like size; every group opens its next one in each round
-                starts.append(at)
-                at = ends[at]
-                at, limits = at[at < limits], limits[at < limits]
-            first = np.sort(np.concatenate(starts))
-            window = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(groups))))
-            order = np.lexsort((mixed(classes.view(np.uint64)), window))
-            pivot = order[first][window]
-            some = np.flatnonzero(pivot != np.arange(len(groups)))
-            some = some[near(n[some], bits[some], n[pivot[some]], bits[pivot[some]], percent)]
-            if len(some):
-                yield classes[pivot[some]], classes[some]
-
-        met = self.grouped(prefixes.select("token", "class", "n", *WORDS), run)
-        counted = met.groupBy("a", "b").count()
-        return counted.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
-
-    def crossing(self, labelled: DataFrame) -> DataFrame:
-        """Distinct pairs a < b of different labels and like size that share a prefix token and may be near by their bitmaps.
-
-        Rows of a group's first label, often its family, do not meet each other; other rows meet all of like size.
-        """
-        percent = self.percent
-
-        def run(groups: np.ndarray, classes: np.ndarray, n: np.ndarray, labels: np.ndarray, *words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            bits, ends = np.column_stack(words), like_size(groups, n, percent)
-            main = most_common(groups, labels)
-            rows, others = np.arange(len(groups)), np.flatnonzero(~main)
-            for i, j in ranges(rows[~main], rows[~main] + 1, ends[~main]):
-                yield from fine(i, j, classes, n, labels, bits)
-            for i, k in ranges(rows[main], np.searchsorted(others, rows[main]), np.searchsorted(others, ends[main])):
-                yield from fine(i, others[k], classes, n, labels, bits)
-
-        def fine(i, j, classes, n, labels, bits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            keep = labels[i] != labels[j]
-            i, j = i[keep], j[keep]
-            keep = near(n[i], bits[i], n[j], bits[j], percent)
-            if keep.any():
-                a, b = classes[i[keep]], classes[j[keep]]
-                yield np.minimum(a, b), np.maximum(a, b)
-
-        return self.grouped(labelled.select("token", "class", "n", "label", *WORDS), run).distinct()
-
-    def described(self, wanted: DataFrame, describe, name: str) -> DataFrame:
-        """(class, n, ``name``) for the classes in ``wanted``, made anew from the texts; a bit table keeps most others back."""
-        size, known = self.size, self.spark.sparkContext.broadcast(bit_table(wanted, "class", CLASS_BITS))
+                while len(columns[0]):
+                    token = columns[0]
+                    # whole groups while they fit a block; a group that is longer is cut
+                    end = min(len(token), BLOCK - rows)
+                    if end < len(token):
+                        start = int(np.searchsorted(token, token[end]))
+                        end = start if start or rows else end
+                    if end:
+                        held.append(tuple(c[:end] for c in columns))
+                        rows += end
+                    if end < len(token):
+                        yield from out()
+                        rows = 0
+                    columns = tuple(c[end:] for c in columns)
+            yield from out()
+
+        rows = prefixes.select(F.explode("shared").alias("token"), "class", "n", *WORDS)
+        # dealt by ranges of (token, n), so a token in very many sets is spread over tasks
+        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = rows.repartitionByRange(partitions, "token", "n", "class").sortWithinPartitions("token", "n", "class").select(*names)
+        counted = dealt.mapInArrow(run, "a long, b long, n long").groupBy("a", "b", "n").count().where(f"800 * count >= {100 - percent} * n")
+        return stored(counted.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b"), "join-led")
+
+    def described(self, sets: DataFrame, pairs: DataFrame, describe, name: str) -> DataFrame:
+        """(class, n, ``name``) for the classes in ``pairs``; a bit table keeps most others back."""
+        wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b"))
+        known = self.spark.sparkContext.broadcast(bit_table(wanted, "class", power_for(16 * pairs.count())))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            done: set[int] = set()
-            for _, sets in texts_of(batches, size):
-                rows = [(c, t) for c, t in sets.each(done) if members(known.value, np.array([c]))[0]]
-                if rows:
-                    columns = [signed(np.array([c for c, _ in rows], np.uint64)), pa.array([len(t) for _, t in rows], pa.int32()), pa.array([describe(t) for _, t in rows], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["class", "n", name])
+            for batch in batches:
+                if batch.num_rows:
+                    keep = pa.array(members(known.value, batch.column(0).to_numpy().view(np.uint64)))
+                    data = [describe(t) for t in map(read_set, views(batch.column(2).filter(keep)))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(data, pa.binary())], names=["class", "n", name])
 
-        return self.docs.mapInArrow(run, f"class long, n int, {name} binary").dropDuplicates(["class"])
+        return sets.mapInArrow(run, f"class long, n long, {name} binary").dropDuplicates(["class"])
 
     def attached(self, pairs: DataFrame, facts: DataFrame, name: str) -> DataFrame:
         left = facts.toDF("a", "a_n", f"a_{name}")
         right = facts.toDF("b", "b_n", f"b_{name}")
         return pairs.join(left, "a").join(right, "b").select("a", "b", "a_n", "b_n", f"a_{name}", f"b_{name}")
 
-    def ends(self, pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    def supported(self, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+        """Pairs that share a prefix token under each further order as well, and whose sketches allow similarity ``percent``. No whole set is fetched for others."""
+        orders, least = self.orders, self.percent
 
-    def close(self, pairs: DataFrame, rows: DataFrame) -> DataFrame:
-        """Pairs whose sketches do not rule them out, so that few whole sets need to meet."""
+        def describe(tokens: np.ndarray) -> bytes:
+            # of each token 32 bits: chance equality lets a pair pass, none is lost
+            parts = [np.sort(prefix(tokens, k, least, *NO_FREQUENT) >> np.uint64(32)).astype("<u4").tobytes() for k in range(1, orders)]
+            return b"".join([*(len(x).to_bytes(4, "little") + x for x in parts), sketch(tokens)])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                for a_n, b_n, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), views(batch.column(4)), views(batch.column(5)), strict=True):
+                    at, to, fits = 0, 0, True
+                    for _ in range(1, orders):
+                        i, j = (int.from_bytes(z[k : k + 4], "little") for z, k in ((x, at), (y, to)))
+                        fits = fits and len(np.intersect1d(np.frombuffer(x, "<u4", i // 4, at + 4), np.frombuffer(y, "<u4", j // 4, to + 4))) > 0
+                        at, to = at + 4 + i, to + 4 + j
+                    keep.append(fits and differing(x[at:], y[to:]) * (100 + percent) <= (a_n + b_n) * (100 - percent))
+                keep = pa.array(keep, pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+        return stored(self.attached(pairs, self.described(sets, pairs, describe, "support"), "support").mapInArrow(run, "a long, b long"), "join-supported")
+
+    def families(self, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+        """(a, b, n, linked, lacks, difference, parity words) of b in the family of a: the tokens that the leader lacks (``lacks`` many), then those that b lacks."""
         percent = self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                rows = []
+                for i, (x, y) in enumerate(zip(views(batch.column(4)), views(batch.column(5)), strict=True)):
+                    lead, own = read_set(x), read_set(y)
+                    more, less = np.setdiff1d(own, lead, assume_unique=True), np.setdiff1d(lead, own, assume_unique=True)
+                    both = len(own) - len(more)
+                    if 100 * both >= LOOSE * (len(lead) + len(more)):
+                        rows.append((i, 100 * both >= percent * (len(lead) + len(more)), len(more), more.tobytes() + less.tobytes(), parity(own).view(np.int64)))
+                if rows:
+                    keep, words = pa.array([r[0] for r in rows]), np.array([r[4] for r in rows])
+                    columns = [batch.column(k).take(keep) for k in (0, 1, 3)] + [pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(len(WORDS)))], names=["a", "b", "n", "linked", "lacks", "difference", *WORDS])
+
+        facts = self.described(sets, pairs, lambda t: t.tobytes(), "tokens")
+        return stored(self.attached(pairs, facts, "tokens").mapInArrow(run, f"a long, b long, n long, linked boolean, lacks long, difference binary, {PARITY_TYPE}"), "join-families")
+
+    def within(self, families: DataFrame, labels: DataFrame) -> DataFrame:
+        """Linked pairs of members of one family that have different labels."""
+        percent = self.percent
+        loose = families.where("NOT linked").select("a").distinct()
+        rows = families.join(loose, "a", "left_semi").join(labels.toDF("b", "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+        rows = rows.select("a", "b", "n", "linked", "lacks", "difference", "label", *WORDS)
+        carried = ["a", "b", "n", "linked", "label", *WORDS]
+
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, tokens, probes, sizes = [], [], [], []
                 values = zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)
-                keep = pa.array([differing(x, y) * (100 + percent) <= (a_n + b_n) * (100 - percent) for a_n, b_n, x, y in values], pa.bool_())
+                for i, (n, linked, lacks, data) in enumerate(values):
+                    d = read_set(data)
+                    order = np.concatenate([np.argsort(mixed(d[:lacks])), lacks + np.argsort(mixed(d[lacks:]))]).astype(np.int64)
+                    some = min(len(d), asked(len(d), n, percent))
+                    all_ = some if linked else max(some, min(len(d), bounds(n, percent) + 1))
+                    tokens.append(d[order[:all_]])
+                    probes.append(np.arange(all_) < some)
+                    sizes.append(np.full(all_, len(d)))
+                    at.append(np.full(all_, i))
+                if at:
+                    chosen = pa.array(np.concatenate(at))
+                    columns = [batch.column(batch.schema.get_field_index(c)).take(chosen) for c in carried]
+                    yield pa.RecordBatch.from_arrays([*columns, signed(np.concatenate(tokens)), pa.array(np.concatenate(probes)), pa.array(np.concatenate(sizes).astype(np.int64))], names=[*carried, "token", "probe", "d"])
+
+        met = stored(rows.mapInArrow(emit, f"a long, b long, n long, linked boolean, label long, {PARITY_TYPE}, token long, probe boolean, d long"), "join-differences")
+        x, y = met.where("NOT linked").alias("x"), met.where("probe").alias("y")
+        once = "x.a = y.a AND x.token = y.token AND x.label <> y.label AND (y.linked OR x.b < y.b OR NOT x.probe)"
+        pairs = x.join(y, F.expr(once) & may_link("x", "y", percent)).select(F.col("x.a").alias("a"), F.least("x.b", "y.b").alias("b"), F.greatest("x.b", "y.b").alias("c")).distinct()
+
+        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                for n, m, d, e in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                    d, e = read_set(d), read_set(e)
+                    apart = len(d) + len(e) - 2 * len(np.intersect1d(d, e, assume_unique=True))
+                    keep.append(apart * (100 + percent) <= (n + m) * (100 - percent))
+                keep = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-        facts = rows.where("n > 0 AND token IS NULL").select("class", "n", "sketch").join(self.ends(pairs), "class", "left_semi").dropDuplicates(["class"])
-        return stored(self.attached(pairs, facts, "sketch").mapInArrow(run, "a long, b long"), "join-close")
+        facts = families.select("a", "b", "n", "difference")
+        both = pairs.join(facts, ["a", "b"]).join(facts.toDF("a", "c", "m", "other"), ["a", "c"])
+        return stored(both.select("b", "c", "n", "m", "difference", "other").mapInArrow(verify, "a long, b long"), "join-within")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Pairs that share a prefix token under each further order too and are of similarity ``percent`` or more on whole sets."""
-        percent, orders, none = self.percent, self.orders, (np.empty(0, np.uint64), np.empty(0, np.uint64))
+    def across(self, prefixes: DataFrame, families: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs a < b of different leaders and labels and of like size that share enough prefix tokens and may be near by their bitmaps."""
+        rows = prefixes.join(families.select(F.col("b").alias("class"), F.col("a").alias("leader")), "class", "left").join(labels.toDF("class", "label"), "class", "left")
+        rows = stored(rows.withColumns({"leader": F.coalesce("leader", "class"), "label": F.coalesce("label", "class")}), "join-led-prefixes")
+        counted = rows.select(F.explode("shared").alias("token"), "leader").groupBy("token", "leader").count()
+        main = counted.groupBy("token").agg(F.max_by("leader", F.struct("count", "leader")).alias("main"), F.count("*").alias("_leaders"))
+        main = stored(main.where("_leaders > 1").drop("_leaders"), "join-main-leaders")
+        known = self.spark.sparkContext.broadcast(bit_table(main, "token", power_for(16 * main.count())))
+        carried = ["class", "n", "leader", "label", *WORDS]
 
-        def candidate(x: np.ndarray, y: np.ndarray) -> bool:
-            return all(len(np.intersect1d(prefix(x, k, percent, *none), prefix(y, k, percent, *none), assume_unique=True)) for k in range(1, orders))
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch.column(batch.num_columns - 1)
+                tokens = lists.flatten().to_numpy()
+                keep = members(known.value, tokens.view(np.uint64))
+                at = pa.array(np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[keep])
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), *(batch.column(k).take(at) for k in range(batch.num_columns - 1))], names=["token", *carried])
+
+        met = rows.select(*carried, "shared").mapInArrow(emit, f"token long, class long, n long, leader long, label long, {PARITY_TYPE}").join(main, "token")
+        x, y = met.where("leader <> main").alias("x"), met.alias("y")
+        once = "x.token = y.token AND x.leader <> y.leader AND x.label <> y.label AND (y.leader = y.main OR x.class < y.class)"
+        found = x.join(y, F.expr(once) & may_link("x", "y", self.percent)).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"), F.least("x.n", "y.n").alias("n"))
+        found = found.groupBy("a", "b", "n").count().where("count >= 1 + n div 50")
+        return stored(found.select("a", "b"), "join-candidates")
+
+    def verified(self, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Pairs of similarity ``percent`` or more on whole sets."""
+        percent = self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = []
-                for a_n, b_n, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
-                    left, right = unpacked_set(x), unpacked_set(y)
-                    keep.append(candidate(left, right) and similar(a_n, b_n, len(np.intersect1d(left, right, assume_unique=True)), percent))
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+                for a_n, b_n, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), views(batch.column(4)), views(batch.column(5)), strict=True):
+                    both = len(np.intersect1d(read_set(x), read_set(y), assume_unique=True))
+                    keep.append(100 * both >= percent * (a_n + b_n - both))
+                keep = pa.array(keep, pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-        facts = self.described(self.ends(pairs), packed_set, "tokens")
+        facts = self.described(sets, pairs, lambda t: t.tobytes(), "tokens")
         return stored(self.attached(pairs, facts, "tokens").mapInArrow(run, "a long, b long"), "join-links")
 
     def run(self) -> DataFrame:
         rows = self.described_rows()
-        members_ = rows.where("token IS NULL").select("doc_id", "class", "n")
+        sets = rows.where("tokens IS NOT NULL").select("class", "n", "tokens")
+        described = rows.where("token IS NULL").select("doc_id", "class", "n")
         hot = self.spark.sparkContext.broadcast(self.frequent(rows))
-        prefixes = self.prefixes(hot)
-        links = self.verified(self.close(stored(self.pivots(prefixes), "join-pivots"), rows))
+        total = sets.agg(F.sum("n")).head()[0] or 0
+        prefixes = self.prefixes(sets, hot, power_for(total * (100 - self.percent) // 100))
+        families = self.families(sets, self.supported(sets, self.led(prefixes), LOOSE))
+        links = families.where("linked").select("a", "b")
+        labels = components(links)
+        links = stored(links.union(self.within(families, labels)), "join-links")
         labels = components(links)
-        labelled = prefixes.join(labels.toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-        more = self.verified(self.close(stored(self.crossing(labelled), "join-candidates"), rows))
+        more = self.verified(sets, self.supported(sets, self.across(prefixes, families, labels), self.percent))
         # links between families are links between their labels, and many are the same
         left, right = labels.toDF("a", "x"), labels.toDF("b", "y")
-        families = more.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).distinct()
-        final = components(families).toDF("label", "final")
-        least = members_.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
+        joined = more.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).distinct()
+        final = components(joined).toDF("label", "final")
+        least = described.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
         classes = least.join(labels.toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
         classes = classes.join(final, "label", "left").select("class", "least", F.coalesce("final", "label").alias("label"))
         smallest = classes.groupBy("label").agg(F.min("least").alias("component"))
         named = classes.join(smallest, "label").select("class", "component")
-        return members_.join(named, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+        return described.join(named, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def linked(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFrame:
+def linked(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id per row of ``docs`` (doc_id, text).
 
-    Rows link when their sets have ``percent`` of their union in common or more; a component's id is its smallest
-    doc_id. Null, empty and blank texts have empty sets and stand alone; texts of fewer words than ``size`` are one
-    token. A null doc_id may link others but names no component. Repeated rows and ids are rows of their own.
-    Extra columns are left out.
+    Rows link when their sets of ``size``-word shingles have ``percent`` of their union in common or more; a
+    component's id is its smallest doc_id. Null, empty and blank texts have empty sets and stand alone; texts of fewer
+    words than ``size`` are one token. A null doc_id may link others but names no component. Repeated rows and ids are
+    rows of their own. Extra columns are left out. Tokens and classes are 64-bit hashes: among ten billion different
+    sets some two pairs are expected to share a class by chance.
     """
     return Join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), percent, size).run()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked(table(spark, sf_dir, "documents"))
+    return linked(table(spark, sf_dir, "documents"), percent=85, size=4)
 
 
 ORACLE = r"""
