@@ -21,7 +21,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 COMPARED = [
     "scan_jsonl_roundtrip", "fixture_sessions", "processed_validation_summary", "session_hash_folds", "query_ledger", "labels", "audit_rebuild_labels", "setop_except_all_audit",
     "covisit_pairs", "covisit_pairs_lead", "covisit_graph", "item_statistics", "source_ranks", "candidates_topn", "negative_sampling", "demo_recommendations", "feat_source", "feat_context",
-    "feat_repeat", "feat_graph", "query_metrics", "official_score", "poisson_bootstrap", "candidate_frontier", "shortfall_accounting", "submission_validation",
+    "feat_history", "feat_repeat", "feat_interaction", "feat_graph", "core_feature_rows", "query_sampling", "demo_candidates", "demo_explanations", "demo_evaluation", "demo_contract_violations", "join_anti_coverage", "query_metrics", "official_score", "poisson_bootstrap", "candidate_frontier", "shortfall_accounting", "submission_validation",
 ]
 
 
@@ -61,9 +61,12 @@ def test_hand_calculated_graph(spark, monkeypatch):
     assert Counter(by_join) == Counter(graph.pairs(ev).select("session", "source_aid", "target_aid", "target_type", "w").collect())
 
 
-def test_catalog_size():
-    names = [n for n, _, _ in features.catalog()]
-    assert len(names) == len(set(names)) == 1482
+def test_catalog(spark):
+    rows = features.catalog()
+    names = [r[0] for r in rows]
+    assert len(names) == len(set(names)) == 1482 and set(features.CORE) < set(names) and len(features.CORE) == 28
+    assert Counter(r[1] for r in rows) == {"context": 24, "graph": 1152, "history": 99, "interaction": 11, "repeat": 160, "source": 36}
+    assert {r[3] for r in rows if r[1] in ("context", "repeat")} == {"observed prefix"} and {r[4] for r in rows} == {"float32"}
 
 
 def test_graph_features_count_missing_edges_as_zero(spark):
@@ -72,10 +75,10 @@ def test_graph_features_count_missing_edges_as_zero(spark):
     cand = spark.createDataFrame([(1, 3), (1, 1)], "session long, aid long")
     rows = {r.aid: r for r in features.graph_features(cand, prefix, edges, [("time", "all", 3, "uniform"), ("time", "carts", 3, "uniform")]).collect()}
     r = rows[3]
-    assert (r.graph_time_all_3_uniform_sum, r.graph_time_carts_3_uniform_sum) == (10, 2)
-    assert r.graph_time_all_3_uniform_mean == pytest.approx(10 / 3)
-    assert r.graph_time_all_3_uniform_std == pytest.approx(math.sqrt((16 + 4 + 16) / 3 - (10 / 3) ** 2))
-    assert rows[1].graph_time_all_3_uniform_max == 0
+    assert (r.graph_time_all_n3_uniform_sum, r.graph_time_carts_n3_uniform_sum) == (10, 2)
+    assert r.graph_time_all_n3_uniform_mean == pytest.approx(10 / 3)
+    assert r.graph_time_all_n3_uniform_std == pytest.approx(math.sqrt((16 + 4 + 16) / 3 - (10 / 3) ** 2))
+    assert rows[1].graph_time_all_n3_uniform_max == 0
     again = {r.aid: r for r in features.repeat_features(cand, prefix, (3,)).collect()}[1]
     assert (again.repeat_all_n3_count, again.repeat_all_n3_last_position, again.repeat_all_n3_span) == (2, 1, 2)
 

@@ -55,10 +55,11 @@ def query_sessions(elig: DataFrame) -> DataFrame:
 
 def sampled(sessions: DataFrame) -> DataFrame:
     """All evaluation sessions; of fit and selection the first of their budget by hash. Labels play no part."""
-    order = Window.partitionBy("split_role").orderBy(portable_hash(F.col("session"), F.lit(SEED), F.lit("sample")), "session")
-    budget = F.when(F.col("split_role") == "fit", BUDGETS["fit"]).when(F.col("split_role") == "selection", BUDGETS["selection"])
-    ranked = sessions.where("split_role <> 'evaluation'").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= budget).drop("_rank")
-    return ranked.unionByName(sessions.where("split_role = 'evaluation'"))
+    out = sessions.where("split_role = 'evaluation'")
+    draw = portable_hash(F.col("session"), F.lit(SEED), F.lit("sample"))
+    for role, budget in BUDGETS.items():
+        out = out.unionByName(sessions.where(F.col("split_role") == role).orderBy(draw, "session").limit(budget))  # every task keeps its own first ones
+    return out
 
 
 def query_events(ev: DataFrame) -> DataFrame:

@@ -81,9 +81,13 @@ def totals(unique: DataFrame) -> DataFrame:
 
 
 def pruned(edges: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """Edges in the top k of any channel of their source. The three ranks share one shuffle."""
-    ranks = [F.row_number().over(Window.partitionBy("source_aid").orderBy(F.desc(f"{c}_w"), "target_aid")) for c in CHANNELS]
-    return edges.withColumn("_best", F.least(*ranks)).where(F.col("_best") <= k).drop("_best")
+    """Edges in the top k of any channel of their source. Each channel is ranked on its own, so that tasks drop all but k edges of a hub before the shuffle."""
+    out = None
+    for c in CHANNELS:
+        order = Window.partitionBy("source_aid").orderBy(F.desc(f"{c}_w"), "target_aid")
+        one = edges.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
+        out = one if out is None else out.unionByName(one)
+    return out.distinct()
 
 
 def covisit(hist: DataFrame) -> DataFrame:

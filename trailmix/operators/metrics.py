@@ -41,6 +41,17 @@ def weighted(recalls: DataFrame, *keys: str) -> DataFrame:
     return recalls.groupBy(*keys).agg(F.when(complete, F.sum(weight_of(F.col("objective")) * F.col("recall"))).alias("score"))
 
 
+def official(rows: DataFrame) -> DataFrame:
+    """One row, ``score``: weighted pooled recall. A missing objective, a zero denominator or more hits than the denominator fails the job."""
+    sums = pooled(rows).agg(
+        F.count_if(F.col("denominator") > 0).alias("defined"), F.count_if(F.col("hits") > F.col("denominator")).alias("beyond"),
+        F.sum(weight_of(F.col("objective")) * F.col("recall")).alias("score"),
+    )
+    fault = lambda text: F.raise_error(F.lit(text)).cast("double")
+    score = F.when(F.col("defined") != len(WEIGHTS), fault("every objective needs a positive denominator")).when(F.col("beyond") > 0, fault("more hits than the denominator"))
+    return sums.select(score.otherwise(F.col("score")).alias("score"))
+
+
 def bucket(events: Column) -> Column:
     return F.when(events == 1, "1").when(events <= 5, "2-5").when(events <= 20, "6-20").otherwise("21+")
 

@@ -1,44 +1,81 @@
-"""A small co-occurrence model: symmetric session pairs, popularity, and explained recommendations."""
+"""A co-occurrence model: symmetric session pairs, popularity by action, and explained recommendations for each objective."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmix.canon import ACTIONS
+
 SCALE = 1_000_000
+POOL, TOP = 50, 20
+#: Shares of association, recency and popularity in a score.
+PARTS = (0.6, 0.3, 0.1)
+SOURCES = ("session co-occurrence", "observed prefix", "historical popularity")
 
 
 def cooccurrence(hist: DataFrame) -> DataFrame:
-    """(item, other, n): sessions that hold both items. Items of a session are distinct, so a pair counts once a session."""
+    """(item, other, n): sessions that hold both items, a pair once a session. The rows are as many as the pairs of different items of sessions."""
     items = hist.select("session", "aid").distinct()
     pairs = items.alias("a").join(items.alias("b"), "session").where("a.aid <> b.aid")
     return pairs.groupBy(F.col("a.aid").alias("item"), F.col("b.aid").alias("other")).agg(F.count("*").alias("n"))
 
 
 def popularity(hist: DataFrame) -> DataFrame:
-    return hist.groupBy("aid").agg(F.count("*").alias("n"))
+    """Per item of the catalogue its events of each action, repeats included."""
+    return hist.groupBy("aid").agg(*[F.count_if(F.col("event_type") == k).alias(f"n_{a}") for k, a in enumerate(ACTIONS)])
+
+
+def recency(prefix: DataFrame) -> DataFrame:
+    """(session, aid, recency): the best 1 / distance of an item from the end of its prefix, as an integer; ties in time by item and action."""
+    back = Window.partitionBy("session").orderBy(F.desc("ts"), F.desc("aid"), F.desc("event_type"))
+    rows = prefix.withColumn("_distance", F.row_number().over(back))
+    return rows.groupBy("session", "aid").agg(F.max(F.round(F.lit(float(SCALE)) / F.col("_distance")).cast("bigint")).alias("recency"))
+
+
+def leading(counts: DataFrame, pool: int = POOL) -> DataFrame:
+    """(objective, aid): the catalogue's ``pool`` most popular items of each action. No other item without association or recency can be among the best ``pool`` of a session."""
+    out = None
+    for a in ACTIONS:
+        one = counts.orderBy(F.desc(f"n_{a}"), "aid").limit(pool).select(F.lit(a).alias("objective"), "aid")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-def explanations(prefix: DataFrame, pairs: DataFrame, counts: DataFrame) -> DataFrame:
-    """Per (session, item): recency of the item itself, association with recent items, popularity, as integers.
+def explanations(prefix: DataFrame, pairs: DataFrame, counts: DataFrame, pool: int = POOL) -> DataFrame:
+    """Per (session, objective, item of the catalogue) recency, association with the prefix and popularity, as integers.
 
-    Recency of a prefix item is its best 1 / distance. An item is scored if it is in the prefix or associated
-    with one; others of the catalogue have only their popularity and rank below by it.
+    Items with an association or in the prefix, and the leading ones of each action; the other items of the catalogue
+    have popularity alone and rank behind these, so sessions never meet the whole catalogue.
     """
-    own = prefix.groupBy("session", "aid").agg(F.max(F.round(F.lit(float(SCALE)) / F.col("pos")).cast("bigint")).alias("recency"))
+    own, zero = recency(prefix), F.lit(0).cast("bigint")
     near = own.join(pairs.withColumnRenamed("item", "aid"), "aid").groupBy("session", F.col("other").alias("aid")).agg(F.sum(F.col("recency") * F.col("n")).alias("assoc"))
-    zero = F.lit(0).cast("bigint")
     both = own.select("session", "aid", "recency", zero.alias("assoc")).unionByName(near.select("session", "aid", zero.alias("recency"), "assoc"))
-    rows = both.groupBy("session", "aid").agg(F.max("recency").alias("recency"), F.max("assoc").alias("assoc"))
-    top = counts.agg(F.max("n").alias("top"))
-    return rows.join(counts.withColumnRenamed("n", "popularity"), "aid", "left").withColumn("popularity", F.coalesce("popularity", zero)).join(F.broadcast(top))
+    scored = both.groupBy("session", "aid").agg(F.max("recency").alias("recency"), F.max("assoc").alias("assoc"))
+    scored = scored.withColumn("objective", F.explode(F.array(*[F.lit(a) for a in ACTIONS])))
+    everyone = prefix.select("session").distinct().join(F.broadcast(leading(counts, pool)))  # three bounded lists
+    rows = scored.unionByName(everyone.select("session", "aid", "objective", zero.alias("recency"), zero.alias("assoc")))
+    rows = rows.groupBy("session", "objective", "aid").agg(F.max("recency").alias("recency"), F.max("assoc").alias("assoc"))
+    tops = counts.agg(*[F.max(f"n_{a}").alias(f"top_{a}") for a in ACTIONS])
+    of = lambda c: F.coalesce(*[F.when(F.col("objective") == a, F.col(f"{c}_{a}")) for a in ACTIONS])
+    known = rows.join(counts, "aid").crossJoin(F.broadcast(tops))  # one row
+    return known.select("session", "objective", "aid", "recency", "assoc", of("n").alias("popularity"), of("top").alias("top"))
 
 
-def recommendations(explained: DataFrame, k: int = 20) -> DataFrame:
-    """Weighted score in fixed point; ties by item."""
-    most = F.max("assoc").over(Window.partitionBy("session"))
-    assoc = F.when(most > 0, F.col("assoc").cast("double") / most).otherwise(0.0)
-    score = 0.6 * assoc + 0.3 * (F.col("recency") / F.lit(float(SCALE))) + 0.1 * (F.col("popularity") / F.col("top"))
+def _share(value: Column, most: Column) -> Column:
+    return F.when(most > 0, value.cast("double") / most).otherwise(0.0)
+
+
+def candidates(explained: DataFrame, pool: int = POOL) -> DataFrame:
+    """The best ``pool`` items per session and objective by weighted score in fixed point, ties by item."""
+    most = F.max("assoc").over(Window.partitionBy("session", "objective"))
+    a, r, p = PARTS
+    score = a * _share(F.col("assoc"), most) + r * (F.col("recency") / F.lit(float(SCALE))) + p * _share(F.col("popularity"), F.col("top"))
     rows = explained.withColumn("score", F.round(score * F.lit(1e9)).cast("bigint"))
-    rank = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("score"), "aid"))
-    return rows.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
+    rank = F.row_number().over(Window.partitionBy("session", "objective").orderBy(F.desc("score"), "aid"))
+    return rows.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= pool)
+
+
+def sources() -> Column:
+    """Names of the parts that speak for an item, comma-joined."""
+    return F.concat_ws(",", *[F.when(F.col(c) > 0, F.lit(n)) for c, n in zip(("assoc", "recency", "popularity"), SOURCES, strict=True)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,30 +10,43 @@ from pyspark.sql import functions as F
 
 from trailmix import canon
 from trailmix.operators import candidates, corpus, graph, metrics
+from trailmix.sources import files
+
+
+#: Steps already written, by application, table, its files' fingerprint and the step's name.
+_written: dict[tuple, DataFrame] = {}
 
 
 class Steps:
-    """Lazily built steps over one directory of tables; each is a plan, nothing runs or is cached here."""
+    """Steps over one directory of tables. Those on which many others build are written once a session and read from there; the rest are lazy plans."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
-    ev = cached_property(lambda self: canon.events(self.spark, self.dir))
+    def _kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        table = f"{self.dir}/events.parquet"
+        key = (self.spark.sparkContext.applicationId, table, files.fingerprint(self.spark, table), name)
+        if key not in _written:
+            _written[key] = files.kept(build(), name)
+        return _written[key]
+
+    raw = cached_property(lambda self: canon.events(self.spark, self.dir))
+    ev = cached_property(lambda self: self._kept("events", lambda: self.raw))
     roles = cached_property(lambda self: corpus.session_roles(self.ev))
     hist = cached_property(lambda self: corpus.history(self.ev))
     elig = cached_property(lambda self: corpus.eligible(self.ev))
     qs = cached_property(lambda self: corpus.query_sessions(self.elig))
     samp = cached_property(lambda self: corpus.sampled(self.qs))
-    qev = cached_property(lambda self: corpus.query_events(self.ev))
+    qev = cached_property(lambda self: self._kept("query-events", lambda: corpus.query_events(self.ev)))
     obs = cached_property(lambda self: corpus.observed(self.qev))
     lab = cached_property(lambda self: corpus.future_labels(self.qev))
     led = cached_property(lambda self: corpus.ledger(self.qev))
-    stats = cached_property(lambda self: graph.item_statistics(self.hist))
+    stats = cached_property(lambda self: self._kept("item-statistics", lambda: graph.item_statistics(self.hist)))
     tail = cached_property(lambda self: graph.tail(self.hist))
     prs = cached_property(lambda self: graph.pairs(self.tail))
     up = cached_property(lambda self: graph.unique_pairs(self.prs))
-    tot = cached_property(lambda self: graph.totals(self.up))
-    edges = cached_property(lambda self: graph.pruned(self.tot))
+    tot = cached_property(lambda self: self._kept("edge-totals", lambda: graph.totals(self.up)))
+    edges = cached_property(lambda self: self._kept("edges", lambda: graph.pruned(self.tot)))
     pop = cached_property(lambda self: graph.popular(self.stats))
 
     def role(self, role: str) -> DataFrame:
@@ -44,18 +58,18 @@ class Steps:
     def ledger_of(self, role: str) -> DataFrame:
         return self.led.where(F.col("split_role") == role)
 
+    def candidates_of(self, role: str) -> DataFrame:
+        pre = self.role(role)
+        return self._kept(f"candidates-{role}", lambda: candidates.selected(candidates.source_ranks(candidates.source_scores(pre, self.edges, self.pop)), pre))
+
     pre = cached_property(lambda self: self.role("evaluation"))
     sc = cached_property(lambda self: candidates.source_scores(self.pre, self.edges, self.pop))
     rk = cached_property(lambda self: candidates.source_ranks(self.sc))
-    cand = cached_property(lambda self: candidates.selected(self.rk, self.pre))
+    cand = cached_property(lambda self: self.candidates_of("evaluation"))
+    fit_cand = cached_property(lambda self: self.candidates_of("fit"))
     recs = cached_property(lambda self: candidates.by_objective(self.cand))
     hits = cached_property(lambda self: metrics.hits(self.recs, self.labels_of("evaluation"), self.ledger_of("evaluation")))
 
-    @cached_property
-    def fit_cand(self) -> DataFrame:
-        pre = self.role("fit")
-        return candidates.selected(candidates.source_ranks(candidates.source_scores(pre, self.edges, self.pop)), pre)
-
 
 _STATS = ",\n".join(
     f"count(*) FILTER (WHERE {of} AND ts >= 1705579200000 - {h} * 3600000::BIGINT) AS hist_{name}_h{h}" if h else f"count(*) FILTER (WHERE {of}) AS hist_{name}_all"
@@ -79,33 +93,34 @@ WITH RECURSIVE act_ AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ts, js
     CASE event_type WHEN 'purchase' THEN 2 WHEN 'signup' THEN 1 ELSE 0 END::BIGINT AS event_type FROM events WHERE event_type <> 'error'),
 ses_ AS (SELECT *, (user_id * 1000 + (ts - 1704067200000) // 259200000)::BIGINT AS session FROM act_),
 ev_ AS (SELECT session, aid, ts, event_type, row_number() OVER (PARTITION BY session ORDER BY ts, event_id) - 1 AS event_index FROM ses_),
-roles_ AS (SELECT session, min(ts) AS first_ts, CASE WHEN min(ts) < 1705579200000 THEN 'history' WHEN min(ts) < 1706054400000 THEN 'fit'
-    WHEN min(ts) < 1706313600000 THEN 'selection' WHEN min(ts) < 1706616000000 THEN 'evaluation' ELSE 'excluded' END AS split_role FROM ev_ GROUP BY session),
-rolend_ AS (SELECT *, CASE split_role WHEN 'history' THEN 1705579200000 WHEN 'fit' THEN 1706054400000 WHEN 'selection' THEN 1706313600000 ELSE 1706616000000 END::BIGINT AS period_end FROM roles_),
-hist_ AS (SELECT * FROM ev_ WHERE ts < 1705579200000),
-elig_ AS (SELECT e.*, split_role, period_end, row_number() OVER (PARTITION BY session ORDER BY event_index) AS event_position, count(*) OVER (PARTITION BY session) AS n_events
-    FROM ev_ e JOIN rolend_ r USING (session) WHERE split_role IN ('fit', 'selection', 'evaluation') AND ts < period_end),
-qs_ AS (SELECT DISTINCT session, split_role, period_end, n_events, 1 + ('0x' || substr(md5(session || '|42|prefix'), 1, 12))::BIGINT % (n_events - 1) AS prefix_events FROM elig_ WHERE n_events >= 2),
-samp_ AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY split_role ORDER BY ('0x' || substr(md5(session || '|42|sample'), 1, 12))::BIGINT, session) AS k FROM qs_)
-    WHERE split_role = 'evaluation' OR (split_role = 'fit' AND k <= 200) OR (split_role = 'selection' AND k <= 100)),
-qev_ AS (SELECT e.*, s.prefix_events FROM elig_ e JOIN samp_ s USING (session)),
-obs_ AS (SELECT session, aid, ts, event_type, event_index, split_role, period_end FROM qev_ WHERE event_position <= prefix_events),
-fut_ AS (SELECT *, row_number() OVER (PARTITION BY session, event_type ORDER BY event_index) AS turn FROM qev_ WHERE event_position > prefix_events),
-lab_ AS (SELECT session, split_role, CASE event_type WHEN 0 THEN 'clicks' WHEN 1 THEN 'carts' ELSE 'orders' END AS objective, aid, min(ts) AS label_ts, min(event_index) AS label_event_index
-    FROM fut_ WHERE event_type > 0 OR turn = 1 GROUP BY 1, 2, 3, 4),
-led_ AS (SELECT h.*, objective, coalesce(n, 0) AS true_items, least(20, coalesce(n, 0)) AS recall_denominator
-    FROM (SELECT session, split_role, period_end, min(ts) AS first_ts, max(ts) AS query_ts, max(event_index) AS observed_last_index, count(*) AS observed_events FROM obs_ GROUP BY 1, 2, 3) h
-    CROSS JOIN (VALUES ('clicks'), ('carts'), ('orders')) o(objective) LEFT JOIN (SELECT session, objective, count(*) AS n FROM lab_ GROUP BY 1, 2) c USING (session, objective)),
+period_(split_role, begins, ends, period_end) AS (VALUES ('history', 0, 1705579200000, 1705579200000), ('fit', 1705579200000, 1706054400000, 1706054400000), ('selection', 1706054400000, 1706313600000, 1706313600000),
+    ('evaluation', 1706313600000, 1706616000000, 1706616000000), ('excluded', 1706616000000, 9000000000000, 1706616000000)),
+rolend_ AS (SELECT session, first_ts, split_role, period_end FROM (SELECT session, min(ts) AS first_ts FROM ev_ GROUP BY session) JOIN period_ ON first_ts BETWEEN begins AND ends - 1),
+roles_ AS (SELECT session, first_ts, split_role FROM rolend_),
+hist_ AS (FROM ev_ WHERE ts < 1705579200000),
+size_ AS (SELECT r.session, split_role, period_end, (SELECT count(*) FROM ev_ e WHERE e.session = r.session AND e.ts < r.period_end) AS n_events FROM rolend_ r WHERE split_role NOT IN ('history', 'excluded')),
+elig_ AS (SELECT e.*, split_role, period_end, event_index + 1 AS event_position, n_events FROM size_ z JOIN ev_ e ON e.session = z.session AND e.ts < z.period_end),
+draw_of_ AS (SELECT *, ('0x' || substr(md5(session || '|42|prefix'), 1, 12))::BIGINT AS cut, ('0x' || substr(md5(session || '|42|sample'), 1, 12))::BIGINT AS turn FROM size_ WHERE n_events > 1),
+qs_ AS (SELECT session, split_role, period_end, n_events, 1 + cut % (n_events - 1) AS prefix_events, turn FROM draw_of_),
+samp_ AS (SELECT * EXCLUDE (turn) FROM ((FROM qs_ WHERE split_role = 'evaluation') UNION ALL (FROM qs_ WHERE split_role = 'fit' ORDER BY turn, session LIMIT 200) UNION ALL (FROM qs_ WHERE split_role = 'selection' ORDER BY turn, session LIMIT 100))),
+qev_ AS (SELECT e.*, s.prefix_events FROM samp_ s JOIN elig_ e ON s.session = e.session),
+obs_ AS (SELECT session, aid, ts, event_type, event_index, split_role, period_end FROM qev_ WHERE event_index < prefix_events),
+lab_ AS (SELECT session, split_role, 'clicks' AS objective, arg_min(aid, event_index) AS aid, arg_min(ts, event_index) AS label_ts, min(event_index) AS label_event_index FROM qev_ WHERE event_index >= prefix_events AND event_type = 0 GROUP BY ALL
+    UNION ALL SELECT session, split_role, ['carts', 'orders'][event_type], aid, min(ts), min(event_index) FROM qev_ WHERE event_index >= prefix_events AND event_type <> 0 GROUP BY session, split_role, event_type, aid),
+wide_ AS (SELECT session, split_role, period_end, min(ts) FILTER (seen) AS first_ts, max(ts) FILTER (seen) AS query_ts, max(event_index) FILTER (seen) AS observed_last_index, count(*) FILTER (seen) AS observed_events,
+    least(1, count(*) FILTER (NOT seen AND event_type = 0)) AS clicks, count(DISTINCT aid) FILTER (NOT seen AND event_type = 1) AS carts, count(DISTINCT aid) FILTER (NOT seen AND event_type = 2) AS orders
+    FROM (SELECT *, event_index < prefix_events AS seen FROM qev_) GROUP BY ALL),
+led_ AS (SELECT *, least(20, true_items) AS recall_denominator FROM (UNPIVOT wide_ ON clicks, carts, orders INTO NAME objective VALUE true_items)),
 stats_ AS (SELECT aid, min(ts) AS history_first_ts, max(ts) AS history_last_ts, {_STATS} FROM hist_ GROUP BY aid),
 tail_ AS (SELECT h.* FROM hist_ h JOIN (SELECT session, max(event_index) AS last FROM hist_ GROUP BY 1) USING (session) WHERE event_index > last - 30),
 prs_ AS (SELECT a.session, a.aid AS source_aid, b.aid AS target_aid, b.event_type AS target_type,
     round(exp(-abs(b.ts - a.ts)::DOUBLE / 21600000::DOUBLE) / sqrt(abs(b.event_index - a.event_index)::DOUBLE) * 1e9::DOUBLE)::BIGINT AS w
     FROM tail_ a JOIN tail_ b USING (session) WHERE abs(b.event_index - a.event_index) BETWEEN 1 AND 3 AND abs(b.ts - a.ts) <= 86400000 AND a.aid <> b.aid),
-up_ AS (SELECT session, source_aid, target_aid, max(w) AS time_w, max(w * CASE target_type WHEN 0 THEN 2 WHEN 1 THEN 60 ELSE 30 END) AS cart_w,
-    max(w * CASE target_type WHEN 0 THEN 1 WHEN 1 THEN 40 ELSE 80 END) AS order_w FROM prs_ GROUP BY 1, 2, 3),
-tot_ AS (SELECT source_aid, target_aid, sum(time_w)::BIGINT AS time_w, sum(cart_w)::BIGINT AS cart_w, sum(order_w)::BIGINT AS order_w FROM up_ GROUP BY 1, 2),
-graph_ AS (SELECT * EXCLUDE (a, b, c) FROM (SELECT *, row_number() OVER (PARTITION BY source_aid ORDER BY time_w DESC, target_aid) AS a, row_number() OVER (PARTITION BY source_aid ORDER BY cart_w DESC, target_aid) AS b,
-    row_number() OVER (PARTITION BY source_aid ORDER BY order_w DESC, target_aid) AS c FROM tot_) WHERE least(a, b, c) <= 10),
+best_ AS (SELECT session, source_aid, target_aid, max(w) FILTER (target_type = 0) AS click, max(w) FILTER (target_type = 1) AS cart, max(w) FILTER (target_type = 2) AS buy FROM prs_ GROUP BY ALL),
+up_ AS (SELECT session, source_aid, target_aid, greatest(click, cart, buy) AS time_w, greatest(2 * click, 60 * cart, 30 * buy) AS cart_w, greatest(click, 40 * cart, 80 * buy) AS order_w FROM best_),
+tot_ AS (SELECT source_aid, target_aid, sum(time_w)::BIGINT AS time_w, sum(cart_w)::BIGINT AS cart_w, sum(order_w)::BIGINT AS order_w FROM up_ GROUP BY ALL),
+graph_ AS ((FROM tot_ QUALIFY row_number() OVER (PARTITION BY source_aid ORDER BY time_w DESC, target_aid) <= 10) UNION (FROM tot_ QUALIFY row_number() OVER (PARTITION BY source_aid ORDER BY cart_w DESC, target_aid) <= 10)
+    UNION (FROM tot_ QUALIFY row_number() OVER (PARTITION BY source_aid ORDER BY order_w DESC, target_aid) <= 10)),
 day_ AS (SELECT 'clicks' AS action, aid, hist_clicks_h24 AS n FROM stats_ UNION ALL SELECT 'carts', aid, hist_carts_h24 FROM stats_ UNION ALL SELECT 'orders', aid, hist_orders_h24 FROM stats_),
 pop_ AS (SELECT * FROM (SELECT action, aid, n, row_number() OVER (PARTITION BY action ORDER BY n DESC, aid) AS list_rank FROM day_ WHERE n > 0) WHERE list_rank <= 20),
 pre_ AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY event_index DESC) AS pos FROM obs_ WHERE split_role = '{role}'),

@@ -32,7 +32,7 @@ EV_ALL = f"SELECT {EV} FROM ev_"
 
 @add("scan_events", EV_ALL)
 def _(s: Steps) -> DataFrame:
-    return s.ev.select(*EV.split(", "))
+    return s.raw.select(*EV.split(", "))
 
 
 @add("scan_pruned_filtered", "SELECT event_id, ts AS ts, aid FROM act_ WHERE event_type = 2")
@@ -42,17 +42,17 @@ def _(s: Steps) -> DataFrame:
 
 @add("scan_jsonl_roundtrip", EV_ALL)
 def _(s: Steps) -> DataFrame:
-    return sessions.flatten(sessions.parsed(sessions.to_lines(s.ev)))
+    return sessions.flatten(sessions.parsed(sessions.to_lines(s.raw)))
 
 
 @add("flatten_events", EV_ALL)
 def _(s: Steps) -> DataFrame:
-    return sessions.flatten(sessions.nested(s.ev))
+    return sessions.flatten(sessions.nested(s.raw))
 
 
 @add("sink_parquet_roundtrip", EV_ALL)
 def _(s: Steps) -> DataFrame:
-    return files.round_trip(s.ev, canon.SCHEMA)
+    return files.round_trip(s.raw, canon.SCHEMA)
 
 
 @add("file_manifest")

@@ -57,7 +57,7 @@ WEIGHT = "CASE objective WHEN 'clicks' THEN 0.1 WHEN 'carts' THEN 0.3 ELSE 0.6 E
 @add("official_score", f"SELECT objective, hits, denominator, recall, round((SELECT sum({WEIGHT} * recall) FROM {POOLED}), 9) AS weighted FROM {POOLED}")
 def _(s: Steps) -> DataFrame:
     rows = metrics.pooled(s.hits)
-    return rows.withColumn("weighted", F.round(metrics.weighted(rows).select("score").scalar(), 9))
+    return rows.withColumn("weighted", F.round(metrics.official(s.hits).scalar(), 9))
 
 
 @add("evaluation_report", """SELECT objective, count(*) AS sessions, sum(eligible)::BIGINT AS eligible, sum(hits)::BIGINT AS hits, sum(recall_denominator)::BIGINT AS denominator, round(avg(ndcg) FILTER (eligible = 1), 9) AS ndcg,

@@ -39,13 +39,13 @@ _sum, _sq = " + ".join(f"{c}_r" for c in SRC), " + ".join(f"{c}_r * {c}_r" for c
 _mean = "(" + " + ".join(f"{c}_h" for c in SRC) + ") / 5"
 SOURCE_SQL = (
     SHARES + " SELECT session, aid, "
-    + ", ".join(f"round({c}_s / 1e9::DOUBLE, 9) AS source_{c}_score, {c}_r AS source_{c}_rank, ({c}_r > 0)::BIGINT AS source_{c}_present, round({c}_h, 9) AS source_{c}_share" for c in SRC)
-    + f", ({_n})::BIGINT AS source_count, coalesce(least({', '.join(f'nullif({c}_r, 0)' for c in SRC)}), 1000000)::DOUBLE AS source_best_rank, "
+    + ", ".join(f"round({c}_s / 1e9::DOUBLE, 9) AS source_{x}_score, {c}_r AS source_{x}_rank, ({c}_r > 0)::BIGINT AS source_{x}_present, round({c}_h, 9) AS source_{x}_share" for c, x in features.SOURCE_NAMES.items())
+    + f", ({_n})::BIGINT AS source_count, coalesce(least({', '.join(f'nullif({c}_r, 0)' for c in SRC)}), 1000000)::DOUBLE AS source_rank_best, "
     + sql_of({
-        "source_mean_rank": f"CASE WHEN {_n} > 0 THEN ({_sum})::DOUBLE / ({_n}) ELSE 1e6 END",
-        "source_std_rank": f"CASE WHEN {_n} > 0 THEN sqrt(greatest(0, ({_sq})::DOUBLE / ({_n}) - (({_sum})::DOUBLE / ({_n})) * (({_sum})::DOUBLE / ({_n})))) ELSE 0 END",
-        "source_max_share": f"greatest({', '.join(f'{c}_h' for c in SRC)})", "source_mean_share": _mean,
-        "source_std_share": "sqrt((" + " + ".join(f"({c}_h - {_mean}) * ({c}_h - {_mean})" for c in SRC) + ") / 5)",
+        "source_rank_mean": f"CASE WHEN {_n} > 0 THEN ({_sum})::DOUBLE / ({_n}) ELSE 0 END",
+        "source_rank_std": f"CASE WHEN {_n} > 0 THEN sqrt(greatest(0, ({_sq})::DOUBLE / ({_n}) - (({_sum})::DOUBLE / ({_n})) * (({_sum})::DOUBLE / ({_n})))) ELSE 0 END",
+        "source_score_max": f"greatest({', '.join(f'{c}_h' for c in SRC)})", "source_score_mean": _mean,
+        "source_score_std": "sqrt((" + " + ".join(f"({c}_h - {_mean}) * ({c}_h - {_mean})" for c in SRC) + ") / 5)",
     } | {f"source_{a}_{b}_{k}": e.format(a=f"{a}_h", b=f"{b}_h") for a, b in (("time", "cart"), ("time", "order"), ("cart", "order")) for k, e in (("product", "{a} * {b}"), ("difference", "{a} - {b}"), ("ratio", "{a} / (0.01::DOUBLE + {b})"))})
     + " FROM sh_"
 ).replace(", 9) AS", ", 6) AS").replace(", 9) + 0 AS", ", 6) + 0 AS")
@@ -58,25 +58,25 @@ def _(s: Steps) -> DataFrame:
     return rounded(rows.select("session", "aid", *[c for c in rows.columns if c.startswith("source_")]), 6)
 
 
-@add("feat_context", "SELECT session, count(*) AS context_events, count(DISTINCT aid) AS context_unique, " + sql_of({
-    "context_duration_h": "(max(ts) - min(ts)) / 3600000::DOUBLE", "context_repeat_share": "1 - count(DISTINCT aid) / count(*)::DOUBLE",
-    "context_hour_sin": "sin(2 * pi() * ((max(ts) / 3600000::DOUBLE) % 24) / 24)", "context_hour_cos": "cos(2 * pi() * ((max(ts) / 3600000::DOUBLE) % 24) / 24)",
-    "context_weekday_sin": "sin(2 * pi() * ((max(ts) / 86400000::DOUBLE + 3) % 7) / 7)", "context_weekday_cos": "cos(2 * pi() * ((max(ts) / 86400000::DOUBLE + 3) % 7) / 7)",
-    "context_gap_mean": "coalesce(avg(gap), 0)", "context_gap_std": "coalesce(stddev_pop(gap), 0)", "context_gap_max": "coalesce(max(gap), 0)", "context_gap_median": "coalesce(median(gap), 0)",
-}) + ", " + ", ".join(f"count(*) FILTER ({k}) AS context_{a}_count, round(count(*) FILTER ({k}) / count(*)::DOUBLE, 9) AS context_{a}_share, round(coalesce((max(ts) - max(ts) FILTER ({k})) / 3600000::DOUBLE, -1), 9) AS context_{a}_age_h" for a, k in KINDS.items())
-    + " FROM (SELECT *, (ts - lag(ts) OVER (PARTITION BY session ORDER BY event_index)) / 1000::DOUBLE AS gap FROM pre_) GROUP BY 1")
+@add("feat_context", "SELECT session, count(*) AS query_events, count(DISTINCT aid) AS query_unique, " + sql_of({
+    "query_duration_hours": "(max(ts) - min(ts)) / 3600000::DOUBLE", "query_repeat_share": "1 - count(DISTINCT aid) / count(*)::DOUBLE",
+    "query_hour_sin": "sin(2 * pi() * ((max(ts) / 3600000::DOUBLE) % 24) / 24)", "query_hour_cos": "cos(2 * pi() * ((max(ts) / 3600000::DOUBLE) % 24) / 24)",
+    "query_weekday_sin": "sin(2 * pi() * ((max(ts) / 86400000::DOUBLE + 3) % 7) / 7)", "query_weekday_cos": "cos(2 * pi() * ((max(ts) / 86400000::DOUBLE + 3) % 7) / 7)",
+    "query_gap_mean": "coalesce(avg(gap), 0)", "query_gap_std": "coalesce(stddev_pop(gap), 0)", "query_gap_max": "coalesce(max(gap), 0)", "query_gap_median": "coalesce(median(gap), 0)",
+}) + ", " + ", ".join(f"count(*) FILTER ({k}) AS query_{a}_count, round(count(*) FILTER ({k}) / count(*)::DOUBLE, 9) AS query_{a}_share, round(coalesce((max(ts) - max(ts) FILTER ({k})) / 3600000::DOUBLE, -1), 9) AS query_{a}_last_age_hours" for a, k in KINDS.items())
+    + " FROM (SELECT *, (ts - lag(ts) OVER (PARTITION BY session ORDER BY event_index)) / 3600000::DOUBLE AS gap FROM pre_) GROUP BY 1")
 def _(s: Steps) -> DataFrame:
     return rounded(features.context_features(s.pre))
 
 
 H8 = ("all", *[f"h{x}" for x in graph.HORIZONS])
 HISTORY_SQL = (
-    "SELECT c.session, c.aid, " + ", ".join(f"coalesce(hist_{a}_{h}, 0) AS hist_{a}_{h}" for a in KINDS for h in H8) + ", (history_last_ts IS NOT NULL)::BIGINT AS hist_known, "
+    "SELECT c.session, c.aid, " + ", ".join(f"coalesce(hist_{a}_{h}, 0) AS hist_{a}_{h}" for a in KINDS for h in H8) + ", (history_last_ts IS NOT NULL)::BIGINT AS history_known, "
     + sql_of(
         {f"hist_{a}_{h}_share": f"coalesce(hist_{a}_{h}, 0) / (1::DOUBLE + coalesce(hist_{a}_all, 0))" for a in KINDS for h in H8[1:]}
-        | {f"hist_{a}_trend_{x}_{y}": f"coalesce(hist_{a}_h{x}, 0) / (1::DOUBLE + coalesce(hist_{a}_h{y}, 0)) * ({y}::DOUBLE / {x})" for a in KINDS for x, y in ((1, 6), (6, 24), (24, 72), (72, 168), (168, 336))}
+        | {f"hist_{a}_trend_h{x}_h{y}": f"coalesce(hist_{a}_h{x}, 0) / (1::DOUBLE + coalesce(hist_{a}_h{y}, 0)) * ({y}::DOUBLE / {x})" for a in KINDS for x, y in ((1, 6), (6, 24), (24, 72), (72, 168), (168, 336))}
         | {f"hist_{a}_per_click_{h}": f"coalesce(hist_{a}_{h}, 0) / (1::DOUBLE + coalesce(hist_clicks_{h}, 0))" for a in ("carts", "orders") for h in H8}
-        | {"hist_last_age_h": "coalesce((query_ts - history_last_ts) / 3600000::DOUBLE, -1)", "hist_lifetime_h": "coalesce((history_last_ts - history_first_ts) / 3600000::DOUBLE, 0)"}
+        | {"history_last_age_hours": "coalesce((query_ts - history_last_ts) / 3600000::DOUBLE, -1)", "history_lifetime_hours": "coalesce((history_last_ts - history_first_ts) / 3600000::DOUBLE, 0)"}
     )
     + " FROM cand_ c JOIN (SELECT session, max(ts) AS query_ts FROM pre_ GROUP BY 1) q USING (session) LEFT JOIN stats_ s USING (aid)"
 )
@@ -91,10 +91,10 @@ def items(s: Steps, cand: DataFrame | None = None, pre: DataFrame | None = None)
 @add("feat_history", HISTORY_SQL)
 def _(s: Steps) -> DataFrame:
     rows = features.history_features(items(s), s.stats)
-    return rounded(rows.select("session", "aid", *[c for c in rows.columns if c.startswith("hist_")]))
+    return rounded(rows.select("session", "aid", *[c for c in rows.columns if c.startswith("hist") and c not in ("history_first_ts", "history_last_ts")]))
 
 
-REPEAT_N = (3, 50)
+REPEAT_N = features.LENGTHS
 _hit = lambda k, n: f"{k} AND p.pos <= {n}"
 REPEAT_SQL = (
     ", now_ AS (SELECT session, max(ts) AS now, " + ", ".join(f"count(*) FILTER ({k} AND pos <= {n}) AS t_{a}_{n}" for a, k in KINDS.items() for n in REPEAT_N) + " FROM pre_ GROUP BY 1) SELECT c.session, c.aid, "
@@ -103,19 +103,19 @@ REPEAT_SQL = (
         f"coalesce(min(p.pos) FILTER ({_hit(k, n)}), -1) AS repeat_{a}_n{n}_last_position, coalesce(max(p.pos) FILTER ({_hit(k, n)}), -1) AS repeat_{a}_n{n}_first_position, "
         f"coalesce(max(p.pos) FILTER ({_hit(k, n)}) - min(p.pos) FILTER ({_hit(k, n)}), 0) AS repeat_{a}_n{n}_span, round(coalesce(min((now - p.ts) / 3600000::DOUBLE) FILTER ({_hit(k, n)}), -1), 9) AS repeat_{a}_n{n}_age_hours"
         for a, k in KINDS.items() for n in REPEAT_N
-    ) + ", " + ", ".join(f"round(coalesce(sum(exp(-((now - p.ts) / 3600000::DOUBLE) / {h})) FILTER ({k}), 0), 9) AS repeat_{a}_decay_{h}h" for a, k in KINDS.items() for h in (1, 6, 24, 72))
+    ) + ", " + ", ".join(f"round(coalesce(sum(exp(-((now - p.ts) / 3600000::DOUBLE) / {h})) FILTER ({k}), 0), 9) AS repeat_{a}_h{h}_decay" for a, k in KINDS.items() for h in (1, 6, 24, 72))
     + " FROM cand_ c JOIN now_ USING (session) LEFT JOIN pre_ p ON p.session = c.session AND p.aid = c.aid GROUP BY 1, 2"
 )
 
 
 @add("feat_repeat", REPEAT_SQL)
 def _(s: Steps) -> DataFrame:
-    return rounded(features.repeat_features(s.cand, s.pre, REPEAT_N))
+    return rounded(features.repeat_features(s.cand, s.pre, REPEAT_N).drop("repeats"))
 
 
-CONTEXT_SHARES = ", cx_ AS (SELECT session, " + ", ".join(f"count(*) FILTER ({KINDS[a]}) / count(*)::DOUBLE AS {a}_x" for a in ("clicks", "carts", "orders")) + " FROM pre_ GROUP BY 1), rp_ AS (SELECT session, aid, count(*) AS reps FROM pre_ WHERE pos <= 50 GROUP BY 1, 2)"
-INTERACTIONS = {f"interaction_{c}_{a}": f"{c}_h * {a}_x" for c in graph.CHANNELS for a in ("clicks", "carts", "orders")} | {
-    f"interaction_repeat_{a}": f"coalesce(reps, 0) * coalesce(hist_{a}_all, 0) / (1::DOUBLE + coalesce(hist_clicks_all, 0))" for a in ("carts", "orders")
+CONTEXT_SHARES = ", cx_ AS (SELECT session, " + ", ".join(f"count(*) FILTER ({KINDS[a]}) / count(*)::DOUBLE AS {a}_x" for a in ("clicks", "carts", "orders")) + " FROM pre_ GROUP BY 1), rp_ AS (SELECT session, aid, count(*) AS reps FROM pre_ GROUP BY 1, 2)"
+INTERACTIONS = {f"intent_{c}_{a}": f"{c}_h * {a}_x" for c in graph.CHANNELS for a in ("clicks", "carts", "orders")} | {
+    f"intent_repeat_{a}": f"coalesce(reps, 0) * coalesce(hist_{a}_all, 0) / (1::DOUBLE + coalesce(hist_clicks_all, 0))" for a in ("carts", "orders")
 }
 
 
@@ -129,14 +129,14 @@ def interaction(s: Steps, cand: DataFrame, pre: DataFrame) -> DataFrame:
     return features.interaction_features(features.source_features(cand), features.context_features(pre), features.repeat_features(cand, pre, (50,)), hist)
 
 
-GRAPH_NAMES = [("time", "all", 3, "uniform"), ("cart", "carts", 10, "position"), ("order", "all", 50, "recency_6h"), ("time", "clicks", 5, "recency_1h")]
-_W = {"uniform": "1::DOUBLE", "position": "1 / sqrt(pos::DOUBLE)", "recency_6h": "exp(-((now - ts) / 3600000::DOUBLE) / 6)", "recency_1h": "exp(-((now - ts) / 3600000::DOUBLE))"}
+GRAPH_NAMES = [("time", "all", 3, "uniform"), ("cart", "carts", 10, "position"), ("order", "all", 50, "six_hours"), ("time", "clicks", 5, "hour")]
+_W = {"uniform": "1::DOUBLE", "position": "1 / sqrt(pos::DOUBLE)", "six_hours": "exp(-((now - ts) / 3600000::DOUBLE) / 6)", "hour": "exp(-((now - ts) / 3600000::DOUBLE))"}
 _UNIT = {"time": "1e9::DOUBLE", "cart": "2e10::DOUBLE", "order": "2e10::DOUBLE"}
 
 
 def _graph_sql(c: str, a: str, n: int, w: str) -> tuple[str, str]:
     """Missing edges as explicit zeros: every prefix event meets every candidate, so this is another formulation than ours."""
-    key = f"{c}_{a}_{n}_{w}"
+    key = f"{c}_{a}_n{n}_{w}"
     on = f"FILTER ({KINDS[a]} AND pos <= {n})"
     v, x = f"(coalesce({c}_w, 0) / {_UNIT[c]})", _W[w]
     inner = f"sum({v} * {x}) {on} AS s_{key}, sum({v} * {v} * {x}) {on} AS q_{key}, max({v} * {x}) {on} AS x_{key}, sum({x}) {on} AS m_{key}"
@@ -157,18 +157,28 @@ def _(s: Steps) -> DataFrame:
     return rounded(features.graph_features(s.cand, s.pre, graph.scaled(s.edges), GRAPH_NAMES), 6)
 
 
-CORE = [f"source_{c}_{k}" for c in SRC for k in ("score", "rank", "present", "share")] + ["source_count", "source_best_rank", "source_mean_rank", "source_std_rank", "source_max_share", "source_mean_share", "source_std_share", "source_time_cart_product"]
+_core_hits = {a: f"count(p.pos) FILTER ({_hit(k, 50)})" for a, k in KINDS.items()}
+CORE_SQL = (
+    SHARES + ", qx_ AS (SELECT session, max(ts) AS now, count(*) AS query_events, count(DISTINCT aid) AS query_unique, round((max(ts) - min(ts)) / 3600000::DOUBLE, 6) AS query_duration_hours, "
+    "round(1 - count(DISTINCT aid) / count(*)::DOUBLE, 6) AS query_repeat_share, " + ", ".join(f"round(count(*) FILTER ({KINDS[a]}) / count(*)::DOUBLE, 6) AS query_{a}_share" for a in features.BUYING)
+    + " FROM pre_ GROUP BY 1), rx_ AS (SELECT c.session, c.aid, " + ", ".join(f"{h} AS repeat_{a}_n50_count" for a, h in _core_hits.items())
+    + f", coalesce(min(p.pos) FILTER ({_hit('true', 50)}), -1) AS repeat_all_n50_last_position, round(coalesce(min((now - p.ts) / 3600000::DOUBLE) FILTER ({_hit('true', 50)}), -1), 6) AS repeat_all_n50_age_hours"
+    " FROM cand_ c JOIN qx_ USING (session) LEFT JOIN pre_ p ON p.session = c.session AND p.aid = c.aid GROUP BY 1, 2) SELECT session, aid, "
+    + ", ".join(f"round({c}_s / 1e9::DOUBLE, 6) AS source_{x}_score, {c}_r AS source_{x}_rank, round({c}_h, 6) AS source_{x}_share" for c, x in features.SOURCE_NAMES.items())
+    + f", ({_n})::BIGINT AS source_count, " + ", ".join(n for n in features.CORE if not n.startswith("source_")) + " FROM sh_ JOIN qx_ USING (session) JOIN rx_ USING (session, aid)"
+)
 
 
-@add("core_feature_rows", f"SELECT session, aid, {', '.join(CORE)} FROM ({SOURCE_SQL.replace(SHARES, '')})".replace("SELECT session", SHARES + " SELECT session", 1))
+@add("core_feature_rows", CORE_SQL)
 def _(s: Steps) -> DataFrame:
-    return rounded(features.source_features(s.cand).select("session", "aid", *CORE), 6)
+    rows = features.source_features(s.cand).join(features.context_features(s.pre), "session").join(features.repeat_features(s.cand, s.pre, (50,)), ["session", "aid"])
+    return rounded(features.finite(rows, list(features.CORE)).select("session", "aid", *features.CORE), 6)
 
 
 @add("feature_catalog")
 def _(s: Steps) -> DataFrame:
     """Rows only: 1,482 features as data."""
-    return s.spark.createDataFrame(features.catalog(), "name string, family string, definition string")
+    return s.spark.createDataFrame(features.catalog(), "name string, family string, definition string, availability string, dtype string")
 
 
 SCREENED = ["time_s", "cart_s", "order_s", "revisit_s", "popular_s", "candidate_position", "fusion", "time_r", "revisit_r"]

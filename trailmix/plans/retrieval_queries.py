@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmix.operators import candidates, graph, metrics, simple
+from trailmix.canon import HISTORY_END
+from trailmix.operators import candidates, graph, simple
 from trailmix.plans.base import Steps, prelude
 
 QUERIES: dict[str, object] = {}
@@ -34,7 +35,8 @@ def _(s: Steps) -> DataFrame:
 
 @add("covisit_pairs", "SELECT session, source_aid, target_aid, target_type, w FROM prs_")
 def _(s: Steps) -> DataFrame:
-    return graph.pairs_by_join(s.tail)
+    """By ``lead``, which is linear in a session; ``graph.pairs_by_join`` is the join form, a check on it in the tests."""
+    return s.prs.select("session", "source_aid", "target_aid", "target_type", "w")
 
 
 @add("covisit_pairs_lead", "SELECT session, source_aid, target_aid, target_type, w FROM prs_")
@@ -165,17 +167,22 @@ def _(s: Steps) -> DataFrame:
     ).withColumn("missing", missing)
 
 
-# The small model.
+# The small model. Its SQL scores the whole catalogue for every session, as the model is defined; the plan does not.
 DEMO = """, it_ AS (SELECT DISTINCT session, aid FROM hist_), co_ AS (SELECT a.aid AS item, b.aid AS other, count(*) AS n FROM it_ a JOIN it_ b USING (session) WHERE a.aid <> b.aid GROUP BY 1, 2),
-cnt_ AS (SELECT aid, count(*) AS n FROM hist_ GROUP BY 1), own_ AS (SELECT session, aid, round(1e6::DOUBLE / min(pos))::BIGINT AS recency FROM pre_ GROUP BY 1, 2),
+cnt_ AS (SELECT aid, count(*) FILTER (event_type = 0) AS n_clicks, count(*) FILTER (event_type = 1) AS n_carts, count(*) FILTER (event_type = 2) AS n_orders FROM hist_ GROUP BY 1),
+pop3_ AS (SELECT objective, aid, popularity, max(popularity) OVER (PARTITION BY objective) AS top FROM (SELECT 'clicks' AS objective, aid, n_clicks AS popularity FROM cnt_ UNION ALL SELECT 'carts', aid, n_carts FROM cnt_ UNION ALL SELECT 'orders', aid, n_orders FROM cnt_)),
+far_ AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts DESC, aid DESC, event_type DESC) AS distance FROM obs_ WHERE split_role = 'evaluation'),
+own_ AS (SELECT session, aid, round(1e6::DOUBLE / min(distance))::BIGINT AS recency FROM far_ GROUP BY 1, 2),
 as_ AS (SELECT session, other AS aid, sum(recency * n)::BIGINT AS assoc FROM own_ JOIN co_ ON item = aid GROUP BY 1, 2),
-why_ AS (SELECT session, aid, coalesce(recency, 0) AS recency, coalesce(assoc, 0) AS assoc, coalesce(n, 0) AS popularity FROM own_ FULL JOIN as_ USING (session, aid) LEFT JOIN cnt_ USING (aid)),
-dsc_ AS (SELECT *, round((0.6::DOUBLE * (CASE WHEN max(assoc) OVER (PARTITION BY session) > 0 THEN assoc::DOUBLE / max(assoc) OVER (PARTITION BY session) ELSE 0 END) + 0.3::DOUBLE * (recency / 1e6::DOUBLE) + 0.1::DOUBLE * (popularity / (SELECT max(n) FROM cnt_)::DOUBLE)) * 1e9::DOUBLE)::BIGINT AS score FROM why_),
-drec_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY score DESC, aid) AS rank FROM dsc_) WHERE rank <= 20) """
+why_ AS (SELECT session, objective, aid, coalesce(recency, 0) AS recency, coalesce(assoc, 0) AS assoc, popularity, top FROM (SELECT DISTINCT session FROM far_) CROSS JOIN pop3_ LEFT JOIN own_ USING (session, aid) LEFT JOIN as_ USING (session, aid)),
+dsc_ AS (SELECT *, round((0.6::DOUBLE * (CASE WHEN max(assoc) OVER (PARTITION BY session, objective) > 0 THEN assoc::DOUBLE / max(assoc) OVER (PARTITION BY session, objective) ELSE 0 END) + 0.3::DOUBLE * (recency / 1e6::DOUBLE)
+    + 0.1::DOUBLE * (CASE WHEN top > 0 THEN popularity / top::DOUBLE ELSE 0 END)) * 1e9::DOUBLE)::BIGINT AS score FROM why_),
+dcand_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session, objective ORDER BY score DESC, aid) AS rank FROM dsc_) WHERE rank <= 50) """
 
 
 def demo(s: Steps) -> DataFrame:
-    return simple.recommendations(simple.explanations(s.pre, simple.cooccurrence(s.hist), simple.popularity(s.hist)))
+    """Candidates of every session and objective; the first 20 are recommended."""
+    return simple.candidates(simple.explanations(s.pre, simple.cooccurrence(s.hist), simple.popularity(s.hist)))
 
 
 @add("demo_cooccurrence", DEMO + "SELECT item, other, n FROM co_")
@@ -183,37 +190,49 @@ def _(s: Steps) -> DataFrame:
     return simple.cooccurrence(s.hist)
 
 
-@add("demo_popularity", DEMO + "SELECT aid, n FROM cnt_")
+@add("demo_popularity", DEMO + "SELECT aid, n_clicks, n_carts, n_orders FROM cnt_")
 def _(s: Steps) -> DataFrame:
     return simple.popularity(s.hist)
 
 
-@add("demo_recommendations", DEMO + "SELECT session, aid, score, rank FROM drec_")
+@add("demo_candidates", DEMO + "SELECT session, objective, aid, score, rank FROM dcand_")
+def _(s: Steps) -> DataFrame:
+    return demo(s).select("session", "objective", "aid", "score", "rank")
+
+
+@add("demo_recommendations", DEMO + "SELECT session, objective, aid, score, rank FROM dcand_ WHERE rank <= 20")
 def _(s: Steps) -> DataFrame:
-    return demo(s).select("session", "aid", "score", "rank")
+    return demo(s).where(F.col("rank") <= simple.TOP).select("session", "objective", "aid", "score", "rank")
 
 
-@add("demo_explanations", DEMO + "SELECT session, aid, recency, assoc, popularity FROM drec_")
+@add("demo_explanations", DEMO + """SELECT session, objective, aid, recency, assoc, popularity, concat_ws(',', CASE WHEN assoc > 0 THEN 'session co-occurrence' END, CASE WHEN recency > 0 THEN 'observed prefix' END, CASE WHEN popularity > 0 THEN 'historical popularity' END) AS sources
+    FROM dcand_ WHERE rank <= 20""")
 def _(s: Steps) -> DataFrame:
-    return demo(s).select("session", "aid", "recency", "assoc", "popularity")
+    return demo(s).where(F.col("rank") <= simple.TOP).select("session", "objective", "aid", "recency", "assoc", "popularity", simple.sources().alias("sources"))
 
 
-@add("demo_evaluation", DEMO + """SELECT objective, sum(hits)::BIGINT AS hits, sum(recall_denominator)::BIGINT AS denominator, CASE WHEN sum(recall_denominator) > 0 THEN sum(hits) / sum(recall_denominator)::DOUBLE ELSE 0 END AS recall FROM (
-    SELECT l.session, objective, any_value(recall_denominator) AS recall_denominator, count(r.aid) AS hits FROM led_ l LEFT JOIN lab_ USING (session, objective) LEFT JOIN drec_ r ON r.session = l.session AND r.aid = lab_.aid WHERE l.split_role = 'evaluation' GROUP BY 1, 2) GROUP BY 1""")
+@add("demo_evaluation", DEMO + """SELECT objective, sum(hits)::BIGINT AS hits, sum(denominator)::BIGINT AS denominator, sum(candidate_hits)::BIGINT AS candidate_hits, CASE WHEN sum(denominator) > 0 THEN sum(hits) / sum(denominator)::DOUBLE ELSE 0 END AS recall,
+    CASE WHEN sum(denominator) > 0 THEN sum(candidate_hits) / sum(denominator)::DOUBLE ELSE 0 END AS candidate_oracle FROM (SELECT l.session, objective, any_value(recall_denominator) AS denominator, count(*) FILTER (rank <= 20) AS hits, least(20, count(rank)) AS candidate_hits
+    FROM led_ l LEFT JOIN lab_ t USING (session, objective) LEFT JOIN dcand_ d USING (session, objective, aid) WHERE l.split_role = 'evaluation' GROUP BY 1, 2) GROUP BY 1""")
 def _(s: Steps) -> DataFrame:
-    met = demo(s).select("session", "aid").join(s.labels_of("evaluation"), ["session", "aid"]).groupBy("session", "objective").agg(F.count("*").alias("hits"))
-    rows = s.ledger_of("evaluation").join(met, ["session", "objective"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)).cast("bigint"))
-    return metrics.pooled(rows).withColumn("recall", F.coalesce("recall", F.lit(0.0)))
+    met = demo(s).select("session", "objective", "aid", "rank").join(s.labels_of("evaluation").select("session", "objective", "aid"), ["session", "objective", "aid"])
+    met = met.groupBy("session", "objective").agg(F.count_if(F.col("rank") <= simple.TOP).alias("hits"), F.least(F.lit(20), F.count("*")).cast("bigint").alias("candidate_hits"))
+    zero = F.lit(0).cast("bigint")
+    rows = s.ledger_of("evaluation").join(met, ["session", "objective"], "left").withColumns({c: F.coalesce(c, zero) for c in ("hits", "candidate_hits")})
+    sums = rows.groupBy("objective").agg(F.sum("hits").alias("hits"), F.sum("recall_denominator").alias("denominator"), F.sum("candidate_hits").alias("candidate_hits"))
+    share = lambda c: F.when(F.col("denominator") > 0, F.col(c) / F.col("denominator")).otherwise(0.0)
+    return sums.withColumns({"recall": share("hits"), "candidate_oracle": share("candidate_hits")})
 
 
-@add("demo_contract_violations", DEMO + """SELECT (SELECT count(*) FROM drec_ ANTI JOIN (SELECT DISTINCT session FROM pre_) USING (session)) AS unknown_sessions, (SELECT count(*) FROM drec_ ANTI JOIN why_ USING (session, aid)) AS not_candidates,
-    (SELECT count(*) - count(DISTINCT (session, aid)) FROM drec_) AS repeated, (SELECT count(*) FROM pre_ WHERE aid < 0 OR ts < 0) AS negatives""")
+@add("demo_contract_violations", DEMO + """SELECT (SELECT count(*) FROM dcand_ WHERE session NOT IN (SELECT session FROM far_)) AS unknown_sessions, (SELECT count(*) FROM dcand_ WHERE aid NOT IN (SELECT aid FROM hist_)) AS outside_catalog,
+    (SELECT count(*) - count(DISTINCT (session, objective, aid)) FROM dcand_) AS repeated, (SELECT count(*) FROM (SELECT session, objective FROM dcand_ GROUP BY 1, 2 HAVING count(*) < 20)) AS too_few,
+    (SELECT count(*) FROM far_ WHERE aid < 0 OR ts < 0 OR event_type NOT IN (0, 1, 2)) AS bad_events, (SELECT count(*) FROM led_ WHERE split_role = 'evaluation' AND query_ts < 1705579200000) AS early_queries""")
 def _(s: Steps) -> DataFrame:
-    got = demo(s).select("session", "aid")
-    why = simple.explanations(s.pre, simple.cooccurrence(s.hist), simple.popularity(s.hist)).select("session", "aid")
+    got = demo(s).select("session", "objective", "aid")
     n = lambda d: d.agg(F.count("*").alias("n")).scalar()
-    rows = got.agg((F.count("*") - F.countDistinct("session", "aid")).alias("repeated"))
+    rows = got.agg((F.count("*") - F.countDistinct("session", "objective", "aid")).alias("repeated"))
     return rows.select(
-        n(got.join(s.pre.select("session").distinct(), "session", "left_anti")).alias("unknown_sessions"), n(got.join(why, ["session", "aid"], "left_anti")).alias("not_candidates"),
-        "repeated", n(s.pre.where("aid < 0 OR ts < 0")).alias("negatives"),
+        n(got.join(s.pre.select("session").distinct(), "session", "left_anti")).alias("unknown_sessions"), n(got.join(s.hist.select("aid").distinct(), "aid", "left_anti")).alias("outside_catalog"), "repeated",
+        n(got.groupBy("session", "objective").count().where(F.col("count") < simple.TOP)).alias("too_few"), n(s.pre.where("aid < 0 OR ts < 0 OR event_type NOT IN (0, 1, 2)")).alias("bad_events"),
+        n(s.ledger_of("evaluation").where(F.col("query_ts") < HISTORY_END)).alias("early_queries"),
     )

@@ -10,11 +10,35 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder shared by driver and executors, as the cluster names it; a local one where it is unset."""
+    """The folder shared by driver and executors, as the cluster names it. Local sessions may leave it unset, a cluster must not."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (found or tempfile.mkdtemp(prefix="trailmix-")).rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str):
+    """The path as Hadoop sees it, and its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def fingerprint(spark: SparkSession, path: str) -> tuple:
+    """Names, lengths and times of the files of a table; another one tells that the table has been replaced."""
+    at, system = file_system(spark, path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in system.listStatus(at)))
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet and read back; the files go when the session's JVM ends."""
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at, system = file_system(spark, path)
+    system.deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_parts(df: DataFrame, path: str, rows_per_part: int = 250_000) -> None:
     """zstd Parquet parts of bounded length; the commit protocol leaves no half-written parts."""
     df.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", rows_per_part).parquet(path)
