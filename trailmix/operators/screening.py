@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from functools import reduce
+
+import numpy as np
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.stat import Correlation
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmix.operators.metrics import WEIGHTS
@@ -54,32 +58,30 @@ def statuses(rows: DataFrame, features: list[str]) -> DataFrame:
     return joined.join(firsts, "content", "left").select("feature", status.alias("status"), "utility", "place")
 
 
-def retained(rows: DataFrame, features: list[str], core: list[str], limit: float = 0.995, most: int = 128) -> list[str]:
-    """Core features first, then by utility: each stays unless it correlates too strongly with one that stays.
+def correlation_matrix(rows: DataFrame, names: list[str]) -> np.ndarray:
+    """Correlations of columns, 0 where one is constant. Columns by columns; rows are reduced on executors."""
+    vectors = VectorAssembler(inputCols=names, outputCol="v").transform(rows.select(*[F.col(f).cast("double").alias(f) for f in names]))
+    return np.nan_to_num(Correlation.corr(vectors, "v").head()[0].toArray())
 
-    The correlation matrix is features by features; rows are reduced on executors.
-    """
-    from pyspark.ml.stat import Correlation
 
-    found = {r["feature"]: r for r in statuses(rows, features).where("status = 'eligible'").collect()}
-    names = [f for f in features if f in found and (found[f]["utility"] > 0 or f in core)]
+def retained(rows: DataFrame, utility: dict[str, float], core: list[str], limit: float = 0.995, most: int = 128) -> list[str]:
+    """Protected features, all of them, then others of positive utility by utility and name: each stays unless it correlates too strongly with one that stays."""
+    names = sorted(set(core) | {f for f, u in utility.items() if u > 0}, key=lambda f: (f not in core, -utility.get(f, 0.0), f))
     if not names:
         return []
-    vectors = VectorAssembler(inputCols=names, outputCol="v").transform(rows.select(*[F.col(f).cast("double").alias(f) for f in names]))
-    matrix = Correlation.corr(vectors, "v").head()[0].toArray()
-    at = {f: i for i, f in enumerate(names)}
-    kept: list[str] = []
-    for f in sorted(names, key=lambda f: (f not in core, -found[f]["utility"], f)):
-        if len(kept) < most and all(abs(matrix[at[f], at[g]]) < limit for g in kept):
-            kept.append(f)
-    return kept
+    matrix = correlation_matrix(rows, names)
+    kept: list[int] = []
+    for i, f in enumerate(names):
+        if f in core or len(kept) < most and all(abs(matrix[i, j]) < limit for j in kept):
+            kept.append(i)
+    return [names[i] for i in kept]
 
 
 class Ranker:
-    """A pointwise ranker per objective: boosted trees, or a linear model whose contributions add up."""
+    """A pointwise ranker per objective: boosted trees."""
 
-    def __init__(self, features: list[str], objective: str, linear: bool = False, seed: int = 5):
-        self.features, self.objective, self.linear, self.seed = features, objective, linear, seed
+    def __init__(self, features: list[str], objective: str, rounds: int = 8, seed: int = 5):
+        self.features, self.objective, self.rounds, self.seed, self.best = list(features), objective, rounds, seed, rounds - 1
 
     def vectors(self, rows: DataFrame) -> DataFrame:
         ready = rows.withColumns({f"_{f}": F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in self.features})
@@ -88,15 +90,64 @@ class Ranker:
     def fit(self, rows: DataFrame) -> Ranker:
         label = f"target_{self.objective}"
         data = self.vectors(rows).select("_v", F.col(label).cast("double").alias("label"))
-        if self.linear:
-            self.model = LogisticRegression(featuresCol="_v", labelCol="label", regParam=0.01, maxIter=30).fit(data)
-        else:
-            self.model = GBTClassifier(featuresCol="_v", labelCol="label", maxIter=8, maxDepth=4, seed=self.seed).fit(data)
+        self.model = GBTClassifier(featuresCol="_v", labelCol="label", maxIter=self.rounds, maxDepth=4, seed=self.seed).fit(data)
+        return self
+
+    def margins(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with an array of scores, after each round of boosting."""
+        ready, terms = self.vectors(rows), []
+        for i, (tree, weight) in enumerate(zip(self.model.trees, self.model.treeWeights, strict=True)):
+            ready = tree.copy().setFeaturesCol("_v").setPredictionCol(f"_tree_{i}").transform(ready)
+            terms.append(weight * F.col(f"_tree_{i}"))
+        sums = [sum(terms[1 : k + 1], terms[0]) for k in range(len(terms))]
+        return ready.withColumn("margins", F.array(*sums)).drop(*[f"_tree_{i}" for i in range(len(terms))])
+
+    def tuned(self, rows: DataFrame, labels: DataFrame, denominators: DataFrame, top: int = 20) -> Ranker:
+        """Keep the first number of rounds with the greatest recall over all queries of ``rows``."""
+        placed = self.margins(rows).select("session", "aid", F.posexplode("margins").alias("round", "score"))
+        hits = {r["round"]: r["hits"] for r in recalled(placed, labels.where(F.col("objective") == self.objective), ["round"], top).collect()}
+        asked = denominators.where(F.col("objective") == self.objective).agg(F.sum("recall_denominator")).head()[0] or 0
+        self.best = min(hits, key=lambda k: (-hits[k], k)) if hits else 0
+        self.recall = hits.get(self.best, 0) / asked if asked else 0.0
         return self
 
     def scores(self, rows: DataFrame) -> DataFrame:
-        return self.model.transform(self.vectors(rows)).withColumn("score", vector_to_array("probability")[1])
+        return self.margins(rows).withColumn("score", F.col("margins")[self.best])
+
+    def log_loss(self, rows: DataFrame) -> float:
+        p = F.least(F.greatest(vector_to_array("probability")[1], F.lit(1e-15)), F.lit(1 - 1e-15))
+        y = F.col(f"target_{self.objective}").cast("double")
+        found = self.model.transform(self.vectors(rows)).agg(F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("loss")).head()["loss"]
+        return float(found or 0.0)
 
     def importance(self) -> dict[str, float]:
-        values = self.model.coefficients if self.linear else self.model.featureImportances
-        return {f: abs(float(v)) for f, v in zip(self.features, values.toArray(), strict=True)}
+        """Share of the gain of each feature."""
+        values = self.model.featureImportances.toArray().tolist()
+        total = sum(values) or 1.0
+        return {f: v / total for f, v in zip(self.features, values, strict=True)}
+
+
+class Linear:
+    """Ridge regressions of any subset of features on any target, all from one matrix of correlations: many models cost one pass over the rows."""
+
+    def __init__(self, rows: DataFrame, features: list[str], ridge: float = 0.01):
+        self.names, self.ridge = [*features, *[f"target_{o}" for o in WEIGHTS]], ridge
+        self.matrix = correlation_matrix(rows, self.names)
+        spread = rows.agg(*[F.stddev_pop(F.col(f).cast("double")).alias(f) for f in self.names]).head()
+        self.spread = np.array([spread[f] or 0.0 for f in self.names], float)
+
+    def weights(self, features: list[str], objective: str) -> dict[str, float]:
+        at = [self.names.index(f) for f in features if self.spread[self.names.index(f)] > 0]
+        told = np.linalg.solve(self.matrix[np.ix_(at, at)] + self.ridge * np.eye(len(at)), self.matrix[at, self.names.index(f"target_{objective}")])
+        return {self.names[i]: float(b / self.spread[i]) for i, b in zip(at, told, strict=True)}
+
+    def score(self, features: list[str], objective: str) -> Column:
+        return reduce(lambda a, b: a + b, [F.col(f).cast("double") * w for f, w in self.weights(features, objective).items()], F.lit(0.0))
+
+
+def recalled(scored: DataFrame, labels: DataFrame, keys: list[str], top: int) -> DataFrame:
+    """Hits among the ``top`` rows of each query by score, ties by item, summed per ``keys``; 0 where there are none."""
+    order = Window.partitionBy(*keys, "session").orderBy(F.desc("score"), "aid")
+    first = scored.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= top)
+    met = first.join(labels.select("session", "aid", F.lit(1).alias("_hit")), ["session", "aid"], "left")
+    return met.groupBy(*keys).agg(F.count("_hit").alias("hits"))

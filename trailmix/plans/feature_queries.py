@@ -181,93 +181,171 @@ def _(s: Steps) -> DataFrame:
     return s.spark.createDataFrame(features.catalog(), "name string, family string, definition string, availability string, dtype string")
 
 
-SCREENED = ["time_s", "cart_s", "order_s", "revisit_s", "popular_s", "candidate_position", "fusion", "time_r", "revisit_r"]
-_LONG = ", lg_ AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {f}::DOUBLE AS value, target_clicks, target_carts, target_orders FROM tgt_" for f in SCREENED) + ") "
+#: Features that screening, rankers and studies of the registered queries look at, by family: the protected ones and some more of each.
+STUDIED = {
+    "source": [n for n in features.CORE if n.startswith("source_")] + ["source_rank_best", "source_rank_mean", "source_score_max", "source_time_cart_product"],
+    "context": [n for n in features.CORE if n.startswith("query_")] + ["query_hour_sin", "query_hour_cos", "query_gap_mean", "query_clicks_last_age_hours"],
+    "history": ["hist_all_all", "hist_clicks_h24", "hist_carts_h72", "hist_orders_h168", "hist_all_h24_share", "hist_clicks_trend_h1_h6", "hist_carts_per_click_all", "hist_orders_per_click_all", "history_known", "history_last_age_hours"],
+    "repeat": [n for n in features.CORE if n.startswith("repeat_")] + ["repeat_all_n5_share", "repeat_all_h6_decay"],
+    "interaction": [f"intent_{c}_{a}" for c in graph.CHANNELS for a in ("clicks", "carts", "orders")] + ["intent_repeat_carts", "intent_repeat_orders"],
+    "graph": [f"graph_{c}_{a}_n{n}_{w}_{k}" for c, a, n, w in GRAPH_NAMES for k in features.STATISTICS],
+}
+ALL = [n for names in STUDIED.values() for n in names]
+TARGETS = [f"target_{o}" for o in metrics.WEIGHTS]
+ROLES = ("fit", "selection", "evaluation")
+
+
+def matrix(s: Steps, role: str) -> DataFrame:
+    """Candidates of a role with their targets and the studied features of all six families; written once."""
+
+    def build() -> DataFrame:
+        cand, pre = s.candidates_of(role), s.role(role)
+        source, context, repeat = features.source_features(cand), features.context_features(pre), features.repeat_features(cand, pre, (5, 50))
+        hist = features.history_features(items(s, cand, pre), s.stats)
+        both = [repeat, hist.drop("query_ts"), features.interaction_features(source, context, repeat, hist), features.graph_features(cand, pre, graph.scaled(s.edges), GRAPH_NAMES)]
+        rows = source.join(context, "session")
+        for other in both:
+            rows = rows.join(other, ["session", "aid"])
+        rows = candidates.with_targets(rows.select("session", "aid", "candidate_position", *ALL), s.labels_of(role))
+        return features.finite(rows, ALL)
+
+    return s._kept(f"matrix-{role}", build)
+
+
+_LONG = CORE_SQL.replace(" SELECT session, aid, " + f"round({SRC[0]}_s", f", core_ AS (SELECT session, aid, round({SRC[0]}_s") + "), lg_ AS (" + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, {f}::DOUBLE AS value, target_clicks, target_carts, target_orders FROM core_ JOIN tgt_ USING (session, aid)" for f in features.CORE) + ") "
 
 
 def screened(s: Steps) -> DataFrame:
-    return candidates.with_targets(s.fit_cand, s.labels_of("fit"))
+    """The protected features of the fit role as the SQL has them, with targets."""
+    rows = matrix(s, "fit")
+    return rounded(rows.select("session", "aid", *TARGETS, *features.CORE), 6)
 
 
 @add("screen_quality", _LONG + "SELECT feature, sum(n)::BIGINT AS n, count(*) AS distinct_values, max(n) / sum(n)::DOUBLE AS mode_share, min(value) AS least, max(value) AS most FROM (SELECT feature, value, count(*) AS n FROM lg_ GROUP BY 1, 2) GROUP BY 1", role="fit")
 def _(s: Steps) -> DataFrame:
-    return screening.quality(screened(s), SCREENED)
+    return screening.quality(screened(s), list(features.CORE))
 
 
-@add("screen_correlations", _LONG + "SELECT feature, " + ", ".join(f"round(CASE WHEN min(value) < max(value) AND min(target_{o}) < max(target_{o}) THEN corr(value, target_{o}) ELSE 0 END, 9) AS rho_{o}" for o in metrics.WEIGHTS) + " FROM lg_ GROUP BY 1", role="fit")
+@add("screen_correlations", _LONG + "SELECT feature, " + ", ".join(f"round(CASE WHEN min(value) < max(value) AND min(target_{o}) < max(target_{o}) THEN corr(value, target_{o}) ELSE 0 END, 6) + 0 AS rho_{o}" for o in metrics.WEIGHTS) + " FROM lg_ GROUP BY 1", role="fit")
 def _(s: Steps) -> DataFrame:
-    return rounded(screening.correlations(screened(s), SCREENED))
+    rows = screening.correlations(screened(s), list(features.CORE))
+    return rows.select("feature", *[(F.round(f"rho_{o}", 6) + F.lit(0.0)).alias(f"rho_{o}") for o in metrics.WEIGHTS])
 
 
 @add("screening_rejections")
 def _(s: Steps) -> DataFrame:
-    """Rows only: counts of statuses."""
-    rows = screened(s).withColumns({"copy_of_time": F.col("time_s"), "constant_one": F.lit(1), "leak": F.col("target_orders")})
-    return screening.statuses(rows, [*SCREENED, "copy_of_time", "constant_one", "leak"]).groupBy("status").count()
+    """Rows only: counts of statuses and families over the studied features and three planted ones."""
+    rows = matrix(s, "fit").withColumns({"copy_of_time": F.col("source_time_score"), "constant_one": F.lit(1), "leak": F.col("target_orders")})
+    family = {n: k for k, names in STUDIED.items() for n in names}
+    named = F.coalesce(F.create_map(*[F.lit(x) for kv in family.items() for x in kv])[F.col("feature")], F.lit("planted"))
+    return screening.statuses(rows, [*ALL, "copy_of_time", "constant_one", "leak"]).groupBy("status", named.alias("family")).count()
 
 
 def training(s: Steps) -> DataFrame:
-    return candidates.training_sample(screened(s))
+    return candidates.training_sample(matrix(s, "fit"))
 
 
-@add("screen_pilot_importance")
-def _(s: Steps) -> DataFrame:
-    """Rows only: gains of grouped three-fold pilots on one objective, folds by session hash."""
+PILOTS = "objective string, fold long, feature string, gain double, log_loss double"
+
+
+def pilots(s: Steps) -> list[tuple]:
+    """(objective, fold, feature, share of gain, log-loss on the fold) of nine models, fitted once; folds by session hash."""
+    return [tuple(r) for r in s._kept("pilots", lambda: s.spark.createDataFrame(_pilots(s), PILOTS)).collect()]
+
+
+def _pilots(s: Steps) -> list[tuple]:
     rows = training(s).withColumn("fold", portable_hash(F.col("session"), F.lit("fold")) % 3)
     made = []
-    for fold in range(3):
-        gains = screening.Ranker(SCREENED, "clicks").fit(rows.where(F.col("fold") != fold)).importance()
-        made += [(fold, f, g) for f, g in gains.items()]
-    return s.spark.createDataFrame(made, "fold long, feature string, gain double")
+    for objective in metrics.WEIGHTS:
+        for fold in range(3):
+            model = screening.Ranker(ALL, objective, rounds=3).fit(rows.where(F.col("fold") != fold))
+            loss = model.log_loss(rows.where(F.col("fold") == fold))
+            made += [(objective, fold, f, g, loss) for f, g in model.importance().items()]
+    return made
+
+
+def utilities(found: list[tuple]) -> dict[str, float]:
+    """Mean share of gain over folds, weighted over objectives."""
+    out = dict.fromkeys(ALL, 0.0)
+    for objective, _, f, gain, _ in found:
+        out[f] += metrics.WEIGHTS[objective] * gain / 3
+    return out
+
+
+@add("screen_pilot_importance")
+def _(s: Steps) -> DataFrame:
+    """Rows only: nine grouped pilots, three folds for each objective, with the share of pilots in which a feature has any gain."""
+    found = pilots(s)
+    used = {f: sum(g > 0 for _, _, x, g, _ in found if x == f) / 9 for f in ALL}
+    return s.spark.createDataFrame([(*r, used[r[2]]) for r in found], PILOTS + ", stability double")
 
 
 @add("screen_retained")
 def _(s: Steps) -> DataFrame:
-    """Rows only: features left by the redundancy filter, in order."""
-    kept = screening.retained(screened(s), SCREENED, ["time_s", "revisit_s"])
+    """Rows only: features left by the redundancy filter, in order; the protected ones always stay."""
+    kept = screening.retained(matrix(s, "fit"), utilities(pilots(s)), list(features.CORE))
     return s.spark.createDataFrame(list(enumerate(kept)), "place long, feature string")
 
 
+def tuned(s: Steps, names: list[str], objective: str, rows: DataFrame) -> screening.Ranker:
+    """A ranker with its rounds chosen by recall on the selection role."""
+    model = screening.Ranker(names, objective).fit(rows)
+    return model.tuned(matrix(s, "selection"), s.labels_of("selection"), s.ledger_of("selection"))
+
+
 @add("ranker_scores")
 def _(s: Steps) -> DataFrame:
-    """Rows only: boosted-tree scores of evaluation candidates, fitted on the fit role."""
-    model = screening.Ranker(SCREENED, "clicks").fit(training(s))
-    return model.scores(s.cand).select("session", "aid", "candidate_position", "score")
+    """Rows only: boosted-tree scores of evaluation candidates for each objective, fitted on the fit role."""
+    rows, out = training(s), None
+    for objective in metrics.WEIGHTS:
+        one = tuned(s, ALL, objective, rows).scores(matrix(s, "evaluation")).select(F.lit(objective).alias("objective"), "session", "aid", "candidate_position", "score")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-def selection_recall(s: Steps, model: screening.Ranker) -> float:
-    pre = s.role("selection")
-    cand = candidates.selected(candidates.source_ranks(candidates.source_scores(pre, s.edges, s.pop)), pre)
-    scored = model.scores(cand).withColumn("rank", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("score"), "aid"))).where("rank <= 10")
-    rows = metrics.hits(scored.select("session", F.lit(model.objective).alias("objective"), "aid", "rank"), s.labels_of("selection"), s.ledger_of("selection").where(F.col("objective") == model.objective))
-    return metrics.pooled(rows).head()["recall"] or 0.0
+VARIANTS = {"core": list(features.CORE), "full": ALL} | {f"without_{k}": [n for n in ALL if n not in names] for k, names in STUDIED.items()}
 
 
 @add("ablation_choice")
 def _(s: Steps) -> DataFrame:
-    """Rows only: variants by recall on the selection role, then fewer features, then name."""
-    variants = {"full": SCREENED, "core": SCREENED[:5], "without_graph": [f for f in SCREENED if f.split("_")[0] not in graph.CHANNELS]}
-    rows = training(s)
-    found = [(name, selection_recall(s, screening.Ranker(fs, "clicks", linear=True).fit(rows)), len(fs)) for name, fs in variants.items()]
-    best = min(found, key=lambda r: (-r[1], r[2], r[0]))[0]
-    return s.spark.createDataFrame([(*r, r[0] == best) for r in found], "variant string, recall double, n_features long, chosen boolean")
+    """Rows only: eight variants for each objective by recall on the selection role, then fewer features, then name. Linear models."""
+    model, made = screening.Linear(training(s), ALL), []
+    names, rows, labels = list(VARIANTS), matrix(s, "selection"), s.labels_of("selection")
+    asked = {r["objective"]: r["n"] for r in s.ledger_of("selection").groupBy("objective").agg(F.sum("recall_denominator").alias("n")).collect()}
+    for objective in metrics.WEIGHTS:
+        scores = F.posexplode(F.array(*[model.score(VARIANTS[v], objective) for v in names])).alias("variant", "score")
+        hits = {r["variant"]: r["hits"] for r in screening.recalled(rows.select("session", "aid", scores), labels.where(F.col("objective") == objective), ["variant"], metrics.K).collect()}
+        found = [(objective, v, hits.get(i, 0) / max(1, asked.get(objective) or 0), len(VARIANTS[v])) for i, v in enumerate(names)]
+        best = min(found, key=lambda r: (-r[2], r[3], r[1]))[1]
+        made += [(*r, r[1] == best) for r in found]
+    return s.spark.createDataFrame(made, "objective string, variant string, recall double, n_features long, chosen boolean")
 
 
 @add("permutation_importance")
 def _(s: Steps) -> DataFrame:
-    """Rows only: mean change of the score when a family's values come from another session's candidate of the same place."""
-    rows = s.cand
-    model = screening.Ranker(SCREENED, "clicks", linear=True).fit(training(s))
-    places = rows.select("session").distinct().withColumn("_h", portable_hash(F.col("session"), F.lit("permute")))
-    # a random order of sessions: each takes the values of the next in its block of the hash, so no single task sees all
-    block = Window.partitionBy(F.col("_h") % 16).orderBy("_h", "session")
-    given = places.withColumn("donor", F.coalesce(F.lead("session").over(block), F.first("session").over(block))).select("session", "donor")
-    base = model.scores(rows).select("session", "aid", F.col("score").alias("was"))
-    out = None
-    for family in ("time", "cart", "order", "revisit", "popular"):
-        mine = [f for f in SCREENED if f.startswith(family)]
-        other = rows.select(F.col("session").alias("donor"), "candidate_position", *[F.col(f).alias(f"_new_{f}") for f in mine])
-        mixed = rows.join(given, "session").join(other, ["donor", "candidate_position"], "left").withColumns({f: F.coalesce(f"_new_{f}", f) for f in mine})
-        change = model.scores(mixed).select("session", "aid", "score").join(base, ["session", "aid"]).agg(F.avg(F.abs(F.col("score") - F.col("was"))).alias("change")).select(F.lit(family).alias("family"), "change")
-        out = change if out is None else out.unionByName(change)
-    return out
+    """Rows only: by how much weighted recall at 20 falls when a family's values come from another session's candidate of the same place; two shuffles."""
+    rows, model = matrix(s, "evaluation"), screening.Linear(training(s), ALL)
+    labels = s.labels_of("evaluation")
+    asked = {r["objective"]: r["n"] for r in s.ledger_of("evaluation").groupBy("objective").agg(F.sum("recall_denominator").alias("n")).collect()}
+    keyed = rows.select("session").distinct()
+    sizes = keyed.count()
+    blocks = max(1, sizes // 5_000)  # sessions are shuffled within blocks of some thousands, by hash, so that no task sees all
+    variants = rows.withColumns({"family": F.lit("none"), "turn": F.lit(0)})
+    for turn in range(2):
+        draw = portable_hash(F.col("session"), F.lit("permute"), F.lit(turn))
+        block = Window.partitionBy("_block").orderBy("_h", "session")
+        spread = keyed.withColumn("_h", draw).withColumn("_block", F.col("_h") % blocks)
+        given = spread.withColumn("donor", F.coalesce(F.lead("session").over(block), F.first("session").over(Window.partitionBy("_block").orderBy("_h", "session")))).select("session", "donor")
+        for family, mine in STUDIED.items():
+            other = rows.select(F.col("session").alias("donor"), "candidate_position", *[F.col(f).alias(f"_new_{f}") for f in mine])
+            mixed = rows.join(given, "session").join(other, ["donor", "candidate_position"], "left").withColumns({f: F.coalesce(f"_new_{f}", f) for f in mine})
+            variants = variants.unionByName(mixed.withColumns({"family": F.lit(family), "turn": F.lit(turn)}).select(*variants.columns))
+    falls: dict[str, list[float]] = {}
+    for objective, weight in metrics.WEIGHTS.items():
+        scored = variants.select("family", "turn", "session", "aid", model.score(ALL, objective).alias("score"))
+        hits = {(r["family"], r["turn"]): r["hits"] for r in screening.recalled(scored, labels.where(F.col("objective") == objective), ["family", "turn"], metrics.K).collect()}
+        for (family, _), n in hits.items():
+            if family != "none":
+                falls.setdefault(family, []).append(weight * (hits["none", 0] - n) / max(1, asked.get(objective) or 0))
+    return s.spark.createDataFrame([(f, sum(x) / 2) for f, x in sorted(falls.items())], "family string, recall_drop double")
