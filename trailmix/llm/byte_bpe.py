@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from trailmix.llm.common import read_small, stored, table
 
 NAME = "op2_byte_bpe"
-BUCKETS = 1 << 17
 NONE = (1 << 31) - 1  # rank of a pair that has none
+#: A pair (left, right) has the slots left * a + right * b modulo the size of the table.
+HASHES = ((31_337, 1), (104_729, 7_919))
+ID_BITS = 20
 
 
 def read_ranks(text: str) -> dict[bytes, int]:
@@ -32,25 +34,51 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return {(ranks[t[:k]], ranks[t[k:]]): r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
 
 
-def rank_map(pairs: dict[tuple[int, int], int]) -> Column:
-    """The pair ranks as one literal: buckets of entries left << 32 | right << 16 | rank, folded to a constant by the optimizer."""
-    buckets: list[list[int]] = [[] for _ in range(BUCKETS)]
-    for (a, b), r in pairs.items():
-        buckets[(a * 31_337 + b) % BUCKETS].append(a << 32 | b << 16 | r)
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<bigint>>")
+def rank_map(pairs: dict[tuple[int, int], int]) -> list[int]:
+    """The pair ranks as a table in which each pair has one of two slots: entries (1 << 40 | left << 20 | right) << 20 | rank, 0 for none.
+
+    A pair whose slots are taken moves the one that it meets to that one's other slot. A larger vocabulary than of
+    2**20 ids is refused.
+    """
+    if any(max(*p, r) >= 1 << ID_BITS for p, r in pairs.items()):
+        raise ValueError("the vocabulary has ids beyond 2**20")
+    size = 1 << max(10, (4 * len(pairs)).bit_length())
+    while True:
+        table = [0] * size
+        if all(_placed(table, entry_of(a, b) << ID_BITS | r) for (a, b), r in pairs.items()):
+            return table
+        size *= 2
+
+
+def entry_of(left, right):
+    return (1 << 2 * ID_BITS) + (left << ID_BITS) + right
+
+
+def _placed(table: list[int], entry: int) -> bool:
+    mask, at = (1 << ID_BITS) - 1, -1
+    for _ in range(500):
+        left, right = entry >> 2 * ID_BITS & mask, entry >> ID_BITS & mask
+        one, two = ((left * a + right * b) % len(table) for a, b in HASHES)
+        at = two if at == one else one
+        entry, table[at] = table[at], entry
+        if not entry:
+            return True
+    return False
 
 
-def folded(word: Column, ranks: Column, byte_ids: list[int]) -> Column:
+def folded(word: Column, ranks: Column, size: int, byte_ids: list[int]) -> Column:
     """The ids of a word given as binary: n - 1 times, the leftmost pair of lowest rank is merged, if any has a rank.
 
     Ranks of adjacent pairs are kept beside the symbols; a merge looks up two pairs anew.
     """
+    whole = lambda n: F.lit(n).cast("bigint")
 
     def rank(a: Column, b: Column) -> Column:
         left, right = a.cast("bigint"), b.cast("bigint")
-        key = F.shiftleft(left, 16) + right
-        hits = F.filter(F.get(ranks, ((left * 31_337 + right) % BUCKETS).cast("int")), lambda e: F.shiftright(e, 16) == key)
-        return F.coalesce(F.get(hits, 0).bitwiseAND(F.lit(65_535).cast("bigint")).cast("int"), F.lit(NONE))
+        key = F.shiftleft(left, ID_BITS) + right + whole(1 << 2 * ID_BITS)
+        one, two = (F.get(ranks, (left * whole(m) + right * whole(k)).bitwiseAND(whole(size - 1)).cast("int")) for m, k in HASHES)
+        hit = F.when(F.shiftright(one, ID_BITS) == key, one).when(F.shiftright(two, ID_BITS) == key, two)
+        return F.coalesce(hit.bitwiseAND(whole((1 << ID_BITS) - 1)).cast("int"), F.lit(NONE))
 
     ids = F.array(*[F.lit(i) for i in byte_ids])
     latin = F.decode(word, "ISO-8859-1")
@@ -105,24 +133,29 @@ def heap_merged(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-def word_counts(docs: DataFrame, pattern: str, longest: int) -> DataFrame:
-    """(word, n) over all texts, for words of up to ``longest`` bytes; tasks sum before the shuffle."""
+#: Bytes that letters in words have; others end a word.
+LETTERS = bytes(b if chr(b).isascii() and chr(b).isalpha() or b > 127 else 32 for b in range(256))
+
+
+def word_counts(docs: DataFrame, longest: int) -> DataFrame:
+    """(word, n) of the runs of letters in all texts, each with the blank that mostly stands before it. Tasks sum before the shuffle.
+
+    This tells which words are worth folding beforehand; what a text's words are is settled by the pattern alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
-        counts: Counter[str] = Counter()
+        counts: Counter[bytes] = Counter()
 
         def out() -> pa.RecordBatch:
-            made = [(w.encode(), n) for w, n in counts.items()]
-            made = [(w, n) for w, n in made if len(w) <= longest]
+            made = [(b" " + w, n) for w, n in counts.items() if len(w) < longest]
             counts.clear()
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in made], pa.binary()), pa.array([n for _, n in made], pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    counts.update(find(text))
-                    if len(counts) > 400_000:
+                    counts.update(text.encode("utf-8", "replace").translate(LETTERS).split())
+                    if len(counts) > 300_000:
                         yield out()
         yield out()
 
@@ -130,28 +163,40 @@ def word_counts(docs: DataFrame, pattern: str, longest: int) -> DataFrame:
 
 
 def frequent(counts: DataFrame, most: int) -> DataFrame:
-    """Words of the lowest count class (a power of two) down to which at most ``most`` words exist, and all above."""
+    """Words that occur twice or more, of the lowest count class (a power of two) down to which at most ``most`` words exist, and all above."""
     power = F.floor(F.log2("n")).cast("int")
-    classes = {r["power"]: r["count"] for r in counts.groupBy(power.alias("power")).count().collect()}
+    classes = {r["power"]: r["count"] for r in counts.where("n > 1").groupBy(power.alias("power")).count().collect()}
     total, least = 0, 63
     for p in sorted(classes, reverse=True):
         total += classes[p]
         if total > most:
             break
         least = p
-    return counts.where(power >= least)
+    return counts.where((F.col("n") > 1) & (power >= least))
+
+
+def read_words(data: bytes) -> dict[str, bytes]:
+    """Word to ids of the broadcast map: lengths in two bytes, then the bytes, of words and ids in turn."""
+    out, at = {}, 0
+    while at < len(data):
+        middle = at + 2 + int.from_bytes(data[at : at + 2], "little")
+        end = middle + 2 + int.from_bytes(data[middle : middle + 2], "little")
+        out[data[at + 2 : middle].decode("utf-8", "replace")] = data[middle + 2 : end]
+        at = end
+    return out
 
 
 _pairs: dict[str, dict] = {}
 
 
 def encode(
-    docs: DataFrame, vocabulary: str, pattern: str, most: int = 300_000, longest: int = 48, block_chars: int = 4_000_000, fold_bytes: int = 1024, key: str = "doc_id",
+    docs: DataFrame, vocabulary: str, pattern: str, most: int = 200_000, longest: int = 48, block_chars: int = 4_000_000, fold_bytes: int = 1024, key: str = "doc_id",
 ) -> DataFrame:
     """One row per document: key, ids (array of int).
 
     Words are folded once for the corpus if they are among the ``most`` frequent ones of up to ``longest`` bytes
     (that map is broadcast; its size is bounded by the two), else once for each block of ``block_chars`` characters.
+    Words of one occurrence, most of the distinct ones, are so folded once in any case.
     Blocks stay in the task that reads them, so texts are not shuffled. Words over ``fold_bytes`` bytes, for which
     the fold's quadratic cost would tell, are merged by a heap to the same ids. Null and empty texts have no ids;
     a null key stays null; repeated rows are encoded each; extra columns are left out.
@@ -160,21 +205,23 @@ def encode(
     text = read_small(vocabulary)
     ranks = read_ranks(text)
     byte_ids = [ranks[bytes([b])] for b in range(256)]
-    literal = rank_map(pair_ranks(ranks))
+    slots = rank_map(pair_ranks(ranks))
+    literal = F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<bigint>")
     chosen = docs.select(F.col(key).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def fold_in(column: Column) -> Column:
-        return F.get(F.transform(F.array(literal), lambda m: folded(column, m, byte_ids)), 0)
+        return F.get(F.transform(F.array(literal), lambda m: folded(column, m, len(slots), byte_ids)), 0)
 
-    counts = stored(word_counts(chosen, pattern, longest), "bpe-words")
+    counts = stored(word_counts(chosen, longest), "bpe-words")
     hot = frequent(counts, most).repartition(spark.sparkContext.defaultParallelism).select("word", fold_in(F.col("word")).alias("ids")).collect()
-    shared = spark.sparkContext.broadcast({bytes(r["word"]).decode(): np.array(r["ids"], "<u4").tobytes() for r in hot})
+    shared = spark.sparkContext.broadcast(b"".join(len(x).to_bytes(2, "little") + x for r in hot for x in (bytes(r["word"]), np.array(r["ids"], "<u4").tobytes())))
+    del hot
     spec = spark.sparkContext.broadcast(text)
     kind = chosen.schema["doc_id"].dataType.simpleString()
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of (keys, streams of ids with holes, texts missing from the map). A hole is 2**31 + its place among the missing."""
-        find, known = regex.compile(pattern).findall, shared.value
+        find, known = regex.compile(pattern).findall, read_words(shared.value)
         keys, streams, missing, chars = [], [], {}, 0
         key_kind = None
 
@@ -227,7 +274,7 @@ def encode(
                     yield pa.RecordBatch.from_arrays([keys.values[at : at + 256], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "ids"])
 
     blocks = chosen.mapInArrow(look_up, f"keys array<{kind}>, streams array<binary>, missing array<binary>")
-    merged = F.get(F.transform(F.array(literal), lambda m: F.transform("missing", lambda w: folded(w, m, byte_ids))), 0)
+    merged = F.get(F.transform(F.array(literal), lambda m: F.transform("missing", lambda w: folded(w, m, len(slots), byte_ids))), 0)
     return blocks.select("keys", "streams", merged.alias("found")).mapInArrow(fill, f"doc_id {kind}, ids array<int>")
 
 
