@@ -124,6 +124,40 @@ def test_archives_round_trip(spark):
     assert warc.archive(pages.where("page_id > 99")).count() == 0
 
 
+def test_warc_sidecars_and_headers(spark):
+    import gzip
+    import json
+    import tempfile
+
+    pages = spark.createDataFrame([(i, f"u{i}", "same" if i % 2 else f"own {i}") for i in range(1, 60)], "page_id long, url string, html string").repartition(4)
+    folder = tempfile.mkdtemp()
+    made = warc.written(warc.with_first(pages, 0), folder, 500, "2020-01-01T00:00:00Z")
+    index = warc.normalised(made, folder).collect()
+    names = set()
+    for r in index:
+        with open(r.path, "rb") as f:
+            f.seek(r.offset)
+            headers, body = warc.parsed(gzip.decompress(f.read(r.length)))
+        with open(r.path + ".idx") as f:
+            assert {"path": r.path, "offset": r.offset, "length": r.length} in map(json.loads, f)
+        assert headers["WARC-Date"] == "2020-01-01T00:00:00Z" and headers["Content-Type"].startswith("text/html")
+        assert (headers["WARC-Type"] == "revisit") == ("WARC-Profile" in headers) == (body == b"")
+        names.add(headers["WARC-Record-ID"])
+    assert len(index) == len(names) == 59
+    frame = spark.createDataFrame(index)
+    got = {r.page_id: r for r in warc.read_back(frame, folder).collect()}
+    assert {i: r.refers_to for i, r in got.items()} == {i: 1 if i % 2 and i > 1 else None for i in range(1, 60)}
+    assert {r.payload_bytes for i, r in got.items() if i % 2} == {4}
+
+
+def test_neighbours_of_sparse_ids(spark):
+    ids = [-(1 << 62), -5, 0, 1, 2, 3, 700, 10**12, 10**15, (1 << 62)] + [k * 7_919_777_777 for k in range(1, 400)]
+    docs = spark.createDataFrame([(i, f"text of {i}") for i in ids], "doc_id long, text string")
+    got = {r.doc_id: r.next_text for r in fingerprints.with_next(fingerprints.with_sketch(docs, "text", "own")).collect()}
+    order = sorted(ids)
+    assert got == {a: f"text of {b}" for a, b in zip(order, order[1:] + order[:1])}
+
+
 def test_streams_of_several_members_and_broken_ends():
     one = warc.record({"A": "b"}, b"x\r\n\r\ny")
     engine = zlib.compressobj(6, zlib.DEFLATED, 31)

@@ -34,16 +34,32 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it; a fresh one where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="trailmix-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def made_dir(spark: SparkSession, path: str) -> None:
+    """Make a folder in shared storage, which goes when the session's JVM ends."""
+    at, system = _hadoop(spark, path)
+    system.mkdirs(at)
+    system.deleteOnExit(at)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to shared storage and read it back: lineage ends there, and a lost executor costs no recomputation."""
+    """Write ``df`` to shared storage and read it back: lineage ends there, and a lost executor costs no recomputation. The files go when the session's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at, system = _hadoop(spark, path)
+    system.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
