@@ -11,6 +11,7 @@ NAME = "op3_document_fingerprints"
 BIN_BITS = 7  # 128 bins
 LOW_BITS = 8
 WIDTH = 1000  # consecutive ids in a block of the successor search
+BLOCK = 128
 SKETCH = "array<smallint>"
 
 
@@ -82,12 +83,16 @@ def successors(keys: DataFrame, key: str) -> DataFrame:
 def with_next(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, own) with next_text and next_own, those of the next doc_id (after the last: of the first).
 
-    Blocks of WIDTH consecutive ids are shuffled once and ordered within; the last document of a block takes the
-    first of the next block from a table with one text per block. Repeated ids are ordered by text. A row with a
-    null id has no place in the order; its next text is empty.
+    The range of ids is cut into equal blocks of some BLOCK documents on average, which are shuffled once and ordered
+    within; the last document of a block takes the first of the next block from a table with one text per block. Dense
+    and evenly spread (hashed) ids fill blocks alike; where most ids crowd in a small part of the range, blocks there
+    are larger. Repeated ids are ordered by text. A row with a null id has no place in the order; its next text is empty.
     """
     placed = F.col("doc_id").isNotNull()
-    block = F.floor(F.col("doc_id") / WIDTH)
+    span = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("doc_id").alias("n")).head()
+    low, blocks = span["low"] or 0, max(1, span["n"] // BLOCK)
+    width = ((span["high"] or 0) - low) // blocks + 1
+    block = F.expr(f"CAST((CAST(doc_id AS DECIMAL(20, 0)) - {low}) AS DECIMAL(38, 0)) DIV {width}BD").cast("bigint")
     apart = F.lit(10**16) + F.shiftrightunsigned(F.xxhash64("text"), 1) % 10**15  # beyond any block
     rows = docs.withColumn("_part", F.when(placed, block).otherwise(apart))
     window = Window.partitionBy("_part").orderBy("doc_id", "text")
