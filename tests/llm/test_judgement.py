@@ -102,6 +102,33 @@ def test_only_copies_count_once_as_evidence(spark):
     known = toxicity.learnt(docs, labels, channel, 20_000, 10.0, 6, 0.02, 0.3, 0.7, 20_000, 4)
     assert known["idiot"] == pytest.approx((20 + 10 * 21 / 121) / 30)
     assert not {"much", "copied", "rant"} & set(known)
+    assert all(known.get(w, 0) < 0.3 for w in said.split())
+
+
+def test_scores_are_graded():
+    assert toxicity.document_score([], 0.3) == 0.01
+    assert 0.01 < toxicity.document_score([0.1], 0.3) < toxicity.document_score([0.1, 0.25], 0.3) < 0.3
+    assert toxicity.document_score([0.1, 0.6, 0.5], 0.3) == pytest.approx(1 - 0.4 * 0.5)
+
+
+def test_likeliest_path_against_all_paths(spark):
+    """The Viterbi search against every path of the lattice."""
+    import itertools
+
+    channel = toxicity.Channel(toxicity.character_counts(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")))
+    for token in ("1di0t", "stuuuupid", "5cum!", "m0r0n", "$1lly", "l33t"):
+        lattice = channel.lattice(token)
+        costs = []
+        for path in itertools.product(*lattice):
+            text, total, x, y = "".join(t for t, _ in path) + " ", sum(c for _, c in path), 0, 0
+            for c in text:
+                z = toxicity.class_of(c)
+                total += channel.cost[x, y, z]
+                x, y = y, z
+            costs.append((total, text[:-1]))
+        least = min(c for c, _ in costs)
+        cost, text = channel.likeliest(lattice)
+        assert cost == pytest.approx(least) and any(t == text and c == pytest.approx(least) for c, t in costs)
 
 
 def test_obfuscated_words_are_restored(spark):

@@ -221,7 +221,7 @@ def label_evidence(sample: DataFrame, channel) -> DataFrame:
 def learnt(
     docs: DataFrame, labels: DataFrame, channel, rows: int, strength: float, least: int, share: float, least_p: float, precision: float, most: int, stems: int,
 ) -> dict[str, float]:
-    """Feature to probability that a row with it is toxic, for features with at least ``least_p``, seen in toxic rows in a share ``precision`` of cases.
+    """Feature to probability that a row with it is toxic: ``least_p`` or more if it is seen in toxic rows in a share ``precision`` of cases, else less; features below the base rate are left out.
 
     At most ``rows`` labelled rows, those of least hash, are fitted on. The probability is shrunk to the base rate
     by ``strength`` rows; ``least`` toxic rows and a ``share`` of them must bear the feature, and a beginning must stand in ``stems``
@@ -244,22 +244,24 @@ def learnt(
     toxic = F.sum(F.when(F.col("toxic") > 0, F.col("docs")).otherwise(0))
     summed = evidence.where("feature IS NOT NULL").groupBy("feature").agg(toxic.alias("bad"), F.sum("docs").alias("all"))
     p = (F.col("bad") + strength * base) / (F.col("all") + strength)
-    strong = summed.where((F.col("bad") >= least) & (p >= least_p) & (F.col("bad") >= precision * F.col("all"))).select("feature", p.alias("p"), "bad")
+    decides = (p >= least_p) & (F.col("bad") >= precision * F.col("all"))
+    seen = summed.where((F.col("bad") >= least) & (decides | (p > base))).select("feature", F.when(decides, p).otherwise(F.least(p, F.lit(0.9 * least_p))).alias("p"), "bad")
     spread = (
         evidence.where("toxic > 0 AND feature NOT LIKE '%*'").select("feature").distinct()
         .select(F.explode(F.array(*[F.when(F.length("feature") >= k, F.concat(F.substring("feature", 1, k), F.lit("*"))) for k in PREFIXES])).alias("feature"))
         .where("feature IS NOT NULL").groupBy("feature").count()
     )
-    kept = strong.join(spread, "feature", "left").where(~F.col("feature").endswith("*") | (F.col("count") >= stems))
-    return {r["feature"]: float(r["p"]) for r in kept.orderBy(F.desc("bad"), "feature").limit(most).collect()}
+    kept = seen.join(spread, "feature", "left").where(~F.col("feature").endswith("*") | (F.col("count") >= stems))
+    return {r["feature"]: float(r["p"]) for r in kept.orderBy(F.desc(F.col("p") >= least_p), F.desc("bad"), "feature").limit(most).collect()}
 
 
-def document_score(hits: list[float]) -> float:
-    """Noisy or over the words that speak for toxicity; a text without any stays low."""
+def document_score(probabilities: list[float], threshold: float) -> float:
+    """Noisy or over the words that speak for toxicity. A text without any stays below the threshold, the lower the less its most suspect word tells."""
     clean = 1.0
+    hits = [p for p in probabilities if p >= threshold]
     for p in hits:
         clean *= 1.0 - p
-    return 1.0 - clean if hits else 0.01
+    return 1.0 - clean if hits else 0.01 + 0.9 * (threshold - 0.01) * max(probabilities, default=0.0) / threshold
 
 
 def toxicity(
@@ -302,7 +304,7 @@ def toxicity(
                         strength_of[w] = p
                     if p:
                         hits.append(p)
-                scores.append(document_score(hits))
+                scores.append(document_score(hits, threshold))
             out = pa.array([i is not None and zlib.crc32(str(i).encode()) % folds == held for i in ids], pa.bool_())
             predicted = pa.array([int(s >= threshold) for s in scores], pa.int32())
             columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
