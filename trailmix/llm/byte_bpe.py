@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmix.llm.common import read_small, stored, table
+from trailmix.llm.common import lean, read_small, stored, table
 
 NAME = "op2_byte_bpe"
 NONE = (1 << 31) - 1  # rank of a pair that has none
@@ -159,7 +159,7 @@ def word_counts(docs: DataFrame, longest: int) -> DataFrame:
                         yield out()
         yield out()
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -273,9 +273,9 @@ def encode(
                     flat = np.concatenate(some) if some else np.empty(0, np.int32)
                     yield pa.RecordBatch.from_arrays([keys.values[at : at + 256], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "ids"])
 
-    blocks = chosen.mapInArrow(look_up, f"keys array<{kind}>, streams array<binary>, missing array<binary>")
+    blocks = chosen.mapInArrow(lean(look_up), f"keys array<{kind}>, streams array<binary>, missing array<binary>")
     merged = F.get(F.transform(F.array(literal), lambda m: F.transform("missing", lambda w: folded(w, m, len(slots), byte_ids))), 0)
-    return blocks.select("keys", "streams", merged.alias("found")).mapInArrow(fill, f"doc_id {kind}, ids array<int>")
+    return blocks.select("keys", "streams", merged.alias("found")).mapInArrow(lean(fill), f"doc_id {kind}, ids array<int>")
 
 
 def decode_digests(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -294,7 +294,7 @@ def decode_digests(encoded: DataFrame, vocabulary: str) -> DataFrame:
             columns = [pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.mapInArrow(lean(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

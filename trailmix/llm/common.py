@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import json
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_BYTES = "8m"
+
+
 def shipped(spark: SparkSession) -> None:
-    """Let the executors' Python import this package, wherever the driver runs; once a context."""
+    """Let the executors' Python import this package, wherever the driver runs; once a context. Arrow batches are kept small, as several are in memory in each task."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     context = spark.sparkContext
     if getattr(context, "_trailmix_shipped", False):
         return
@@ -63,6 +72,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow; when a task ends, its Python worker, which serves further tasks, gives freed memory back."""
+
+    @functools.wraps(run)
+    def inner(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return inner
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-ins of byte-level BPE files: character to byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

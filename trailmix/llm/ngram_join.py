@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmix.llm.bits import bit_table, members, power_for
-from trailmix.llm.common import stored, table
+from trailmix.llm.common import lean, stored, table
 from trailmix.llm.components import components
 from trailmix.llm.shingling import Words, grams, mixed, portions
 
@@ -205,7 +205,7 @@ class Join:
                         none = pa.nulls(some, pa.int64())
                         yield pa.RecordBatch.from_arrays([none, none, pa.array(n[often].astype(np.int64)), pa.nulls(some, pa.binary()), signed(found[often])], names=names)
 
-        return stored(self.docs.mapInArrow(run, "doc_id long, class long, n long, tokens binary, token long"), "join-rows")
+        return stored(self.docs.mapInArrow(lean(run), "doc_id long, class long, n long, tokens binary, token long"), "join-rows")
 
     def frequent(self, rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """The most frequent tokens, sorted, and their ranks from the rarest up. Any choice is a valid order; this one keeps prefix groups small."""
@@ -227,7 +227,7 @@ class Join:
                     found, n = np.unique(np.concatenate(kept), return_counts=True)
                     yield pa.RecordBatch.from_arrays([signed(found), pa.array(n.astype(np.int64))], names=["token", "n"])
 
-        counted = sets.mapInArrow(first, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+        counted = sets.mapInArrow(lean(first), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
         known = self.spark.sparkContext.broadcast(bit_table(counted.where("n > 1"), "token", power))
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +246,7 @@ class Join:
                     offsets = pa.array(np.cumsum([0, *map(len, shared)]).astype(np.int32))
                     yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(shared)))], names=["class", "n", *WORDS, "shared"])
 
-        rows = sets.mapInArrow(emit, f"class long, n long, {PARITY_TYPE}, shared array<long>")
+        rows = sets.mapInArrow(lean(emit), f"class long, n long, {PARITY_TYPE}, shared array<long>")
         return stored(rows.dropDuplicates(["class"]), "join-prefixes")
 
     def led(self, prefixes: DataFrame) -> DataFrame:
@@ -291,7 +291,7 @@ class Join:
         # dealt by ranges of (token, n), so a token in very many sets is spread over tasks
         partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         dealt = rows.repartitionByRange(partitions, "token", "n", "class").sortWithinPartitions("token", "n", "class").select(*names)
-        counted = dealt.mapInArrow(run, "a long, b long, n long").groupBy("a", "b", "n").count().where(f"800 * count >= {100 - percent} * n")
+        counted = dealt.mapInArrow(lean(run), "a long, b long, n long").groupBy("a", "b", "n").count().where(f"800 * count >= {100 - percent} * n")
         return stored(counted.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b"), "join-led")
 
     def described(self, sets: DataFrame, pairs: DataFrame, describe, name: str) -> DataFrame:
@@ -306,7 +306,7 @@ class Join:
                     data = [describe(t) for t in map(read_set, views(batch.column(2).filter(keep)))]
                     yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(data, pa.binary())], names=["class", "n", name])
 
-        return sets.mapInArrow(run, f"class long, n long, {name} binary").dropDuplicates(["class"])
+        return sets.mapInArrow(lean(run), f"class long, n long, {name} binary").dropDuplicates(["class"])
 
     def attached(self, pairs: DataFrame, facts: DataFrame, name: str) -> DataFrame:
         left = facts.toDF("a", "a_n", f"a_{name}")
@@ -335,7 +335,7 @@ class Join:
                 keep = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-        return stored(self.attached(pairs, self.described(sets, pairs, describe, "support"), "support").mapInArrow(run, "a long, b long"), "join-supported")
+        return stored(self.attached(pairs, self.described(sets, pairs, describe, "support"), "support").mapInArrow(lean(run), "a long, b long"), "join-supported")
 
     def families(self, sets: DataFrame, pairs: DataFrame) -> DataFrame:
         """(a, b, n, linked, lacks, difference, parity words) of b in the family of a: the tokens that the leader lacks (``lacks`` many), then those that b lacks."""
@@ -356,7 +356,7 @@ class Join:
                     yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(len(WORDS)))], names=["a", "b", "n", "linked", "lacks", "difference", *WORDS])
 
         facts = self.described(sets, pairs, lambda t: t.tobytes(), "tokens")
-        return stored(self.attached(pairs, facts, "tokens").mapInArrow(run, f"a long, b long, n long, linked boolean, lacks long, difference binary, {PARITY_TYPE}"), "join-families")
+        return stored(self.attached(pairs, facts, "tokens").mapInArrow(lean(run), f"a long, b long, n long, linked boolean, lacks long, difference binary, {PARITY_TYPE}"), "join-families")
 
     def within(self, families: DataFrame, labels: DataFrame) -> DataFrame:
         """Linked pairs of members of one family that have different labels."""
@@ -384,7 +384,7 @@ class Join:
                     columns = [batch.column(batch.schema.get_field_index(c)).take(chosen) for c in carried]
                     yield pa.RecordBatch.from_arrays([*columns, signed(np.concatenate(tokens)), pa.array(np.concatenate(probes)), pa.array(np.concatenate(sizes).astype(np.int64))], names=[*carried, "token", "probe", "d"])
 
-        met = stored(rows.mapInArrow(emit, f"a long, b long, n long, linked boolean, label long, {PARITY_TYPE}, token long, probe boolean, d long"), "join-differences")
+        met = stored(rows.mapInArrow(lean(emit), f"a long, b long, n long, linked boolean, label long, {PARITY_TYPE}, token long, probe boolean, d long"), "join-differences")
         x, y = met.where("NOT linked").alias("x"), met.where("probe").alias("y")
         once = "x.a = y.a AND x.token = y.token AND x.label <> y.label AND (y.linked OR x.b < y.b OR NOT x.probe)"
         pairs = x.join(y, F.expr(once) & may_link("x", "y", percent)).select(F.col("x.a").alias("a"), F.least("x.b", "y.b").alias("b"), F.greatest("x.b", "y.b").alias("c")).distinct()
@@ -401,7 +401,7 @@ class Join:
 
         facts = families.select("a", "b", "n", "difference")
         both = pairs.join(facts, ["a", "b"]).join(facts.toDF("a", "c", "m", "other"), ["a", "c"])
-        return stored(both.select("b", "c", "n", "m", "difference", "other").mapInArrow(verify, "a long, b long"), "join-within")
+        return stored(both.select("b", "c", "n", "m", "difference", "other").mapInArrow(lean(verify), "a long, b long"), "join-within")
 
     def across(self, prefixes: DataFrame, families: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs a < b of different leaders and labels and of like size that share enough prefix tokens and may be near by their bitmaps."""
@@ -421,7 +421,7 @@ class Join:
                 at = pa.array(np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[keep])
                 yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), *(batch.column(k).take(at) for k in range(batch.num_columns - 1))], names=["token", *carried])
 
-        met = rows.select(*carried, "shared").mapInArrow(emit, f"token long, class long, n long, leader long, label long, {PARITY_TYPE}").join(main, "token")
+        met = rows.select(*carried, "shared").mapInArrow(lean(emit), f"token long, class long, n long, leader long, label long, {PARITY_TYPE}").join(main, "token")
         x, y = met.where("leader <> main").alias("x"), met.alias("y")
         once = "x.token = y.token AND x.leader <> y.leader AND x.label <> y.label AND (y.leader = y.main OR x.class < y.class)"
         found = x.join(y, F.expr(once) & may_link("x", "y", self.percent)).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"), F.least("x.n", "y.n").alias("n"))
@@ -442,7 +442,7 @@ class Join:
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
         facts = self.described(sets, pairs, lambda t: t.tobytes(), "tokens")
-        return stored(self.attached(pairs, facts, "tokens").mapInArrow(run, "a long, b long"), "join-links")
+        return stored(self.attached(pairs, facts, "tokens").mapInArrow(lean(run), "a long, b long"), "join-links")
 
     def run(self) -> DataFrame:
         rows = self.described_rows()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmix.llm.bits import bit_table, members
-from trailmix.llm.common import stored, table
+from trailmix.llm.common import lean, stored, table
 from trailmix.llm.shingling import Words, grams, least_over, portions
 
 NAME = "op6_substring_dedup"
@@ -73,7 +73,7 @@ def recurring_bits(docs: DataFrame) -> np.ndarray:
                 again = np.isin(found, v.least[times[back] > 1])
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.maximum(n, 1 + again).astype(np.int64))], names=["least", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "least long, n long").groupBy("least").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(lean(run), "least long, n long").groupBy("least").agg(F.sum("n").alias("n"))
     return bit_table(counted.where("n > 1"), "least", BITS)
 
 
@@ -122,7 +122,7 @@ def scanned(docs: DataFrame, bits) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["order_id", "key", "lo", "hi", "least", "at", "words"])
 
-    return docs.select("_order", "_key", "text").mapInArrow(run, PIECES)
+    return docs.select("_order", "_key", "text").mapInArrow(lean(run), PIECES)
 
 
 class Shard:
@@ -195,7 +195,7 @@ def resolved(regions: DataFrame, rows: int = 20_000) -> DataFrame:
     dealt = regions.select("order_id", "key", "lo", "least", "at", "words")
     n = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "least").sortWithinPartitions("least", "order_id", "lo")
-    return dealt.mapInArrow(run, "order_id long, key long, lo int, hi int")
+    return dealt.mapInArrow(lean(run), "order_id long, key long, lo int, hi int")
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -241,7 +241,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             columns = [pa.array([r[k] for r in results], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=schema.names)
 
-    return matched.mapInArrow(run, schema)
+    return matched.mapInArrow(lean(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from trailmix.llm.common import stored, table
+from trailmix.llm.common import lean, stored, table
 
 NAME = "op9_toxicity"
 #: What a sign may stand for; fixed values.
@@ -32,7 +32,7 @@ SIGNS_ONLY = re.compile(r"(?=\d*[@$!|+])[0134578@$!|+9]{3,}")
 SPACED = re.compile(r"(?<![\w@$|+])(?:[^\W_]|[@$!|+])(?:[\s.\-_*~,/]{1,3}(?:[^\W_]|[@$!|+])){2,}(?![\w@$|+])")
 GAP = re.compile(r"[\s.\-_*~,/]+")
 PREFIXES = (4, 5, 6, 7, 8)
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 120_000
 CLASSES = 64  # 0: edge of a word, 1-26: a-z, 27-58: letters of Latin-1, 59: digit, 60: others
 
 
@@ -66,7 +66,7 @@ def character_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["code", "n"])
 
-    counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "code long, n long")
+    counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(lean(run), "code long, n long")
     out = np.zeros(CLASSES**3, np.int64)
     for r in counted.groupBy("code").agg(F.sum("n").alias("n")).collect():
         out[r["code"]] = r["n"]
@@ -211,11 +211,11 @@ def label_evidence(sample: DataFrame, channel) -> DataFrame:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts.update((f, toxic) for f in features(words.of(text)))
                 counts[None, toxic] += 1
-                if len(counts) > 500_000:
+                if len(counts) > 100_000:
                     yield out()
         yield out()
 
-    return sample.select("text", "toxic").mapInArrow(run, "feature string, toxic int, docs long")
+    return sample.select("text", "toxic").mapInArrow(lean(run), "feature string, toxic int, docs long")
 
 
 def learnt(
@@ -310,7 +310,7 @@ def toxicity(
             columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, out, pa.array(scores, pa.float64()), predicted], names=schema.names)
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(lean(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
