@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+#: Bytes that are hashed at a time; this bounds the sums and the tables of powers, which workers keep.
+BLOCK = 1 << 18
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -32,6 +35,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+def word_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of consecutive words, by differences of sums from the first one's start on; a hash does not depend on where its word stands."""
+    lo, n = starts[0], int(ends[-1] - starts[0])
+    up, down = powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((codes[lo : lo + n].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+    first, last = starts - lo, ends - lo
+    return mixed((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64) * _STEP)
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a list of texts: byte offsets, hashes, and the words' range per text."""
 
@@ -45,11 +58,10 @@ class Words:
         blank = _BLANK[codes]
         edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
         self.starts, self.ends = edges[::2], edges[1::2]
-        up, down = powers(len(codes) + 1)
-        total = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=total[1:])
-        length = (self.ends - self.starts).astype(np.uint64)
-        self.hashes = mixed((total[self.ends] - total[self.starts]) * down[self.starts] + length * _STEP)
+        self.hashes = np.empty(len(self.starts), np.uint64)
+        cuts = np.unique([*np.searchsorted(self.starts, np.arange(0, len(codes), BLOCK)), len(self.starts)])
+        for a, b in itertools.pairwise(cuts.tolist()):
+            self.hashes[a:b] = word_hashes(codes, self.starts[a:b], self.ends[a:b])
         borders = np.cumsum([1, *(len(r) + 1 for r in raw)])
         self.bounds = np.searchsorted(self.starts, borders)  # text i has words bounds[i] to bounds[i + 1]
 
