@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from trailmix.llm.bits import bit_table, members
 from trailmix.llm.common import lean, stored, table
-from trailmix.llm.shingling import Words, grams, least_over, portions
+from trailmix.llm.shingling import Words, gathered, grams, least_over
 
 NAME = "op6_substring_dedup"
 WINDOW = 20
@@ -59,19 +59,17 @@ def recurring_bits(docs: DataFrame) -> np.ndarray:
     """A table of 2**BITS bits that has the bit of every minimizer found at two places or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in portions(texts, PORTION):
-                v = Windows(texts[a:b])
-                if not len(v.least):
-                    continue
-                fresh = np.ones(len(v.least), bool)
-                fresh[1:] = (v.least[1:] != v.least[:-1]) | (v.text[1:] != v.text[:-1])
-                # a run of windows on one minimizer is one place, unless windows in it are equal
-                found, n = np.unique(v.least[fresh], return_counts=True)
-                _, back, times = np.unique(v.hash, return_inverse=True, return_counts=True)
-                again = np.isin(found, v.least[times[back] > 1])
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.maximum(n, 1 + again).astype(np.int64))], names=["least", "n"])
+        for (texts,) in gathered(batches, PORTION):
+            v = Windows(texts)
+            if not len(v.least):
+                continue
+            fresh = np.ones(len(v.least), bool)
+            fresh[1:] = (v.least[1:] != v.least[:-1]) | (v.text[1:] != v.text[:-1])
+            # a run of windows on one minimizer is one place, unless windows in it are equal
+            found, n = np.unique(v.least[fresh], return_counts=True)
+            _, back, times = np.unique(v.hash, return_inverse=True, return_counts=True)
+            again = np.isin(found, v.least[times[back] > 1])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.maximum(n, 1 + again).astype(np.int64))], names=["least", "n"])
 
     counted = docs.select("text").mapInArrow(lean(run), "least long, n long").groupBy("least").agg(F.sum("n").alias("n"))
     return bit_table(counted.where("n > 1"), "least", BITS)
@@ -91,36 +89,34 @@ def scanned(docs: DataFrame, bits) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bits.value
-        for batch in batches:
-            orders, keys, texts = (c.to_pylist() for c in batch.columns)
-            for a, b in portions(texts, PORTION):
-                v = Windows(texts[a:b])
-                asked = np.flatnonzero(members(known, v.least))
-                if not len(asked):
-                    continue
-                text, start, place = v.text[asked], v.start[asked], v.at[asked]
-                least, window = v.least[asked], v.hash[asked]
-                order = np.array(orders[a:b], np.int64)[text]
-                sort = np.lexsort((start, order, window))
-                head = np.ones(len(sort), bool)
-                head[1:] = window[sort][1:] != window[sort][:-1]
-                leader = sort[np.flatnonzero(head)[np.cumsum(head) - 1]]
-                again = np.empty(len(sort), bool)
-                again[sort] = (order[sort] > order[leader]) | (start[sort] > start[leader])
-                cut = np.ones(len(asked), bool)
-                cut[1:] = (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1) | (again[1:] != again[:-1]) | (~again[1:] & (least[1:] != least[:-1]))
-                rows: list[list] = [[] for _ in range(7)]
-                for i, j in zip(*runs(cut), strict=True):
-                    t, lo, hi = int(text[i]), int(start[i]), int(start[j - 1]) + 1
-                    row = (orders[a + t], keys[a + t], lo, hi, None, None, None)
-                    if not again[i]:
-                        p = int(place[i])
-                        phrase = int(np.argmax(v.phrases[p : p + hi - lo + WINDOW - PHRASE] == least[i]))
-                        row = (*row[:4], int(least[i].view(np.int64)), phrase, v.words.text(p, p + hi - lo + WINDOW - 1))
-                    for column, value in zip(rows, row, strict=True):
-                        column.append(value)
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["order_id", "key", "lo", "hi", "least", "at", "words"])
+        for orders, keys, texts in gathered(batches, PORTION):
+            v = Windows(texts)
+            asked = np.flatnonzero(members(known, v.least))
+            if not len(asked):
+                continue
+            text, start, place = v.text[asked], v.start[asked], v.at[asked]
+            least, window = v.least[asked], v.hash[asked]
+            order = np.array(orders, np.int64)[text]
+            sort = np.lexsort((start, order, window))
+            head = np.ones(len(sort), bool)
+            head[1:] = window[sort][1:] != window[sort][:-1]
+            leader = sort[np.flatnonzero(head)[np.cumsum(head) - 1]]
+            again = np.empty(len(sort), bool)
+            again[sort] = (order[sort] > order[leader]) | (start[sort] > start[leader])
+            cut = np.ones(len(asked), bool)
+            cut[1:] = (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1) | (again[1:] != again[:-1]) | (~again[1:] & (least[1:] != least[:-1]))
+            rows: list[list] = [[] for _ in range(7)]
+            for i, j in zip(*runs(cut), strict=True):
+                t, lo, hi = int(text[i]), int(start[i]), int(start[j - 1]) + 1
+                row = (orders[t], keys[t], lo, hi, None, None, None)
+                if not again[i]:
+                    p = int(place[i])
+                    phrase = int(np.argmax(v.phrases[p : p + hi - lo + WINDOW - PHRASE] == least[i]))
+                    row = (*row[:4], int(least[i].view(np.int64)), phrase, v.words.text(p, p + hi - lo + WINDOW - 1))
+                for column, value in zip(rows, row, strict=True):
+                    column.append(value)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["order_id", "key", "lo", "hi", "least", "at", "words"])
 
     return docs.select("_order", "_key", "text").mapInArrow(lean(run), PIECES)
 
