@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 
-BATCH_BYTES = "1m"
+BATCH_BYTES = "8m"
 
 
 def shipped(spark: SparkSession) -> None:

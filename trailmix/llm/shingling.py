@@ -6,7 +6,6 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -112,18 +111,3 @@ def portions(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
         held += n
     if first < len(texts):
         yield first, len(texts)
-
-
-def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[list]]:
-    """The columns of the batches as lists, rows of about ``most`` characters at a time; a longer text is alone. The text is the last column; a row counts for 32 characters more, which bounds the empty ones."""
-    held, chars = [], 0
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            n = 32 + len(row[-1] or "")
-            if held and chars + n > most:
-                yield [list(c) for c in zip(*held, strict=True)]
-                held, chars = [], 0
-            held.append(row)
-            chars += n
-    if held:
-        yield [list(c) for c in zip(*held, strict=True)]
