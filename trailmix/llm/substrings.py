@@ -28,7 +28,7 @@ NAME = "op6_substring_dedup"
 WINDOW = 20
 PHRASE = 8
 BITS = 27
-PORTION = 4_000_000
+PORTION = 1_000_000
 FIRST = -(1 << 63)
 
 
