@@ -1,7 +1,7 @@
 """Substring dedup: repeated-phrase automata find passages whose words stand earlier in the corpus.
 
 1. Every window of WINDOW words is named by its minimizer, the least hash of its phrases of PHRASE words. Minimizers
-   that occur twice or more in the corpus are counted exactly; a bit table of fixed size carries them to the scan.
+   that occur twice or more in the corpus are counted exactly; a bit table of bounded size carries them to the scan.
 2. The scan cuts out the regions around such phrases. Windows repeated within a portion of the scan are settled there;
    the first of each goes with its region to the shard of its phrase.
 3. A shard confirms the phrases that several regions have, compiles them into an Aho-Corasick automaton, streams its
@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmix.llm.bits import bit_table, members
+from trailmix.llm.bits import bit_table, members, power_for
 from trailmix.llm.common import lean, stored, table
 from trailmix.llm.shingling import Words, grams, least_over, portions
 
 NAME = "op6_substring_dedup"
 WINDOW = 20
 PHRASE = 8
-BITS = 27
+BITS = 64
 PORTION = 1_000_000
 FIRST = -(1 << 63)
 
@@ -56,7 +56,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def recurring_bits(docs: DataFrame) -> np.ndarray:
-    """A table of 2**BITS bits that has the bit of every minimizer found at two places or more."""
+    """A table of BITS bits a member that has the bit of every minimizer found at two places or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,7 +74,8 @@ def recurring_bits(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.maximum(n, 1 + again).astype(np.int64))], names=["least", "n"])
 
     counted = docs.select("text").mapInArrow(lean(run), "least long, n long").groupBy("least").agg(F.sum("n").alias("n"))
-    return bit_table(counted.where("n > 1"), "least", BITS)
+    again = stored(counted.where("n > 1").select("least"), "substring-recurring")
+    return bit_table(again, "least", power_for(BITS * again.count()))
 
 
 def runs(flags_break: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,6 +203,7 @@ def removals(docs: DataFrame) -> DataFrame:
     """(order_id, key, ranges): per document the windows, as packed pairs of int32, whose words stand earlier."""
     bits = docs.sparkSession.sparkContext.broadcast(recurring_bits(docs))
     pieces = stored(scanned(docs, bits), "substring-pieces")
+    bits.unpersist()
     late = resolved(pieces.where("words IS NOT NULL"))
     both = pieces.where("words IS NULL").select("order_id", "key", "lo", "hi").unionByName(late)
     return both.groupBy("order_id", "key").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
