@@ -6,6 +6,7 @@ import base64
 import hashlib
 import heapq
 import json
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,10 +20,11 @@ from pyspark.sql import functions as F
 from trailmix.llm.common import lean, read_small, stored, table
 
 NAME = "op2_byte_bpe"
-NONE = (1 << 31) - 1  # rank of a pair that has none
-#: A pair (left, right) has the slots left * a + right * b modulo the size of the table.
-HASHES = ((31_337, 1), (104_729, 7_919))
 ID_BITS = 20
+LOW = (1 << ID_BITS) - 1
+NONE = 1 << ID_BITS  # rank of a pair that has none
+END = LOW  # symbol before and after a word; it pairs with nothing
+EMPTY = 1 << 3 * ID_BITS  # slot of the rank table that no pair has
 
 
 def read_ranks(text: str) -> dict[bytes, int]:
@@ -34,80 +36,92 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return {(ranks[t[:k]], ranks[t[k:]]): r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
 
 
-def rank_map(pairs: dict[tuple[int, int], int]) -> list[int]:
-    """The pair ranks as a table in which each pair has one of two slots: entries (1 << 40 | left << 20 | right) << 20 | rank, 0 for none.
+def rank_map(pairs: dict[tuple[int, int], int]) -> tuple[list[int], tuple[int, int]]:
+    """The pair ranks as a table in which each pair has one of two slots, its key modulo either divisor: entries are key | rank.
 
     A pair whose slots are taken moves the one that it meets to that one's other slot. A larger vocabulary than of
-    2**20 ids is refused.
+    2**20 - 1 ids is refused, as END needs one.
     """
-    if any(max(*p, r) >= 1 << ID_BITS for p, r in pairs.items()):
-        raise ValueError("the vocabulary has ids beyond 2**20")
-    size = 1 << max(10, (4 * len(pairs)).bit_length())
+    if any(max(*p, r) >= END for p, r in pairs.items()):
+        raise ValueError("the vocabulary has ids beyond 2**20 - 2")
+    size = max(1024, 5 * len(pairs) // 2)
     while True:
-        table = [0] * size
-        if all(_placed(table, entry_of(a, b) << ID_BITS | r) for (a, b), r in pairs.items()):
-            return table
+        one = _prime_below(size)
+        two = _prime_below(one - 1)
+        table = [EMPTY] * one
+        if all(_placed(table, one, two, key_of(a, b) | r) for (a, b), r in pairs.items()):
+            return table, (one, two)
         size *= 2
 
 
-def entry_of(left, right):
-    return (1 << 2 * ID_BITS) + (left << ID_BITS) + right
+def key_of(left, right):
+    return (left << 2 * ID_BITS) | (right << ID_BITS)
 
 
-def _placed(table: list[int], entry: int) -> bool:
-    mask, at = (1 << ID_BITS) - 1, -1
+def _prime_below(n: int) -> int:
+    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n -= 1
+    return n
+
+
+def _placed(table: list[int], one: int, two: int, entry: int) -> bool:
+    at = -1
     for _ in range(500):
-        left, right = entry >> 2 * ID_BITS & mask, entry >> ID_BITS & mask
-        one, two = ((left * a + right * b) % len(table) for a, b in HASHES)
-        at = two if at == one else one
+        key = entry & ~LOW
+        at = key % two if at == key % one else key % one
         entry, table[at] = table[at], entry
-        if not entry:
+        if entry == EMPTY:
             return True
     return False
 
 
-def folded(word: Column, ranks: Column, size: int, byte_ids: list[int]) -> Column:
-    """The ids of a word given as binary: n - 1 times, the leftmost pair of lowest rank is merged, if any has a rank.
+def spelled(words: list[bytes], byte_ids: np.ndarray) -> pa.ListArray:
+    """Each word as the keys of its adjacent bytes, with END before it and twice after it: n + 2 keys of n bytes."""
+    ends = np.cumsum([0, *(len(w) + 2 for w in words)])
+    symbols = np.append(byte_ids[np.frombuffer(b"".join([b"\0%b\0" % w for w in words]), np.uint8)], END)
+    symbols[ends] = END
+    symbols[ends[1:] - 1] = END
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(key_of(symbols[:-1], symbols[1:])))
 
-    Ranks of adjacent pairs are kept beside the symbols; a merge looks up two pairs anew.
-    """
-    whole = lambda n: F.lit(n).cast("bigint")
 
-    def rank(a: Column, b: Column) -> Column:
-        left, right = a.cast("bigint"), b.cast("bigint")
-        key = F.shiftleft(left, ID_BITS) + right + whole(1 << 2 * ID_BITS)
-        one, two = (F.get(ranks, (left * whole(m) + right * whole(k)).bitwiseAND(whole(size - 1)).cast("int")) for m, k in HASHES)
-        hit = F.when(F.shiftright(one, ID_BITS) == key, one).when(F.shiftright(two, ID_BITS) == key, two)
-        return F.coalesce(hit.bitwiseAND(whole((1 << ID_BITS) - 1)).cast("int"), F.lit(NONE))
+def folded(keys: Column, ranks: Column, divisors: tuple[int, int]) -> Column:
+    """The ids of a spelled word: n - 1 times, the leftmost pair of lowest rank is merged, if any has a rank.
 
-    ids = F.array(*[F.lit(i) for i in byte_ids])
-    latin = F.decode(word, "ISO-8859-1")
-    start = F.transform(F.sequence(F.lit(1), F.length(latin)), lambda i: F.get(ids, F.ascii(F.substring(latin, i, 1))))
+    The state has for each symbol the rank of its pair with the next one, its place in the word and the symbol, in one
+    number, whose minimum so is that pair; a merge looks up two pairs anew. A key differs from any other's entry above
+    the bits of the rank, so that the exclusive or is the rank where the pair has one and NONE or more elsewhere.
+    """
+    whole = lambda n: F.lit(n).cast("bigint")
+    rest = (1 << 2 * ID_BITS) - 1
 
-    def begin(symbols: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(0), F.size(symbols) - 2), lambda i: rank(F.get(symbols, i), F.get(symbols, i + 1)))
-        return F.struct(symbols.alias("s"), pairs.alias("r"))
+    def rank(key: Column) -> Column:
+        """A pair's rank in its bits of the state."""
+        return F.shiftleft(F.least(*[F.get(ranks, key % whole(d)).bitwiseXOR(key) for d in divisors], whole(NONE)), 2 * ID_BITS)
 
     def bound(value: Column, use) -> Column:
         """``use(value)`` with ``value`` computed once."""
         return F.get(F.transform(F.array(value), use), 0)
 
-    def merged(acc: Column, low: Column, at: Column) -> Column:
-        s, r = acc["s"], acc["r"]
-        symbols = F.concat(F.slice(s, 1, at - 1), F.array(low), F.slice(s, at + 2, F.size(s)))
-        left = F.when(at > 1, F.array(rank(F.get(s, at - 2), low))).otherwise(F.array().cast("array<int>"))
-        right = F.when(at < F.size(r), F.array(rank(low, F.get(s, at + 1)))).otherwise(F.array().cast("array<int>"))
-        pairs = F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(r)))
-        return F.struct(symbols.alias("s"), pairs.alias("r"))
+    def merged(state: Column, low: Column, at: Column) -> Column:
+        made = F.shiftright(low, 2 * ID_BITS)
+        before, after = F.get(state, at - 2), F.get(state, at + 1)
+        firsts = F.array(before.bitwiseAND(whole(rest)), low.bitwiseAND(whole(rest - LOW)) + made)
+        new = F.zip_with(
+            firsts,
+            F.array(F.shiftleft(before.bitwiseAND(whole(LOW)), 2 * ID_BITS) + F.shiftleft(made, ID_BITS), F.shiftleft(made, 2 * ID_BITS) + F.shiftleft(after.bitwiseAND(whole(LOW)), ID_BITS)),
+            lambda first, key: rank(key) + first,
+        )
+        return F.flatten(F.array(F.slice(state, F.lit(1), at - 2), new, F.slice(state, at + 2, F.size(state))))
 
-    def step(acc: Column, _: Column) -> Column:
+    def step(state: Column, _: Column) -> Column:
         return bound(
-            F.coalesce(F.array_min(acc["r"]), F.lit(NONE)),
-            lambda low: F.when(low == NONE, acc).otherwise(bound(F.array_position(acc["r"], low).cast("int"), lambda at: merged(acc, low, at))),
+            F.array_min(state),
+            lambda low: F.when(low >= whole(NONE << 2 * ID_BITS), state).otherwise(bound(F.array_position(state, low).cast("int"), lambda at: merged(state, low, at))),
         )
 
-    many = bound(start, lambda s: F.aggregate(F.sequence(F.lit(2), F.size(s)), begin(s), step, lambda acc: acc["s"]))
-    return F.when(F.length(word) > 1, many).when(F.length(word) == 1, start).otherwise(F.array().cast("array<int>"))
+    begin = F.transform(keys, lambda key, i: rank(key) + F.shiftleft(i.cast("bigint"), ID_BITS) + F.shiftright(key, 2 * ID_BITS))
+    symbols = lambda state: F.transform(F.slice(state, F.lit(2), F.size(state) - 2), lambda x: x.bitwiseAND(whole(LOW)).cast("int"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(keys) - 3), begin, step, symbols)
 
 
 def heap_merged(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
@@ -175,22 +189,81 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where((F.col("n") > 1) & (power >= least))
 
 
-def read_words(data: bytes) -> dict[str, bytes]:
-    """Word to ids of the broadcast map: lengths in two bytes, then the bytes, of words and ids in turn."""
-    out, at = {}, 0
-    while at < len(data):
-        middle = at + 2 + int.from_bytes(data[at : at + 2], "little")
-        end = middle + 2 + int.from_bytes(data[middle : middle + 2], "little")
-        out[data[at + 2 : middle].decode("utf-8", "replace")] = data[middle + 2 : end]
-        at = end
-    return out
+class Words:
+    """Words and their ids in one string of bytes, ordered by bucket: lengths in two bytes each, the word, its ids. Buckets are by CRC-32."""
+
+    def __init__(self, starts: bytes, entries: bytes):
+        self.starts, self.entries = memoryview(starts).cast("I"), entries
+        self.mask = len(self.starts) - 2
+
+    def get(self, word: bytes) -> bytes | None:
+        bucket = zlib.crc32(word) & self.mask
+        at, end, entries = self.starts[bucket], self.starts[bucket + 1], self.entries
+        while at < end:
+            middle = at + 4 + (entries[at] | entries[at + 1] << 8)
+            after = middle + (entries[at + 2] | entries[at + 3] << 8)
+            if entries[at + 4 : middle] == word:
+                return entries[middle:after]
+            at = after
+        return None
+
+    @staticmethod
+    def packed(words: DataFrame, fold, buckets: int) -> tuple[bytes, bytes]:
+        """The two parts, of ``words`` with ids by ``fold`` of keys; tasks hold ranges of buckets, so that the driver only joins strings."""
+
+        byte_ids = fold.byte_ids
+
+        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = batch.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), spelled(found, byte_ids)], names=["word", "bucket", "keys"])
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = []
+            for batch in batches:
+                flat, at = batch.column(2).flatten().to_numpy().astype("<u4").tobytes(), 0
+                for word, bucket, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).value_lengths().to_pylist(), strict=True):
+                    data, at = flat[at : at + 4 * n], at + 4 * n
+                    rows.append((bucket, len(word).to_bytes(2, "little") + len(data).to_bytes(2, "little") + word + data))
+            rows.sort()
+            parts = np.array([b for b, _ in rows], "<u4").tobytes(), np.array([len(e) for _, e in rows], "<u4").tobytes(), b"".join([e for _, e in rows])
+            yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]] if rows else [0], pa.int64()), *(pa.array([p], pa.binary()) for p in parts)], names=["first", "buckets", "sizes", "entries"])
+
+        parts = words.sparkSession.sparkContext.defaultParallelism
+        placed = words.select("word", F.crc32("word").bitwiseAND(F.lit(buckets - 1).cast("bigint")).alias("bucket")).repartitionByRange(parts, "bucket")
+        spelt = placed.mapInArrow(lean(spell), "word binary, bucket long, keys array<bigint>")
+        made = spelt.select("word", "bucket", fold.ids("keys").alias("ids")).mapInArrow(lean(pack), "first long, buckets binary, sizes binary, entries binary")
+        rows = sorted(made.where(F.length("buckets") > 0).collect(), key=lambda r: r["first"])
+        found = np.frombuffer(b"".join([r["buckets"] for r in rows]), "<u4")
+        sizes = np.frombuffer(b"".join([r["sizes"] for r in rows]), "<u4")
+        starts = np.concatenate([[0], np.cumsum(np.bincount(found, sizes, buckets))]).astype("<u4")
+        return starts.tobytes(), b"".join([r["entries"] for r in rows])
+
+
+class Fold:
+    """The fold of a vocabulary: its bytes' ids and the literal rank table."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        slots, self.divisors = rank_map(pair_ranks(ranks))
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.table = F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<bigint>")
+
+    def ids(self, column: str) -> Column:
+        return F.get(F.transform(F.array(self.table), lambda m: folded(F.col(column), m, self.divisors)), 0)
+
+    def ids_each(self, column: str) -> Column:
+        return F.get(F.transform(F.array(self.table), lambda m: F.transform(column, lambda w: folded(w, m, self.divisors))), 0)
 
 
 _pairs: dict[str, dict] = {}
 
 
+#: Texts are kept apart at blanks only for patterns whose matches never reach past a blank that something other than white space follows.
+APART = (public_tokenizers.PATTERN,)
+
+
 def encode(
-    docs: DataFrame, vocabulary: str, pattern: str, most: int = 200_000, longest: int = 48, block_chars: int = 4_000_000, fold_bytes: int = 1024, key: str = "doc_id",
+    docs: DataFrame, vocabulary: str, pattern: str, most: int = 1_200_000, longest: int = 48, block_chars: int = 4_000_000, fold_bytes: int = 1024, key: str = "doc_id",
 ) -> DataFrame:
     """One row per document: key, ids (array of int).
 
@@ -203,48 +276,78 @@ def encode(
     """
     spark = docs.sparkSession
     text = read_small(vocabulary)
-    ranks = read_ranks(text)
-    byte_ids = [ranks[bytes([b])] for b in range(256)]
-    slots = rank_map(pair_ranks(ranks))
-    literal = F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<bigint>")
+    fold = Fold(read_ranks(text))
+    byte_ids = fold.byte_ids
     chosen = docs.select(F.col(key).alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def fold_in(column: Column) -> Column:
-        return F.get(F.transform(F.array(literal), lambda m: folded(column, m, len(slots), byte_ids)), 0)
-
     counts = stored(word_counts(chosen, longest), "bpe-words")
-    hot = frequent(counts, most).repartition(spark.sparkContext.defaultParallelism).select("word", fold_in(F.col("word")).alias("ids")).collect()
-    shared = spark.sparkContext.broadcast(b"".join(len(x).to_bytes(2, "little") + x for r in hot for x in (bytes(r["word"]), np.array(r["ids"], "<u4").tobytes())))
-    del hot
+    shared = spark.sparkContext.broadcast(Words.packed(frequent(counts, most), fold, 1 << most.bit_length() - 1 if most else 1))
     spec = spark.sparkContext.broadcast(text)
     kind = chosen.schema["doc_id"].dataType.simpleString()
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of (keys, streams of ids with holes, texts missing from the map). A hole is 2**31 + its place among the missing."""
-        find, known = regex.compile(pattern).findall, read_words(shared.value)
+        """Blocks of (keys, streams of ids with holes, spelled words missing from the map). A hole is 2**31 + its place among the missing."""
+        find, known = regex.compile(pattern).findall, Words(*shared.value).get
+        apart = pattern in APART
+        #: Ids of what was seen: all of them known, or with holes of this block. Of words, and of what stands after a blank up to the next.
+        words, stretches = ({}, {}), ({}, {})
         keys, streams, missing, chars = [], [], {}, 0
         key_kind = None
 
-        def hole(word: str) -> bytes:
-            raw = word.encode()
+        def hole(raw: bytes) -> bytes:
             if len(raw) > fold_bytes:
                 if vocabulary not in _pairs:
                     _pairs[vocabulary] = pair_ranks(read_ranks(spec.value))
-                return np.array(heap_merged([byte_ids[b] for b in raw], _pairs[vocabulary]), "<u4").tobytes()
+                return np.array(heap_merged(byte_ids[np.frombuffer(raw, np.uint8)].tolist(), _pairs[vocabulary]), "<u4").tobytes()
             return ((1 << 31) + missing.setdefault(raw, len(missing))).to_bytes(4, "little")
 
+        def noted(seen: tuple[dict, dict], name: str, matches: list[str]) -> bytes:
+            parts, whole = [], True
+            for word in matches:
+                raw = word.encode()
+                ids = known(raw) if len(raw) <= longest else None
+                if ids is None:
+                    ids, whole = hole(raw), False
+                parts.append(ids)
+            made = b"".join(parts)
+            if len(name) <= longest:
+                if len(seen[0]) >= 100_000:
+                    seen[0].clear()
+                seen[0 if whole else 1][name] = made
+            return made
+
+        def by_words(value: str) -> bytes:
+            kept, open_ = words
+            return b"".join([kept.get(w) or open_.get(w) or noted(words, w, [w]) for w in find(value)])
+
+        def stream(value: str) -> bytes:
+            if not apart:
+                return by_words(value)
+            kept, open_ = stretches
+            first, *rest = value.split(" ")
+            out = [by_words(first)]
+            for s in rest:
+                ids = kept.get(s) or open_.get(s)
+                if ids is None:
+                    if not s or s[0].isspace():  # a blank within a run of white space, which is matched as a whole
+                        return by_words(value)
+                    ids = noted(stretches, s, find(" " + s))
+                out.append(ids)
+            return b"".join(out)
+
         def out() -> pa.RecordBatch:
+            lacking = spelled(list(missing), byte_ids)
             made = pa.RecordBatch.from_arrays(
-                [pa.array([keys], pa.list_(key_kind)), pa.array([streams], pa.list_(pa.binary())), pa.array([list(missing)], pa.list_(pa.binary()))], names=["keys", "streams", "missing"]
+                [pa.array([keys], pa.list_(key_kind)), pa.array([streams], pa.list_(pa.binary())), pa.ListArray.from_arrays(pa.array([0, len(lacking)], pa.int32()), lacking)],
+                names=["keys", "streams", "missing"],
             )
-            keys.clear(), streams.clear(), missing.clear()
+            keys.clear(), streams.clear(), missing.clear(), words[1].clear(), stretches[1].clear()
             return made
 
         for batch in batches:
             key_kind = batch.schema.field(0).type
             for k, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 keys.append(k)
-                streams.append(b"".join([known.get(w) or hole(w) for w in find(value or "")]))
+                streams.append(stream(value) if value else b"")
                 chars += len(value or "")
                 if chars >= block_chars:
                     yield out()
@@ -255,27 +358,24 @@ def encode(
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, streams, found in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                pieces = [np.array(x, np.int64) for x in found.as_py()]
-                ids = []
-                for stream in streams:
-                    codes = np.frombuffer(stream, "<u4")
-                    holes = np.flatnonzero(codes >= 1 << 31)
-                    if len(holes):
-                        parts, at = [], 0
-                        for h in holes:
-                            parts += [codes[at:h], pieces[codes[h] - (1 << 31)]]
-                            at = h + 1
-                        codes = np.concatenate([*parts, codes[at:]])
-                    ids.append(codes.astype(np.int32))
-                for at in range(0, len(ids), 256):
-                    some = ids[at : at + 256]
-                    offsets = np.cumsum([0, *map(len, some)]).astype(np.int32)
-                    flat = np.concatenate(some) if some else np.empty(0, np.int32)
+                sizes, pieces = found.values.value_lengths().to_numpy().astype(np.int64), found.values.flatten().to_numpy()
+                firsts = np.cumsum(sizes) - sizes
+                for at in range(0, len(streams), 256):
+                    some = streams[at : at + 256]
+                    codes = np.frombuffer(b"".join(some), "<u4")
+                    counts = np.ones(len(codes), np.int64)
+                    holes = np.flatnonzero(codes >= NONE)
+                    which = codes[holes].astype(np.int64) - (1 << 31)
+                    counts[holes] = sizes[which]
+                    ends = np.concatenate([[0], np.cumsum(counts)])
+                    flat = np.repeat(codes.astype(np.int32), counts)
+                    place = np.arange(sizes[which].sum()) - np.repeat(np.cumsum(sizes[which]) - sizes[which], sizes[which])
+                    flat[place + np.repeat(ends[holes], sizes[which])] = pieces[place + np.repeat(firsts[which], sizes[which])]
+                    offsets = ends[np.cumsum([0, *(len(s) // 4 for s in some)])].astype(np.int32)
                     yield pa.RecordBatch.from_arrays([keys.values[at : at + 256], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "ids"])
 
-    blocks = chosen.mapInArrow(lean(look_up), f"keys array<{kind}>, streams array<binary>, missing array<binary>")
-    merged = F.get(F.transform(F.array(literal), lambda m: F.transform("missing", lambda w: folded(w, m, len(slots), byte_ids))), 0)
-    return blocks.select("keys", "streams", merged.alias("found")).mapInArrow(lean(fill), f"doc_id {kind}, ids array<int>")
+    blocks = chosen.mapInArrow(lean(look_up), f"keys array<{kind}>, streams array<binary>, missing array<array<bigint>>")
+    return blocks.select("keys", "streams", fold.ids_each("missing").alias("found")).mapInArrow(lean(fill), f"doc_id {kind}, ids array<int>")
 
 
 def decode_digests(encoded: DataFrame, vocabulary: str) -> DataFrame:
