@@ -56,3 +56,11 @@ def test_words_of_one_bucket_are_told_apart():
 def test_a_vocabulary_beyond_the_packed_ids_is_refused():
     with pytest.raises(ValueError, match="vocabulary"):
         byte_bpe.rank_map({(1, 2): byte_bpe.END})
+
+
+def test_letters_with_and_without_marks(spark, library):
+    words = ["Café", "ª", "µ,", "º.", "×", "÷;", "naïve!", "a,,", ",", "..", "Ǆ:", "ʼn?", "ɐ.", "ɏ", "x1,", "it's", "ß", "don't.", "a.b", "é,"]
+    texts = [" ".join(words), *("x " + w + " y" for w in words), *("x " + w for w in words), *words]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    got = {r.doc_id: r.ids for r in byte_bpe.encode(docs, PATH, P.PATTERN).collect()}
+    assert got == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}

@@ -315,6 +315,13 @@ def encode(
                 seen[0 if whole else 1][name] = made
             return made
 
+        def apart_at_blank(s: str) -> list[str]:
+            """The matches in a blank and the stretch after it; the pattern is spared for Latin letters, also before one mark."""
+            end = -1 if s[-1] in ",.;:!?" else len(s)
+            if s[:end].isalpha() and max(s) < "\u0250":
+                return [" " + s] if end > 0 else [" " + s[:end], s[end:]]
+            return find(" " + s)
+
         def by_words(value: str) -> bytes:
             kept, open_ = words
             return b"".join([kept.get(w) or open_.get(w) or noted(words, w, [w]) for w in find(value)])
@@ -330,7 +337,7 @@ def encode(
                 if ids is None:
                     if not s or s[0].isspace():  # a blank within a run of white space, which is matched as a whole
                         return by_words(value)
-                    ids = noted(stretches, s, find(" " + s))
+                    ids = noted(stretches, s, apart_at_blank(s))
                 out.append(ids)
             return b"".join(out)
 
@@ -384,7 +391,10 @@ def decode_digests(encoded: DataFrame, vocabulary: str) -> DataFrame:
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = {r: t for t, r in read_ranks(spec.value).items()}
+        ranks = read_ranks(spec.value)
+        pieces: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+        for t, r in ranks.items():
+            pieces[r] = t
         for batch in batches:
             rows = []
             for ids in batch.column(1):
