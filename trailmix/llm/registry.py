@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmix.llm import byte_bpe, fingerprints, ngram_join, packing, quality, secrets, substrings, token_counts, toxicity, warc
+from trailmix.llm import (
+    byte_bpe, fingerprints, ngram_join, packing, quality, resampling, secrets, substrings, token_counts, topk_search, toxicity, warc,
+    whitening,
+)
 from trailmix.llm.common import shipped
 
-_MODULES = (ngram_join, byte_bpe, fingerprints, token_counts, secrets, substrings, quality, warc, toxicity, packing)
+_MODULES = (ngram_join, byte_bpe, fingerprints, token_counts, secrets, substrings, quality, warc, toxicity, packing, topk_search, resampling, whitening)
 
 
 def _with_code(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
