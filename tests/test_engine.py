@@ -45,7 +45,7 @@ def test_against_duckdb(spark, duck, name):
 
 def test_every_query_has_an_oracle_or_says_why():
     without = set(registry.QUERIES) - set(registry.ORACLES)
-    assert without == {"file_manifest", "bootstrap_interval", "screening_rejections", "feature_catalog", "screen_pilot_importance", "screen_retained", "ranker_scores", "ablation_choice", "permutation_importance"}
+    assert without == {"file_manifest", "bootstrap_interval", "screening_rejections", "feature_catalog", "screen_pilot_importance", "screen_retained", "ranker_scores", "ablation_choice", "permutation_importance", "evaluation_by_system", "paired_bootstrap", "shap_importance"}
 
 
 EVENTS = [(1, 10, 10, 0, 0), (1, 20, 20, 1, 1), (1, 30, 30, 2, 2), (2, 10, 40, 0, 0), (2, 20, 50, 1, 1)]
@@ -108,24 +108,6 @@ def test_protected_features_stay(spark):
     assert screening.retained(rows, {}, ["a", "b"]) == ["a", "b"]
 
 
-def test_rounds_are_chosen_by_recall(spark):
-    rows = spark.createDataFrame([(s, a, float(a == s % 5), float(a), int(a == s % 5)) for s in range(40) for a in range(5)], "session long, aid long, told double, noise double, target_orders long")
-    labels = spark.createDataFrame([(s, "orders", s % 5) for s in range(40)], "session long, objective string, aid long")
-    asked = labels.select("session", "objective", F.lit(1).alias("recall_denominator"))
-    model = screening.Ranker(["told", "noise"], "orders", rounds=3).fit(rows).tuned(rows, labels, asked, top=1)
-    assert (model.best, model.recall) == (0, 1.0)
-    assert model.importance()["told"] > 0.9 and sum(model.importance().values()) == pytest.approx(1)
-
-
-def test_linear_models_from_correlations(spark):
-    rows = spark.createDataFrame([(float(i % 7), float(i % 3), 4.0, i % 2, int(i % 7 > 3), 0) for i in range(84)], "x double, y double, z double, target_clicks long, target_orders long, target_carts long")
-    model = screening.Linear(rows, ["x", "y", "z"], ridge=0.0)
-    found = rows.withColumn("score", model.score(["x", "z"], "orders")).toPandas()
-    slope = found.x.cov(found.target_orders) / found.x.var() / found.target_orders.std(ddof=0)  # targets are taken in units of their spread
-    assert model.weights(["x", "z"], "orders") == pytest.approx({"x": slope}) and found.score.tolist() == pytest.approx((slope * found.x).tolist())
-    assert set(model.weights(["x", "y", "z"], "carts")) == {"x", "y"} and sum(map(abs, model.weights(["x", "y"], "carts").values())) == pytest.approx(0)
-
-
 def test_undefined_scores_fail(spark):
     rows = spark.createDataFrame([("orders", 1, 2), ("carts", 0, 1), ("clicks", 1, 1)], "objective string, hits long, recall_denominator long")
     assert metrics.official(rows).first().score == pytest.approx(0.6 * 0.5 + 0.1)

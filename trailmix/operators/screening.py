@@ -1,15 +1,13 @@
-"""Feature screening: distinct values, modes, correlations, duplicates, and a redundancy filter; rankers on Spark ML."""
+"""Feature screening: distinct values, modes, correlations, duplicates, and a redundancy filter; pilots on Spark ML."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmix.operators.metrics import WEIGHTS
@@ -77,43 +75,22 @@ def retained(rows: DataFrame, utility: dict[str, float], core: list[str], limit:
     return [names[i] for i in kept]
 
 
-class Ranker:
-    """A pointwise ranker per objective: boosted trees."""
+class Pilot:
+    """A small pointwise model of one objective, for screening: boosted trees of Spark ML."""
 
-    def __init__(self, features: list[str], objective: str, rounds: int = 8, seed: int = 5):
-        self.features, self.objective, self.rounds, self.seed, self.best = list(features), objective, rounds, seed, rounds - 1
+    def __init__(self, features: list[str], objective: str, rounds: int = 3, seed: int = 5):
+        self.features, self.objective, self.rounds, self.seed = list(features), objective, rounds, seed
 
     def vectors(self, rows: DataFrame) -> DataFrame:
         ready = rows.withColumns({f"_{f}": F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in self.features})
         return VectorAssembler(inputCols=[f"_{f}" for f in self.features], outputCol="_v").transform(ready)
 
-    def fit(self, rows: DataFrame) -> Ranker:
+    def fit(self, rows: DataFrame) -> Pilot:
         label = f"target_{self.objective}"
         data = self.vectors(rows).select("_v", F.col(label).cast("double").alias("label"))
         self.model = GBTClassifier(featuresCol="_v", labelCol="label", maxIter=self.rounds, maxDepth=4, seed=self.seed).fit(data)
         return self
 
-    def margins(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with an array of scores, after each round of boosting."""
-        ready, terms = self.vectors(rows), []
-        for i, (tree, weight) in enumerate(zip(self.model.trees, self.model.treeWeights, strict=True)):
-            ready = tree.copy().setFeaturesCol("_v").setPredictionCol(f"_tree_{i}").transform(ready)
-            terms.append(weight * F.col(f"_tree_{i}"))
-        sums = [sum(terms[1 : k + 1], terms[0]) for k in range(len(terms))]
-        return ready.withColumn("margins", F.array(*sums)).drop(*[f"_tree_{i}" for i in range(len(terms))])
-
-    def tuned(self, rows: DataFrame, labels: DataFrame, denominators: DataFrame, top: int = 20) -> Ranker:
-        """Keep the first number of rounds with the greatest recall over all queries of ``rows``."""
-        placed = self.margins(rows).select("session", "aid", F.posexplode("margins").alias("round", "score"))
-        hits = {r["round"]: r["hits"] for r in recalled(placed, labels.where(F.col("objective") == self.objective), ["round"], top).collect()}
-        asked = denominators.where(F.col("objective") == self.objective).agg(F.sum("recall_denominator")).head()[0] or 0
-        self.best = min(hits, key=lambda k: (-hits[k], k)) if hits else 0
-        self.recall = hits.get(self.best, 0) / asked if asked else 0.0
-        return self
-
-    def scores(self, rows: DataFrame) -> DataFrame:
-        return self.margins(rows).withColumn("score", F.col("margins")[self.best])
-
     def log_loss(self, rows: DataFrame) -> float:
         p = F.least(F.greatest(vector_to_array("probability")[1], F.lit(1e-15)), F.lit(1 - 1e-15))
         y = F.col(f"target_{self.objective}").cast("double")
@@ -127,24 +104,6 @@ class Ranker:
         return {f: v / total for f, v in zip(self.features, values, strict=True)}
 
 
-class Linear:
-    """Ridge regressions of any subset of features on any target, all from one matrix of correlations: many models cost one pass over the rows."""
-
-    def __init__(self, rows: DataFrame, features: list[str], ridge: float = 0.01):
-        self.names, self.ridge = [*features, *[f"target_{o}" for o in WEIGHTS]], ridge
-        self.matrix = correlation_matrix(rows, self.names)
-        spread = rows.agg(*[F.stddev_pop(F.col(f).cast("double")).alias(f) for f in self.names]).head()
-        self.spread = np.array([spread[f] or 0.0 for f in self.names], float)
-
-    def weights(self, features: list[str], objective: str) -> dict[str, float]:
-        at = [self.names.index(f) for f in features if self.spread[self.names.index(f)] > 0]
-        told = np.linalg.solve(self.matrix[np.ix_(at, at)] + self.ridge * np.eye(len(at)), self.matrix[at, self.names.index(f"target_{objective}")])
-        return {self.names[i]: float(b / self.spread[i]) for i, b in zip(at, told, strict=True)}
-
-    def score(self, features: list[str], objective: str) -> Column:
-        return reduce(lambda a, b: a + b, [F.col(f).cast("double") * w for f, w in self.weights(features, objective).items()], F.lit(0.0))
-
-
 def recalled(scored: DataFrame, labels: DataFrame, keys: list[str], top: int) -> DataFrame:
     """Hits among the ``top`` rows of each query by score, ties by item, summed per ``keys``; 0 where there are none."""
     order = Window.partitionBy(*keys, "session").orderBy(F.desc("score"), "aid")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmix.canon import portable_hash
@@ -259,7 +259,7 @@ def _pilots(s: Steps) -> list[tuple]:
     made = []
     for objective in metrics.WEIGHTS:
         for fold in range(3):
-            model = screening.Ranker(ALL, objective, rounds=3).fit(rows.where(F.col("fold") != fold))
+            model = screening.Pilot(ALL, objective).fit(rows.where(F.col("fold") != fold))
             loss = model.log_loss(rows.where(F.col("fold") == fold))
             made += [(objective, fold, f, g, loss) for f, g in model.importance().items()]
     return made
@@ -286,66 +286,3 @@ def _(s: Steps) -> DataFrame:
     """Rows only: features left by the redundancy filter, in order; the protected ones always stay."""
     kept = screening.retained(matrix(s, "fit"), utilities(pilots(s)), list(features.CORE))
     return s.spark.createDataFrame(list(enumerate(kept)), "place long, feature string")
-
-
-def tuned(s: Steps, names: list[str], objective: str, rows: DataFrame) -> screening.Ranker:
-    """A ranker with its rounds chosen by recall on the selection role."""
-    model = screening.Ranker(names, objective).fit(rows)
-    return model.tuned(matrix(s, "selection"), s.labels_of("selection"), s.ledger_of("selection"))
-
-
-@add("ranker_scores")
-def _(s: Steps) -> DataFrame:
-    """Rows only: boosted-tree scores of evaluation candidates for each objective, fitted on the fit role."""
-    rows, out = training(s), None
-    for objective in metrics.WEIGHTS:
-        one = tuned(s, ALL, objective, rows).scores(matrix(s, "evaluation")).select(F.lit(objective).alias("objective"), "session", "aid", "candidate_position", "score")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-VARIANTS = {"core": list(features.CORE), "full": ALL} | {f"without_{k}": [n for n in ALL if n not in names] for k, names in STUDIED.items()}
-
-
-@add("ablation_choice")
-def _(s: Steps) -> DataFrame:
-    """Rows only: eight variants for each objective by recall on the selection role, then fewer features, then name. Linear models."""
-    model, made = screening.Linear(training(s), ALL), []
-    names, rows, labels = list(VARIANTS), matrix(s, "selection"), s.labels_of("selection")
-    asked = {r["objective"]: r["n"] for r in s.ledger_of("selection").groupBy("objective").agg(F.sum("recall_denominator").alias("n")).collect()}
-    for objective in metrics.WEIGHTS:
-        scores = F.posexplode(F.array(*[model.score(VARIANTS[v], objective) for v in names])).alias("variant", "score")
-        hits = {r["variant"]: r["hits"] for r in screening.recalled(rows.select("session", "aid", scores), labels.where(F.col("objective") == objective), ["variant"], metrics.K).collect()}
-        found = [(objective, v, hits.get(i, 0) / max(1, asked.get(objective) or 0), len(VARIANTS[v])) for i, v in enumerate(names)]
-        best = min(found, key=lambda r: (-r[2], r[3], r[1]))[1]
-        made += [(*r, r[1] == best) for r in found]
-    return s.spark.createDataFrame(made, "objective string, variant string, recall double, n_features long, chosen boolean")
-
-
-@add("permutation_importance")
-def _(s: Steps) -> DataFrame:
-    """Rows only: by how much weighted recall at 20 falls when a family's values come from another session's candidate of the same place; two shuffles."""
-    rows, model = matrix(s, "evaluation"), screening.Linear(training(s), ALL)
-    labels = s.labels_of("evaluation")
-    asked = {r["objective"]: r["n"] for r in s.ledger_of("evaluation").groupBy("objective").agg(F.sum("recall_denominator").alias("n")).collect()}
-    keyed = rows.select("session").distinct()
-    sizes = keyed.count()
-    blocks = max(1, sizes // 5_000)  # sessions are shuffled within blocks of some thousands, by hash, so that no task sees all
-    variants = rows.withColumns({"family": F.lit("none"), "turn": F.lit(0)})
-    for turn in range(2):
-        draw = portable_hash(F.col("session"), F.lit("permute"), F.lit(turn))
-        block = Window.partitionBy("_block").orderBy("_h", "session")
-        spread = keyed.withColumn("_h", draw).withColumn("_block", F.col("_h") % blocks)
-        given = spread.withColumn("donor", F.coalesce(F.lead("session").over(block), F.first("session").over(Window.partitionBy("_block").orderBy("_h", "session")))).select("session", "donor")
-        for family, mine in STUDIED.items():
-            other = rows.select(F.col("session").alias("donor"), "candidate_position", *[F.col(f).alias(f"_new_{f}") for f in mine])
-            mixed = rows.join(given, "session").join(other, ["donor", "candidate_position"], "left").withColumns({f: F.coalesce(f"_new_{f}", f) for f in mine})
-            variants = variants.unionByName(mixed.withColumns({"family": F.lit(family), "turn": F.lit(turn)}).select(*variants.columns))
-    falls: dict[str, list[float]] = {}
-    for objective, weight in metrics.WEIGHTS.items():
-        scored = variants.select("family", "turn", "session", "aid", model.score(ALL, objective).alias("score"))
-        hits = {(r["family"], r["turn"]): r["hits"] for r in screening.recalled(scored, labels.where(F.col("objective") == objective), ["family", "turn"], metrics.K).collect()}
-        for (family, _), n in hits.items():
-            if family != "none":
-                falls.setdefault(family, []).append(weight * (hits["none", 0] - n) / max(1, asked.get(objective) or 0))
-    return s.spark.createDataFrame([(f, sum(x) / 2) for f, x in sorted(falls.items())], "family string, recall_drop double")

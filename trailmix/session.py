@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -23,3 +26,17 @@ def local_session(cores: int | None = None, app: str = "trailmix", **conf: str)
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shipped(spark: SparkSession) -> None:
+    """Let the executors' Python import this package, wherever the driver runs; once a context."""
+    context = spark.sparkContext
+    if getattr(context, "_trailmix_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="trailmix-code-")) / "trailmix-code.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._trailmix_shipped = True

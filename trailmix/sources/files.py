@@ -39,6 +39,37 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, there in whole or not at all: written aside, then renamed."""
+    aside, system = file_system(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = system.create(aside, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    at, _ = file_system(spark, path)
+    system.delete(at, False)
+    if not system.rename(aside, at):
+        raise OSError(f"cannot write {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as text."""
+    at, system = file_system(spark, path)
+    stream = system.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def names(spark: SparkSession, folder: str, ending: str = "") -> list[str]:
+    """Names of the files of a folder, in order; none if it is missing."""
+    at, system = file_system(spark, folder)
+    found = [f.getPath().getName() for f in system.listStatus(at)] if system.exists(at) else []
+    return sorted(n for n in found if n.endswith(ending))
+
+
 def write_parts(df: DataFrame, path: str, rows_per_part: int = 250_000) -> None:
     """zstd Parquet parts of bounded length; the commit protocol leaves no half-written parts."""
     df.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", rows_per_part).parquet(path)
