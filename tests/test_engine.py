@@ -45,7 +45,7 @@ def test_against_duckdb(spark, duck, name):
 
 def test_every_query_has_an_oracle_or_says_why():
     without = set(registry.QUERIES) - set(registry.ORACLES)
-    assert without == {"file_manifest", "bootstrap_interval", "screening_rejections", "feature_catalog", "screen_pilot_importance", "screen_retained", "ranker_scores", "ablation_choice", "permutation_importance", "evaluation_by_system", "paired_bootstrap", "shap_importance", "wide_matrix"}
+    assert without == {"file_manifest", "bootstrap_interval", "screening_rejections", "feature_catalog", "screen_pilot_importance", "screen_retained", "ranker_scores", "ablation_choice", "permutation_importance", "evaluation_by_system", "paired_bootstrap", "shap_importance", "wide_matrix", "dataset_manifest"}
 
 
 EVENTS = [(1, 10, 10, 0, 0), (1, 20, 20, 1, 1), (1, 30, 30, 2, 2), (2, 10, 40, 0, 0), (2, 20, 50, 1, 1)]

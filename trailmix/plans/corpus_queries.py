@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trailmix import canon
 from trailmix.operators import corpus, graph
 from trailmix.plans.base import Steps, prelude
-from trailmix.sources import files, sessions
+from trailmix.sources import files, manifests, sessions
 
 QUERIES: dict[str, object] = {}
 ORACLES: dict[str, str] = {}
@@ -58,7 +58,7 @@ def _(s: Steps) -> DataFrame:
 @add("file_manifest")
 def _(s: Steps) -> DataFrame:
     """Rows only: name, size and digest of each file of the tables."""
-    return files.manifest(s.spark, f"{s.dir}/*.parquet")
+    return manifests.hashed(s.spark, f"{s.dir}/*.parquet").select("name", "size_bytes", "sha256")
 
 
 @add("fixture_sessions", """

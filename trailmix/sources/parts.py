@@ -17,7 +17,7 @@ class Parts:
     """A folder of ``part=N`` folders under a contract.
 
     A part counts once the log names it. What the log does not name is deleted before writing goes on; a part that the log names and that is
-    missing is an error, and so is a folder of another contract.
+    missing is an error, and so is a folder of another contract. The number of parts may grow from call to call.
     """
 
     def __init__(self, spark: SparkSession, folder: str, contract: str, total: int):
@@ -25,9 +25,9 @@ class Parts:
         self.log: dict = {"contract": contract, "total": total, "rows": {}, "status": "running"}
         if files.names(spark, self.folder, LOG):
             found = json.loads(files.read_text(spark, f"{self.folder}/{LOG}"))
-            if (found["contract"], found["total"]) != (contract, total):
+            if found["contract"] != contract:
                 raise ValueError("the folder holds parts of another contract")
-            self.log = found
+            self.log = found | {"total": total}
         elif any(n.startswith("part=") for n in files.names(spark, self.folder)):
             raise RuntimeError("parts exist without a log")
         else:
