@@ -11,6 +11,8 @@ from trailmix.canon import portable_hash
 from trailmix.operators.graph import UNIT
 
 SEEDS, BUDGET, TOP = 50, 30, 20
+#: No budget is larger.
+MOST = 400
 SOURCES = ("time", "cart", "order", "revisit", "popular")
 FUSION = (0.4, 0.3, 0.6, 1.0, 0.01)
 POPULAR_WEIGHTS = {"clicks": 0.1, "carts": 0.3, "orders": 0.6}
@@ -69,6 +71,8 @@ def fused(weights: tuple[float, ...]) -> Column:
 
 def selected(ranks: DataFrame, prefix: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Revisited items, most recent first, then others by fusion; cut at the budget. Smaller budgets are prefixes of larger ones."""
+    if not 1 <= budget <= MOST:
+        raise ValueError(f"a candidate budget lies between 1 and {MOST}")
     last = prefix.groupBy("session", "aid").agg(F.min("pos").alias("last_pos"))
     rows = ranks.withColumn("fusion", fused(FUSION)).join(last, ["session", "aid"], "left")
     order = Window.partitionBy("session").orderBy(F.asc_nulls_last("last_pos"), F.desc("fusion"), "aid")

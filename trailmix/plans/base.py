@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmix import canon
-from trailmix.operators import candidates, corpus, graph, metrics
+from trailmix.operators import audits, candidates, corpus, graph, metrics
 from trailmix.sources import files
 
 
@@ -59,7 +59,7 @@ class Steps:
         return self.led.where(F.col("split_role") == role)
 
     def candidates_of(self, role: str) -> DataFrame:
-        pre = self.role(role)
+        pre = audits.available(self.role(role), canon.HISTORY_END)
         return self._kept(f"candidates-{role}", lambda: candidates.selected(candidates.source_ranks(candidates.source_scores(pre, self.edges, self.pop)), pre))
 
     pre = cached_property(lambda self: self.role("evaluation"))

@@ -281,7 +281,7 @@ def _(s: Steps) -> DataFrame:
     return click.unionByName(rest)
 
 
-@add("setop_except_all_audit", "SELECT 'missing' AS side, count(*) AS n FROM (SELECT session, aid, event_index FROM hist_ EXCEPT ALL SELECT session, aid, event_index FROM tail_) UNION ALL SELECT 'extra', count(*) FROM (SELECT session, aid, event_index FROM tail_ EXCEPT ALL SELECT session, aid, event_index FROM hist_) UNION ALL SELECT 'prefixes', 0")
+@add("setop_except_all_audit", ", rebuilt_ AS (SELECT e.session, aid, ts, event_type, event_index, split_role FROM ev_ e JOIN samp_ USING (session) WHERE event_index < prefix_events AND ts < period_end), stored_ AS (SELECT session, aid, ts, event_type, event_index, split_role FROM obs_) SELECT 'missing' AS side, count(*) AS n FROM (SELECT session, aid, event_index FROM hist_ EXCEPT ALL SELECT session, aid, event_index FROM tail_) UNION ALL SELECT 'extra', count(*) FROM (SELECT session, aid, event_index FROM tail_ EXCEPT ALL SELECT session, aid, event_index FROM hist_) UNION ALL SELECT 'prefixes', (SELECT count(*) FROM ((FROM rebuilt_ EXCEPT ALL FROM stored_) UNION ALL (FROM stored_ EXCEPT ALL FROM rebuilt_)))")
 def _(s: Steps) -> DataFrame:
     k = ["session", "aid", "event_index"]
     a, b = s.hist.select(*k), s.tail.select(*k)
