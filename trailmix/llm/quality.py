@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from trailmix.llm.common import stored, table
+from trailmix.llm.common import lowest, stored, table
 
 NAME = "op7_quality_rules"
 SYMBOLS = "#*$%&|<>"
@@ -170,7 +170,7 @@ def quality(
     """
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     measures = stored(measured(docs, seed).withColumn("base_failed", base), "quality")
-    picked = measures.where("NOT base_failed").orderBy("drawn", *FEATURES).select(*FEATURES).limit(trees * sample).collect()
+    picked = lowest(measures.where("NOT base_failed").select("drawn", *FEATURES), "drawn", trees * sample, "quality-sample").select(*FEATURES).collect()
     rows = measures.drop("drawn")
     forest = IsolationForest(np.array([tuple(r) for r in picked], float).reshape(-1, len(FEATURES)), trees, sample, seed)
     shared = docs.sparkSession.sparkContext.broadcast(forest)
