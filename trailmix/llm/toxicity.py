@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from trailmix.llm.common import lean, stored, table
+from trailmix.llm.common import lean, lowest, stored, table
 
 NAME = "op9_toxicity"
 #: What a sign may stand for; fixed values.
@@ -230,7 +230,7 @@ def learnt(
     texts equal but for case and blanks, and the least text stays. Rows and the base rate are counted after that.
     """
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
+    chosen = lowest(marked.withColumn("drawn", F.xxhash64("doc_id")), "drawn", rows, "toxicity-sample").drop("drawn").collect()
     if not chosen:
         return {}
     schema = StructType([StructField("doc_id", LongType()), *marked.schema.fields[1:]])
