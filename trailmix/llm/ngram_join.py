@@ -208,11 +208,19 @@ class Join:
         return stored(self.docs.mapInArrow(lean(run), "doc_id long, class long, n long, tokens binary, token long"), "join-rows")
 
     def frequent(self, rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """The most frequent tokens, sorted, and their ranks from the rarest up. Any choice is a valid order; this one keeps prefix groups small."""
-        counted = rows.where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n"))
-        rows = counted.orderBy(F.desc("n"), "token").limit(self.most).collect()
-        tokens = np.array([r["token"] for r in rows], np.int64).view(np.uint64)
-        ranks = np.arange(len(rows), dtype=np.uint64)[::-1]
+        """The most frequent tokens, sorted, and their ranks from the rarest up: all of the count classes (an eighth of a power of two each) that hold at most ``most`` of them. Any choice is a valid order; this one keeps prefix groups small."""
+        counted = stored(rows.where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n")), "join-frequent")
+        step = F.floor(F.log2("n") * 8).cast("int")
+        classes = {r["step"]: r["count"] for r in counted.groupBy(step.alias("step")).count().collect()}
+        total, least = 0, 512
+        for c in sorted(classes, reverse=True):
+            total += classes[c]
+            if total > self.most:
+                break
+            least = c
+        found = sorted(((r["n"], -r["token"]) for r in counted.where(step >= least).collect()), reverse=True)
+        tokens = np.array([-t for _, t in found], np.int64).view(np.uint64)
+        ranks = np.arange(len(found), dtype=np.uint64)[::-1]
         sort = np.argsort(tokens)
         return tokens[sort], ranks[sort]
 
