@@ -9,10 +9,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmix.llm.common import table
+from trailmix.llm.common import stored, table
 
 NAME = "op5_secret_scans"
 SHARD = 4096
+#: Candidates of up to so many documents are broadcast: some hundred bytes each.
+BROADCAST_ROWS = 100_000
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -134,7 +136,12 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     keep = [c for c in docs.columns if c != "found"]
     rows = docs.select(*keep)
     named = candidates(rows, rules)
-    rows = rows.withColumn("_rules", F.lit(None).cast("array<int>")) if named is None else rows.join(named.withColumnRenamed("rules", "_rules"), "doc_id", "left")
+    if named is None:
+        rows = rows.withColumn("_rules", F.lit(None).cast("array<int>"))
+    else:
+        named = stored(named.withColumnRenamed("rules", "_rules"), "secret-candidates")
+        few = named.count() <= BROADCAST_ROWS  # beyond, texts and candidates are sorted and merged
+        rows = rows.join(F.broadcast(named) if few else named, "doc_id", "left")
     none = F.array().cast("array<string>")
     held = rows
     for i, rule in enumerate(rules):
