@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import types as T
 
@@ -62,3 +63,29 @@ def test_hashes_do_not_depend_on_place():
     assert shingling.grams(a.hashes, 3)[1] == shingling.grams(a.hashes, 3)[6] == shingling.grams(b.hashes, 3)[0]
     assert shingling.least_over(a.hashes, 4)[2] == a.hashes[2:6].min()
     assert a.text(0, 2) == b"p q" and len(set(shingling.grams(a.hashes, 2).tolist())) == 6
+
+
+def test_equal_hashes_do_not_settle_windows(monkeypatch):
+    """If all windows had one hash, those of other words would still not be removed by it."""
+    draw = random.Random(5)
+    passage = " ".join(f"p{draw.randrange(50)}" for _ in range(40))
+    texts = [" ".join(f"a{draw.randrange(900)}" for _ in range(60)) + " " + passage, passage + " end", "x " + passage, " ".join(f"c{draw.randrange(900)}" for _ in range(30))]
+    v = substrings.Windows(texts)
+    v.hash = v.hash * 0
+    order = list(range(len(texts)))
+    rows = list(zip(*substrings.pieces(v, np.arange(len(v.at)), order, order), strict=True))
+    settled = {(o, k) for o, _, lo, hi, _, _, words in rows if words is None for k in range(lo, hi)}
+    first = {}
+    for o, t in enumerate(texts):
+        w = t.split()
+        for k in range(len(w) - 19):
+            first.setdefault(tuple(w[k : k + 20]), (o, k))
+    for o, k in settled:
+        assert first[tuple(texts[o].split()[k : k + 20])] < (o, k)
+    covered = {(o, k) for o, _, lo, hi, *_ in rows for k in range(lo, hi)}
+    assert covered == {(o, k) for o, t in enumerate(texts) for k in range(len(t.split()) - 19)}
+    # and with its own hashes every repeat within the texts is settled at once
+    v = substrings.Windows(texts)
+    rows = list(zip(*substrings.pieces(v, np.arange(len(v.at)), order, order), strict=True))
+    settled = {(o, k) for o, _, lo, hi, _, _, words in rows if words is None for k in range(lo, hi)}
+    assert settled == {(o, k) for o, t in enumerate(texts) for k in range(len(t.split()) - 19) if first[tuple(t.split()[k : k + 20])] < (o, k)}

@@ -2,8 +2,8 @@
 
 1. Every window of WINDOW words is named by its minimizer, the least hash of its phrases of PHRASE words. Minimizers
    that occur twice or more in the corpus are counted exactly; a bit table of bounded size carries them to the scan.
-2. The scan cuts out the regions around such phrases. Windows repeated within a portion of the scan are settled there;
-   the first of each goes with its region to the shard of its phrase.
+2. The scan cuts out the regions around such phrases. Windows repeated within a portion of the scan are settled there,
+   their words compared; the first of each goes with its region to the shard of its phrase.
 3. A shard confirms the phrases that several regions have, compiles them into an Aho-Corasick automaton, streams its
    regions through it, and compares the windows around each located phrase word by word.
 4. Word ranges to remove return to their documents.
@@ -87,6 +87,49 @@ def runs(flags_break: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 PIECES = "order_id long, key long, lo int, hi int, least long, at int, words binary"
 
 
+def pieces(v: Windows, asked: np.ndarray, orders: list[int], keys: list[int]) -> list[list]:
+    """Columns of PIECES for the windows ``asked``: windows that stand earlier in the same texts are settled, the others become regions around their phrase.
+
+    Windows of equal hashes are compared word by word, a run at a time; a run whose words differ from its leader's is not settled.
+    """
+    text, start, place = v.text[asked], v.start[asked], v.at[asked]
+    least, window = v.least[asked], v.hash[asked]
+    order = np.array(orders, np.int64)[text]
+    sort = np.lexsort((start, order, window))
+    head = np.ones(len(sort), bool)
+    head[1:] = window[sort][1:] != window[sort][:-1]
+    leader = np.empty(len(sort), np.int64)
+    leader[sort] = sort[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    again = (order > order[leader]) | (start > start[leader])
+    first = place[leader]
+    cut = np.ones(len(asked), bool)
+    cut[1:] = (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1) | (again[1:] != again[:-1]) | (~again[1:] & (least[1:] != least[:-1])) | (again[1:] & (first[1:] != first[:-1] + 1))
+    rows: list[list] = [[] for _ in range(7)]
+
+    def add(i: int, j: int, settled: bool) -> None:
+        t, lo, hi = int(text[i]), int(start[i]), int(start[j - 1]) + 1
+        row = (orders[t], keys[t], lo, hi, None, None, None)
+        if not settled:
+            p = int(place[i])
+            phrase = int(np.argmax(v.phrases[p : p + hi - lo + WINDOW - PHRASE] == least[i]))
+            row = (*row[:4], int(least[i].view(np.int64)), phrase, v.words.text(p, p + hi - lo + WINDOW - 1))
+        for column, value in zip(rows, row, strict=True):
+            column.append(value)
+
+    for i, j in zip(*runs(cut), strict=True):
+        if not again[i]:
+            add(i, j, False)
+            continue
+        n = int(j - i) + WINDOW - 1
+        if v.words.text(int(place[i]), int(place[i]) + n) == v.words.text(int(first[i]), int(first[i]) + n):
+            add(i, j, True)
+        else:
+            for k in range(i, j):
+                same = v.words.text(int(place[k]), int(place[k]) + WINDOW) == v.words.text(int(first[k]), int(first[k]) + WINDOW)
+                add(k, k + 1, same)
+    return rows
+
+
 def scanned(docs: DataFrame, bits) -> DataFrame:
     """Rows of two kinds: windows lo to hi (exclusive) settled as repeated (words is null), and regions to be resolved."""
 
@@ -99,27 +142,7 @@ def scanned(docs: DataFrame, bits) -> DataFrame:
                 asked = np.flatnonzero(members(known, v.least))
                 if not len(asked):
                     continue
-                text, start, place = v.text[asked], v.start[asked], v.at[asked]
-                least, window = v.least[asked], v.hash[asked]
-                order = np.array(orders[a:b], np.int64)[text]
-                sort = np.lexsort((start, order, window))
-                head = np.ones(len(sort), bool)
-                head[1:] = window[sort][1:] != window[sort][:-1]
-                leader = sort[np.flatnonzero(head)[np.cumsum(head) - 1]]
-                again = np.empty(len(sort), bool)
-                again[sort] = (order[sort] > order[leader]) | (start[sort] > start[leader])
-                cut = np.ones(len(asked), bool)
-                cut[1:] = (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1) | (again[1:] != again[:-1]) | (~again[1:] & (least[1:] != least[:-1]))
-                rows: list[list] = [[] for _ in range(7)]
-                for i, j in zip(*runs(cut), strict=True):
-                    t, lo, hi = int(text[i]), int(start[i]), int(start[j - 1]) + 1
-                    row = (orders[a + t], keys[a + t], lo, hi, None, None, None)
-                    if not again[i]:
-                        p = int(place[i])
-                        phrase = int(np.argmax(v.phrases[p : p + hi - lo + WINDOW - PHRASE] == least[i]))
-                        row = (*row[:4], int(least[i].view(np.int64)), phrase, v.words.text(p, p + hi - lo + WINDOW - 1))
-                    for column, value in zip(rows, row, strict=True):
-                        column.append(value)
+                rows = pieces(v, asked, orders[a:b], keys[a:b])
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["order_id", "key", "lo", "hi", "least", "at", "words"])
 
