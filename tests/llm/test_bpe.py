@@ -39,3 +39,15 @@ def test_documents(spark, library):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     got = byte_bpe.query(spark, "/root/testdata/sf0.001").collect()
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == {i: want(library, t) for i, t in docs.items()}
+
+
+def test_decoding_gives_the_bytes_back(spark):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, decoded string")
+    encoded = byte_bpe.encode(docs, PATH, P.PATTERN, block_chars=500)
+    got = {r.doc_id: bytes(r.decoded).decode() for r in byte_bpe.decode(encoded, PATH).collect()}
+    assert got == {i: t or "" for i, t in enumerate(TEXTS)}
+    odd = spark.createDataFrame([(1, None, "a"), (2, [], "b"), (3, [220], "c")], "doc_id long, ids array<int>, note string")
+    assert [(r.doc_id, r.note, r.decoded) for r in byte_bpe.decode(odd, PATH).orderBy("doc_id").collect()] == [(1, "a", None), (2, "b", b""), (3, "c", b" ")]
+    for wrong in (-1, 50_256, 1 << 30):
+        with pytest.raises(Exception, match="not in the vocabulary"):
+            byte_bpe.decode(spark.createDataFrame([(1, [wrong])], "doc_id long, ids array<int>"), PATH).collect()
