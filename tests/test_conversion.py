@@ -128,10 +128,13 @@ def test_manifests_do_not_depend_on_order(spark, tmp_path):
     with pytest.raises(ValueError, match="changed"):
         manifests.read(spark, str(tmp_path / "m.json"))
     assert manifests.differences(spark, found, source).collect() == []
+    assert manifests.attested(spark, found, source) == found["manifest_id"]
     with open(f"{source}/{names[0]}", "a") as f:
         f.write("x")
     os.rename(f"{source}/{names[1]}", f"{source}/new.jsonl")
     assert {tuple(r) for r in manifests.differences(spark, found, source).collect()} == {(names[0], "changed"), (names[1], "missing"), ("new.jsonl", "unknown")}
+    with pytest.raises(ValueError, match="changed"):
+        manifests.attested(spark, found, source)
     with pytest.raises(FileNotFoundError):
         manifests.build(spark, [f"{source}/none-*"], "unit")
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailmix.canon import SCHEMA
-from trailmix.operators import corpus, features, graph, metrics, screening
+from trailmix.operators import corpus, features, graph, metrics, screening, simple
 from trailmix.plans import registry
 from trailmix.sources import files, sessions
 from trailmix.streaming.ingest import ingest
@@ -45,7 +45,7 @@ def test_against_duckdb(spark, duck, name):
 
 def test_every_query_has_an_oracle_or_says_why():
     without = set(registry.QUERIES) - set(registry.ORACLES)
-    assert without == {"file_manifest", "bootstrap_interval", "screening_rejections", "feature_catalog", "screen_pilot_importance", "screen_retained", "ranker_scores", "ablation_choice", "permutation_importance", "evaluation_by_system", "paired_bootstrap", "shap_importance", "wide_matrix", "dataset_manifest"}
+    assert without == {"file_manifest", "bootstrap_interval", "screening_rejections", "feature_catalog", "screen_pilot_importance", "screen_retained", "ranker_scores", "ablation_choice", "permutation_importance", "evaluation_by_system", "paired_bootstrap", "shap_importance", "wide_matrix", "dataset_manifest", "input_attestation", "ablation_audit"}
 
 
 EVENTS = [(1, 10, 10, 0, 0), (1, 20, 20, 1, 1), (1, 30, 30, 2, 2), (2, 10, 40, 0, 0), (2, 20, 50, 1, 1)]
@@ -150,3 +150,11 @@ def test_csv_sink(spark, tmp_path):
     rows = spark.createDataFrame([("1_clicks", "1 2 3")], "session_type string, labels string")
     files.write_csv(rows, str(tmp_path / "x"))
     assert files.read_csv(spark, str(tmp_path / "x"), "session_type string, labels string").collect() == rows.collect()
+
+
+def test_cooccurrence_of_long_sessions_in_blocks(spark):
+    rows = [(1, a) for a in range(23)] + [(1, 3), (2, 5), (3, 5), (3, 22), (4, 22), (4, 5)]
+    hist = spark.createDataFrame(rows, "session long, aid long")
+    wanted = Counter((a, b) for own in (set(range(23)), {5}, {5, 22}, {5, 22}) for a in own for b in own if a != b)
+    for block in (1, 5, 23, 256):
+        assert {(r["item"], r["other"]): r["n"] for r in simple.cooccurrence(hist, block).collect()} == wanted

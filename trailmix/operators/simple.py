@@ -14,11 +14,24 @@ PARTS = (0.6, 0.3, 0.1)
 SOURCES = ("session co-occurrence", "observed prefix", "historical popularity")
 
 
-def cooccurrence(hist: DataFrame) -> DataFrame:
-    """(item, other, n): sessions that hold both items, a pair once a session. The rows are as many as the pairs of different items of sessions."""
+#: Items of a session that meet those of another block in one task.
+BLOCK = 256
+
+
+def cooccurrence(hist: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(item, other, n): sessions that hold both items, a pair once a session. The rows are as many as the pairs of different items of sessions.
+
+    Items of a session are numbered and meet by blocks of ``block``: a session of very many items is spread over as many keys as it has pairs of
+    blocks, so that none has more than ``block`` squared rows.
+    """
     items = hist.select("session", "aid").distinct()
-    pairs = items.alias("a").join(items.alias("b"), "session").where("a.aid <> b.aid")
-    return pairs.groupBy(F.col("a.aid").alias("item"), F.col("b.aid").alias("other")).agg(F.count("*").alias("n"))
+    own = Window.partitionBy("session")
+    place, last = F.row_number().over(own.orderBy("aid")) - 1, F.count("*").over(own) - 1
+    items = items.select("session", "aid", F.floor(place / block).alias("_mine"), F.sequence(F.lit(0).cast("long"), F.floor(last / block)).alias("_all"))
+    left = items.select("session", F.col("aid").alias("item"), F.col("_mine").alias("_a"), F.explode("_all").alias("_b"))
+    right = items.select("session", F.col("aid").alias("other"), F.explode("_all").alias("_a"), F.col("_mine").alias("_b"))
+    pairs = left.join(right, ["session", "_a", "_b"]).where("item <> other")
+    return pairs.groupBy("item", "other").agg(F.count("*").alias("n"))
 
 
 def popularity(hist: DataFrame) -> DataFrame:

@@ -58,6 +58,16 @@ def _(s: Steps) -> DataFrame:
     return s.spark.createDataFrame([row], "source string, manifest_id string, n_files long, size_bytes long")
 
 
+@add("input_attestation")
+def _(s: Steps) -> DataFrame:
+    """Rows only: the events' files against a manifest written before; a file that is missing, unknown or changed fails the job."""
+    base, pattern = scratch(s, "attestation"), f"{s.dir}/events.parquet"
+    manifests.write(s.spark, manifests.build(s.spark, [pattern], "events"), f"{base}/manifest.json")
+    told = manifests.read(s.spark, f"{base}/manifest.json")
+    row = (manifests.attested(s.spark, told, pattern), len(told["files"]))
+    return s.spark.createDataFrame([row], "manifest_id string, n_files long")
+
+
 def refreshed(s: Steps) -> refresh.State:
     """The state of the history's end, kept, and taken to the end of the selection period in two steps."""
     state = refresh.built(s.ev, canon.HISTORY_END)
@@ -102,3 +112,11 @@ def _(s: Steps) -> DataFrame:
     path = f"{scratch(s, 'submission')}/submission.csv.gz"
     submission.write_single(submitted(s), path)
     return submission.read_single(s.spark, path)
+
+
+@add("csv_export", SUBMITTED + "GROUP BY session, objective")
+def _(s: Steps) -> DataFrame:
+    """The submission as CSV parts, read back."""
+    path = f"{scratch(s, 'export')}/csv"
+    files.write_csv(submitted(s), path)
+    return files.read_csv(s.spark, path, "session_type string, labels string")

@@ -134,3 +134,11 @@ def differences(spark: SparkSession, manifest: dict, pattern: str) -> DataFrame:
         .when((F.col("size_bytes") != F.col("told_size")) | (F.col("sha256") != F.col("told_sha")), "changed")
     )
     return told.join(there, "name", "full").select("name", fault.alias("fault")).where("fault IS NOT NULL")
+
+
+def attested(spark: SparkSession, manifest: dict, pattern: str) -> str:
+    """The manifest's id, if exactly its files are there with its digests; else it raises with what differs first."""
+    wrong = differences(spark, manifest, pattern).orderBy("name").limit(3).collect()
+    if wrong:
+        raise ValueError("the input is not that of the manifest: " + ", ".join(f"{r['name']} {r['fault']}" for r in wrong))
+    return manifest["manifest_id"]
