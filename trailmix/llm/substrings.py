@@ -105,9 +105,21 @@ def pieces(v: Windows, asked: np.ndarray, orders: list[int], keys: list[int]) ->
     cut = np.ones(len(asked), bool)
     cut[1:] = (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1) | (again[1:] != again[:-1]) | (~again[1:] & (least[1:] != least[:-1])) | (again[1:] & (first[1:] != first[:-1] + 1))
     rows: list[list] = [[] for _ in range(7)]
+    last = (-1, -1)  # text and end of the range that was settled last
+
+    def same(p: int, q: int, n: int) -> bool:
+        """Whether ``n`` words are the same from two places; equal bytes are split alike."""
+        w = v.words
+        return w.data[w.starts[p] : w.ends[p + n - 1]] == w.data[w.starts[q] : w.ends[q + n - 1]] or w.text(p, p + n) == w.text(q, q + n)
 
     def add(i: int, j: int, settled: bool) -> None:
+        nonlocal last
         t, lo, hi = int(text[i]), int(start[i]), int(start[j - 1]) + 1
+        if settled and last == (t, lo):  # goes on where the last range ends, after another leader
+            rows[3][-1] = hi
+            last = (t, hi)
+            return
+        last = (t, hi) if settled else (-1, -1)
         row = (orders[t], keys[t], lo, hi, None, None, None)
         if not settled:
             p = int(place[i])
@@ -120,13 +132,11 @@ def pieces(v: Windows, asked: np.ndarray, orders: list[int], keys: list[int]) ->
         if not again[i]:
             add(i, j, False)
             continue
-        n = int(j - i) + WINDOW - 1
-        if v.words.text(int(place[i]), int(place[i]) + n) == v.words.text(int(first[i]), int(first[i]) + n):
+        if same(int(place[i]), int(first[i]), int(j - i) + WINDOW - 1):
             add(i, j, True)
         else:
             for k in range(i, j):
-                same = v.words.text(int(place[k]), int(place[k]) + WINDOW) == v.words.text(int(first[k]), int(first[k]) + WINDOW)
-                add(k, k + 1, same)
+                add(k, k + 1, same(int(place[k]), int(first[k]), WINDOW))
     return rows
 
 
