@@ -16,6 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trailmix.llm.common import lean, read_small, stored, table
 
@@ -263,7 +264,7 @@ APART = (public_tokenizers.PATTERN,)
 
 
 def encode(
-    docs: DataFrame, vocabulary: str, pattern: str, most: int = 1_200_000, longest: int = 48, block_chars: int = 4_000_000, fold_bytes: int = 1024, key: str = "doc_id",
+    docs: DataFrame, vocabulary: str, pattern: str, most: int = 1_200_000, longest: int = 48, block_chars: int = 2_000_000, fold_bytes: int = 1024, key: str = "doc_id",
 ) -> DataFrame:
     """One row per document: key, ids (array of int).
 
@@ -385,21 +386,57 @@ def encode(
     return blocks.select("keys", "streams", fold.ids_each("missing").alias("found")).mapInArrow(lean(fill), f"doc_id {kind}, ids array<int>")
 
 
+def pieces_of(vocabulary_text: str) -> list[bytes | None]:
+    """The binary piece of each id."""
+    ranks = read_ranks(vocabulary_text)
+    pieces: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for t, r in ranks.items():
+        pieces[r] = t
+    return pieces
+
+
+def joined(codes: list[int], pieces: list[bytes | None]) -> bytes:
+    """The pieces of ``codes`` one after the other; an id that the vocabulary lacks is an error."""
+    try:
+        if codes and min(codes) < 0:
+            raise IndexError
+        return b"".join(map(pieces.__getitem__, codes))
+    except (IndexError, TypeError):
+        raise ValueError("an id is not in the vocabulary") from None
+
+
+def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
+    """All columns of ``encoded`` with ``decoded``: the bytes of ``ids`` (array of int), joined from the vocabulary's binary pieces.
+
+    Null ids stay null, no ids give no bytes; an id that the vocabulary lacks fails the job. Bytes need not be valid
+    UTF-8 where ids were cut; those of whole texts are. A column named decoded is replaced.
+    """
+    spec = encoded.sparkSession.sparkContext.broadcast(read_small(vocabulary))
+    rows = encoded.drop("decoded")
+    at = rows.columns.index("ids")
+    schema = StructType([*rows.schema.fields]).add("decoded", "binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = pieces_of(spec.value)
+        for batch in batches:
+            found = [None if ids is None else joined(ids, pieces) for ids in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=schema.names)
+
+    return rows.mapInArrow(lean(run), schema)
+
+
 def decode_digests(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256: decoding looks up each id's binary piece and joins them."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of ``encode``'s rows: decoding as ``decode`` does it, of which digests alone leave the task."""
     spec = encoded.sparkSession.sparkContext.broadcast(read_small(vocabulary))
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(spec.value)
-        pieces: list[bytes | None] = [None] * (max(ranks.values()) + 1)
-        for t, r in ranks.items():
-            pieces[r] = t
+        pieces = pieces_of(spec.value)
         for batch in batches:
             rows = []
             for ids in batch.column(1):
                 codes = ids.values.to_numpy()
-                data = b"".join(map(pieces.__getitem__, codes.tolist()))
+                data = joined(codes.tolist(), pieces)
                 rows.append((len(codes), hashlib.sha256(codes.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(data).hexdigest()))
             columns = [pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
