@@ -7,10 +7,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from trailmix.llm import resampling
-from trailmix.llm.common import shipped
+from trailmix.llm.common import shipped, stored
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -102,3 +104,14 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a " * 40), (2, None)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in resampling.resampled(docs, none, percent=100).collect()}
     assert got[1]["rank"] == 1 and got[2]["rank"] is None and got[2]["weight"] == 0
+
+
+def test_blocks_of_counts_and_their_row_groups_are_small(spark):
+    """A reader holds a row group's rows at once: at 6 GB, blocks of 2 MB in row groups of 128 MB took an executor's memory."""
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda x: F.sha2((x * 1_000 + F.col("id")).cast("string"), 256)))
+    docs = spark.range(0, 900, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    kept = stored(resampling.count_matrix(docs), "counts", 1 << 20)
+    assert kept.agg(F.max(F.length("columns") + F.length("counts"))).first()[0] <= 8 * (resampling.BLOCK_ENTRIES + 10_000) <= 256 << 10
+    assert kept.agg(F.sum(F.size("ids"))).first()[0] == 900
+    groups = [g for path in kept.inputFiles() for f in [pq.ParquetFile(path.removeprefix("file://")).metadata] for g in (f.row_group(i) for i in range(f.num_row_groups))]
+    assert len(groups) > 1 and max(g.total_byte_size for g in groups) <= 32 << 20

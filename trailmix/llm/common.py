@@ -66,11 +66,15 @@ def made_dir(spark: SparkSession, path: str) -> None:
     system.deleteOnExit(at)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to shared storage and read it back: lineage ends there, and a lost executor costs no recomputation. The files go when the session's JVM ends."""
+def stored(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
+    """Write ``df`` to shared storage and read it back: lineage ends there, and a lost executor costs no recomputation. The files go when the session's JVM ends.
+
+    ``group_bytes`` bounds Parquet's row groups, for rows of many KB: a reader has up to 4,096 rows of a group in memory at once, uncompressed.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=CODEC)
+    writer = df.write if group_bytes is None else df.write.option("parquet.block.size", group_bytes)
+    writer.parquet(path, compression=CODEC)
     at, system = _hadoop(spark, path)
     system.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)

@@ -18,7 +18,10 @@ NAME = "op12_importance_resampling"
 #: Bytes of words: digits, small letters, and all of any character beyond ASCII; others part words.
 WORD_BYTES = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 CSR = "ids array<bigint>, n_words array<bigint>, n_features array<bigint>, starts array<int>, columns binary, counts binary"
-BLOCK_ENTRIES = 1 << 18
+#: Entries of a block, but for its last document's. A Parquet writer looks at its memory once in 100 rows, and a reader takes a row group's rows
+#: at once, so that blocks and row groups are small: memory does not depend on how many blocks a task has.
+BLOCK_ENTRIES = 1 << 14
+GROUP_BYTES = 8 << 20
 
 
 def codes(data: bytes | None) -> tuple[int, np.ndarray]:
@@ -117,7 +120,7 @@ def resampled(
     features and weight 0. Rows with a null doc_id have no score, do not count in N and are not drawn. Repeated rows are drawn
     each by itself, with ranks of their own; extra columns are left out. Without target texts gains tell how common a bucket is.
     """
-    matrix = stored(count_matrix(docs, buckets, key, text), "resampling-counts")
+    matrix = stored(count_matrix(docs, buckets, key, text), "resampling-counts", GROUP_BYTES)
     other = count_matrix(target.select(F.lit(None).cast("long").alias("id"), F.col(target_text).alias("text")), buckets, "id")
     gains = bucket_gains(column_sums(matrix, buckets), column_sums(other, buckets))
     drawn_h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")).cast("binary"), 256), 1, 8), 16, 10).cast("double")
