@@ -55,24 +55,39 @@ def leading(counts: DataFrame, pool: int = POOL) -> DataFrame:
     return out
 
 
-def explanations(prefix: DataFrame, pairs: DataFrame, counts: DataFrame, pool: int = POOL) -> DataFrame:
-    """Per (session, objective, item of the catalogue) recency, association with the prefix and popularity, as integers.
+#: Rows of (session, item) that a task orders, on average.
+TASK_ROWS = 100_000
 
-    Items with an association or in the prefix, and the leading ones of each action; the other items of the catalogue
-    have popularity alone and rank behind these, so sessions never meet the whole catalogue.
+
+def tasks(own: DataFrame, pairs: DataFrame, counts: DataFrame, pool: int = POOL, task_rows: int = TASK_ROWS) -> int:
+    """How many tasks explain sessions, so that each has some ``task_rows`` rows at any size of the input; the driver gets one row of sums."""
+    degree = pairs.groupBy(F.col("item").alias("aid")).agg(F.count("*").alias("_n"))
+    heads = own.join(degree, "aid", "left").groupBy("session").agg(F.sum(1 + F.coalesce("_n", F.lit(0))).alias("_n"))
+    n_items = counts.count()
+    listed = F.least(F.col("_n"), F.lit(n_items)) + min(n_items, len(ACTIONS) * pool)
+    return max(1, -(-(heads.agg(F.sum(listed)).first()[0] or 0) // task_rows))
+
+
+def explanations(prefix: DataFrame, pairs: DataFrame, counts: DataFrame, pool: int = POOL, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Per (session, objective, item of the catalogue) recency, association with the prefix, the session's highest association, and popularity, as integers.
+
+    Items with an association or in the prefix, and the leading ones of any action; the other items of the catalogue
+    have popularity alone and rank behind these, so sessions never meet the whole catalogue. Rows are spread over the objectives last,
+    and the number of tasks goes by that of rows, so that a task's memory does not grow with the input.
     """
     own, zero = recency(prefix), F.lit(0).cast("bigint")
+    n = tasks(own, pairs, counts, pool, task_rows)
+    own = own.repartition(n, "session")
     near = own.join(pairs.withColumnRenamed("item", "aid"), "aid").groupBy("session", F.col("other").alias("aid")).agg(F.sum(F.col("recency") * F.col("n")).alias("assoc"))
-    both = own.select("session", "aid", "recency", zero.alias("assoc")).unionByName(near.select("session", "aid", zero.alias("recency"), "assoc"))
-    scored = both.groupBy("session", "aid").agg(F.max("recency").alias("recency"), F.max("assoc").alias("assoc"))
-    scored = scored.withColumn("objective", F.explode(F.array(*[F.lit(a) for a in ACTIONS])))
-    everyone = prefix.select("session").distinct().join(F.broadcast(leading(counts, pool)))  # three bounded lists
-    rows = scored.unionByName(everyone.select("session", "aid", "objective", zero.alias("recency"), zero.alias("assoc")))
-    rows = rows.groupBy("session", "objective", "aid").agg(F.max("recency").alias("recency"), F.max("assoc").alias("assoc"))
+    everyone = own.select("session").distinct().join(F.broadcast(leading(counts, pool).select("aid").distinct()))  # three bounded lists
+    rows = own.select("session", "aid", "recency", zero.alias("assoc")).unionByName(near.select("session", "aid", zero.alias("recency"), "assoc"))
+    rows = rows.unionByName(everyone.select("session", "aid", zero.alias("recency"), zero.alias("assoc"))).repartition(n, "session")
+    rows = rows.groupBy("session", "aid").agg(F.max("recency").alias("recency"), F.max("assoc").alias("assoc"))
+    rows = rows.withColumn("most", F.max("assoc").over(Window.partitionBy("session")))
     tops = counts.agg(*[F.max(f"n_{a}").alias(f"top_{a}") for a in ACTIONS])
-    of = lambda c: F.coalesce(*[F.when(F.col("objective") == a, F.col(f"{c}_{a}")) for a in ACTIONS])
     known = rows.join(counts, "aid").crossJoin(F.broadcast(tops))  # one row
-    return known.select("session", "objective", "aid", "recency", "assoc", of("n").alias("popularity"), of("top").alias("top"))
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("objective"), F.col(f"n_{a}").alias("popularity"), F.col(f"top_{a}").alias("top")) for a in ACTIONS]))
+    return known.select("session", "aid", "recency", "assoc", "most", each.alias("_x")).select("session", "_x.objective", "aid", "recency", "assoc", "most", "_x.popularity", "_x.top")
 
 
 def _share(value: Column, most: Column) -> Column:
@@ -81,9 +96,8 @@ def _share(value: Column, most: Column) -> Column:
 
 def candidates(explained: DataFrame, pool: int = POOL) -> DataFrame:
     """The best ``pool`` items per session and objective by weighted score in fixed point, ties by item."""
-    most = F.max("assoc").over(Window.partitionBy("session", "objective"))
     a, r, p = PARTS
-    score = a * _share(F.col("assoc"), most) + r * (F.col("recency") / F.lit(float(SCALE))) + p * _share(F.col("popularity"), F.col("top"))
+    score = a * _share(F.col("assoc"), F.col("most")) + r * (F.col("recency") / F.lit(float(SCALE))) + p * _share(F.col("popularity"), F.col("top"))
     rows = explained.withColumn("score", F.round(score * F.lit(1e9)).cast("bigint"))
     rank = F.row_number().over(Window.partitionBy("session", "objective").orderBy(F.desc("score"), "aid"))
     return rows.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= pool)

@@ -182,8 +182,9 @@ dcand_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session, obj
 
 
 def demo(s: Steps) -> DataFrame:
-    """Candidates of every session and objective; the first 20 are recommended."""
-    return simple.candidates(simple.explanations(s.pre, simple.cooccurrence(s.hist), simple.popularity(s.hist)))
+    """Candidates of every session and objective; the first 20 are recommended. Pairs, counts and the result are written once, as all queries on the model read them."""
+    pairs, counts = s._kept("demo-pairs", lambda: simple.cooccurrence(s.hist)), s._kept("demo-counts", lambda: simple.popularity(s.hist))
+    return s._kept("demo", lambda: simple.candidates(simple.explanations(s.pre, pairs, counts)).drop("most"))
 
 
 @add("demo_cooccurrence", DEMO + "SELECT item, other, n FROM co_")
