@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from trailmix.operators import simple
+from trailmix.operators import graph, simple, wide
+from trailmix.plans import registry
+from trailmix.plans.base import Steps
+from trailmix.plans.wide_queries import NUDGE
 
 EVENT = "session bigint, aid bigint, ts bigint, event_type bigint"
 
@@ -21,3 +24,14 @@ def test_explanations_take_more_tasks_for_more_sessions(spark):
     assert max(sizes) <= 3 * 2000  # three objectives, and some play in the hash
     ordered = lambda df: sorted(map(tuple, simple.candidates(df).collect()))
     assert ordered(few) == ordered(made(200, 10**9))
+
+
+def test_wide_graph_features_are_rounded_in_tasks(spark):
+    """Spark's round makes a decimal of each of 1,152 values a row; arrays rounded in tasks must give the same numbers."""
+    made = registry.QUERIES["feat_graph_wide"](spark, "/root/testdata/sf0.001")
+    assert "round(" not in made._jdf.queryExecution().optimizedPlan().toString()
+    s = Steps(spark, "/root/testdata/sf0.001")
+    plain = wide.kernel(s.cand.select("session", "aid"), s.pre, graph.scaled(s.edges))
+    some = range(0, len(wide.GRAPH_NAMES), 7)
+    want = plain.select("session", "aid", *[F.round(F.col("graph")[i] + F.lit(NUDGE), 5).alias(wide.GRAPH_NAMES[i]) for i in some])
+    assert sorted(map(tuple, made.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))

@@ -48,8 +48,7 @@ def _wide_sql() -> str:
 @add("feat_graph_wide", _wide_sql())
 def _(s: Steps) -> DataFrame:
     """All 1,152 graph features, by the kernel."""
-    found = wide.kernel(s.cand.select("session", "aid"), s.pre, graph.scaled(s.edges))
-    return found.select("session", "aid", *[F.round(F.col("graph")[i] + F.lit(NUDGE), 5).alias(n) for i, n in enumerate(wide.GRAPH_NAMES)])
+    return wide.graph_columns(s.cand.select("session", "aid"), s.pre, graph.scaled(s.edges), 5, NUDGE)
 
 
 def wide_rows(s: Steps, role: str, sessions: DataFrame | None = None) -> DataFrame:
