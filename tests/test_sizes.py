@@ -1,9 +1,14 @@
 """What a task has to hold must not grow with the input."""
 
+import itertools
+
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from trailmix.operators import graph, simple, wide
-from trailmix.plans import registry
+from trailmix.operators import boosting, candidates, features, graph, simple, wide
+from trailmix.plans import base, feature_queries, registry
 from trailmix.plans.base import Steps
 from trailmix.plans.wide_queries import NUDGE
 
@@ -35,3 +40,63 @@ def test_wide_graph_features_are_rounded_in_tasks(spark):
     some = range(0, len(wide.GRAPH_NAMES), 7)
     want = plain.select("session", "aid", *[F.round(F.col("graph")[i] + F.lit(NUDGE), 5).alias(wide.GRAPH_NAMES[i]) for i in some])
     assert sorted(map(tuple, made.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def joined(s: Steps, role: str):
+    """The studied matrix by a join for each family, as its parts are defined."""
+    cand, pre = s.candidates_of(role), s.role(role)
+    source, context, repeat = features.source_features(cand), features.context_features(pre), features.repeat_features(cand, pre, (5, 50))
+    hist = features.history_features(feature_queries.items(s, cand, pre), s.stats)
+    both = [repeat, hist.drop("query_ts"), features.interaction_features(source, context, repeat, hist), features.graph_features(cand, pre, graph.scaled(s.edges), feature_queries.GRAPH_NAMES)]
+    rows = source.join(context, "session")
+    for other in both:
+        rows = rows.join(other, ["session", "aid"])
+    return candidates.with_targets(rows.select("session", "aid", "candidate_position", *feature_queries.ALL), s.labels_of(role))
+
+
+@pytest.mark.parametrize("role", ["fit", "evaluation"])
+def test_studied_matrix_is_that_of_the_joins_with_one_wide_shuffle(spark, role):
+    s = Steps(spark, "/root/testdata/sf0.001")
+    made = feature_queries.unwritten(s, role)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 2  # statistics and edges by item; the joins of families were a dozen
+    want = joined(s, role)
+    assert made.dtypes == want.dtypes
+    got, told = (df.toPandas().sort_values(["session", "aid"]).reset_index(drop=True) for df in (made, want))
+    assert len(got) == len(told) > 0
+    for name, kind in want.dtypes:
+        # where a variance cancels out, its root keeps half the digits
+        np.testing.assert_allclose(got[name], told[name], rtol=0 if kind == "bigint" else 1e-12, atol=3e-5 if name.endswith("_std") else 1e-12, err_msg=name)
+
+
+def test_batches_are_cut_between_sessions_only():
+    column = np.repeat([3, 4, 9], [5, 1, 6])
+    for size in range(1, 13):
+        batches = [pa.RecordBatch.from_arrays([pa.array(column[a : a + size])], names=["session"]) for a in range(0, 12, size)]
+        parts = [t.column(0).to_numpy() for t in wide.whole_sessions(iter(batches))]
+        assert np.concatenate(parts).tolist() == column.tolist()
+        assert all(not set(a) & set(b) for a, b in itertools.combinations(parts, 2))
+
+
+def _stump(feature: int, threshold: float, low: float, high: float) -> boosting.Tree:
+    return boosting.Tree(np.array([feature, -1, -1]), np.array([threshold, 0.0, 0.0]), np.zeros(3, int), np.array([1, 0, 0]), np.array([2, 0, 0]), np.array([0.0, low, high]), np.ones(3), np.ones(3))
+
+
+def test_scores_read_only_features_of_splits_and_ranks_need_no_shuffle(spark):
+    rows = spark.range(60).selectExpr("id div 7 AS session", "(id * 11) % 60 AS aid", "cast(id % 5 AS double) AS x", "cast(id % 3 AS double) AS y", "cast(id AS double) AS unused")
+    models = {"one": boosting.Ensemble(["unused", "x", "y"], [_stump(1, 2.0, 0.5, -1.0), _stump(2, 0.0, 0.25, 1.0), _stump(0, 3.0, 9.0, 99.0)], 2, 0.5), "none": boosting.Ensemble(["unused"], [], 0, 0.0)}
+    made = boosting.scored(rows, models, ["session", "aid"])
+    assert "_unused" not in made._jdf.queryExecution().analyzed().toString()
+    score = "(CASE WHEN x <= 2 THEN 0.5D ELSE -1.0D END + CASE WHEN y <= 0 THEN 0.25D ELSE 1.0D END)"
+    want = {(r.session, r.aid): (r.s, r.r) for r in rows.selectExpr("session", "aid", f"{score} AS s", f"row_number() OVER (PARTITION BY session ORDER BY {score} DESC, aid) AS r").collect()}
+    assert {(r.session, r.aid): r.score for r in made.where("model = 'one'").collect()} == {k: v[0] for k, v in want.items()}
+    placed = boosting.placed(rows.coalesce(1).sortWithinPartitions("session", "aid"), models, ["y"])
+    assert "Exchange" not in placed._jdf.queryExecution().executedPlan().toString()
+    assert {(r.session, r.aid): (r.scores[0], r.ranks[0]) for r in placed.collect()} == want
+
+
+def test_evaluation_writes_places_but_no_matrix(spark):
+    names = lambda: {k[-1] for k in base._written if k[1].startswith("/root/testdata/sf0.01/")}
+    rows = registry.QUERIES["ranker_scores"](spark, "/root/testdata/sf0.01")
+    assert rows.columns == ["session", "aid", "candidate_position", "objective", "score"]
+    assert rows.count() == 3 * Steps(spark, "/root/testdata/sf0.01").cand.count()
+    assert "standings" in names() and "matrix-evaluation" not in names()
