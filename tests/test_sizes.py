@@ -5,10 +5,11 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trailmix.operators import boosting, candidates, features, graph, simple, wide
-from trailmix.plans import base, feature_queries, registry
+from trailmix.operators import boosting, candidates, features, graph, metrics, simple, wide
+from trailmix.plans import base, feature_queries, registry, study_queries
 from trailmix.plans.base import Steps
 from trailmix.plans.wide_queries import NUDGE
 
@@ -100,3 +101,14 @@ def test_evaluation_writes_places_but_no_matrix(spark):
     assert rows.columns == ["session", "aid", "candidate_position", "objective", "score"]
     assert rows.count() == 3 * Steps(spark, "/root/testdata/sf0.01").cand.count()
     assert "standings" in names() and "matrix-evaluation" not in names()
+
+
+def test_systems_meet_labels_without_scoring_or_ranking_again(spark):
+    s = Steps(spark, "/root/testdata/sf0.01")
+    made = study_queries.systems(s).where("system = 'selected'").select("session", "objective", "hits", "ndcg", "mrr")
+    assert "MapInArrow" not in made._jdf.queryExecution().optimizedPlan().toString()
+    order = Window.partitionBy("session", "objective").orderBy(F.desc("score"), "aid")
+    ranked = registry.QUERIES["ranker_scores"](spark, s.dir).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= metrics.K)
+    want = metrics.hits(ranked, s.labels_of("evaluation"), s.ledger_of("evaluation")).select(*made.columns)
+    rounded = lambda df: sorted((r[0], r[1], r[2], round(r[3], 12), r[4]) for r in df.collect())
+    assert rounded(made) == rounded(want) and any(r[2] for r in rounded(made))
