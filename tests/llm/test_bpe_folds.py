@@ -1,12 +1,15 @@
 """Which words are folded once for the corpus, and texts apart at blanks, against the library."""
 
 import base64
+import hashlib
 import inspect
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -64,3 +67,42 @@ def test_letters_with_and_without_marks(spark, library):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
     got = {r.doc_id: r.ids for r in byte_bpe.encode(docs, PATH, P.PATTERN).collect()}
     assert got == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_of_a_low_count_all_words_are_taken_that_fit(spark):
+    counts = spark.createDataFrame([(bytes([a, b]), a) for a in (2, 3, 70, 130) for b in range(10)], "word binary, n long")
+    assert [sorted({r.n for r in byte_bpe.frequent(counts, most).collect()}) for most in (9, 15, 35, 40)] == [[], [130], [3, 70, 130], [2, 3, 70, 130]]
+
+
+def test_words_are_counted_as_the_pattern_matches_them(spark):
+    texts = ["One two.\nOne 12 two,", "One  two", "", None, "x" * 49, "éa é 12"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = Counter(w.encode() for t in texts if t for w in regex.findall(P.PATTERN, t) if len(w.encode()) <= 48)
+    assert {bytes(r.word): r.n for r in byte_bpe.word_counts(docs, P.PATTERN, 48).collect()} == want
+
+
+def test_recurring_words_of_any_kind_are_not_folded_in_blocks(spark):
+    docs = spark.createDataFrame([(i, "Word\nWord, 12 it's  two.\nEnd") for i in range(40)], "doc_id long, text string").coalesce(1)
+    blocks = byte_bpe.folded_blocks(docs, PATH, P.PATTERN, 1000, 48, 100, 1024, "doc_id").collect()
+    assert len(blocks) > 2 and not any(b.found for b in blocks)
+
+
+def test_digests_leave_the_worker_that_fills_the_holes(spark):
+    plan = byte_bpe.query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_digests_of_odd_texts_in_small_batches(spark, most):
+    draw = random.Random(5)
+    texts = ["".join(draw.choices(PARTS, k=draw.randint(1, 60))) for _ in range(400)] + [None, "", " ", "  ", "a ", " a", "ab" * 700 + " b", "b " * 3000]
+    docs = spark.createDataFrame([(None if i == 9 else i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(2)
+    settings = {"most": most, "block_chars": 300}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = byte_bpe.encode_digests(docs, PATH, P.PATTERN, **settings).collect()
+        want = byte_bpe.decode_digests(byte_bpe.encode(docs, PATH, P.PATTERN, **settings), PATH).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == len(texts)
+    assert sorted(r.decoded_sha256 for r in got) == sorted(hashlib.sha256((t or "").encode()).hexdigest() for t in texts)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import inspect
 import json
 import zlib
 from collections import Counter
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,20 +78,30 @@ def _placed(table: list[int], one: int, two: int, entry: int) -> bool:
     return False
 
 
-def spelled(words: list[bytes], byte_ids: np.ndarray) -> pa.ListArray:
-    """Each word as the keys of its adjacent bytes, with END before it and twice after it: n + 2 keys of n bytes."""
+def first_ranks(ranks: dict[bytes, int], byte_ids: np.ndarray) -> np.ndarray:
+    """For two neighbours in a word, END counted as byte 256: the rank of their pair and the left one's id, as a state of the fold has them."""
+    found = np.full((257, 257), NONE, np.int64)
+    for token, rank in ranks.items():
+        if len(token) == 2:
+            found[token[0], token[1]] = rank
+    return (found << 2 * ID_BITS) + np.append(byte_ids, END)[:, None]
+
+
+def spelled(words: list[bytes], firsts: np.ndarray) -> pa.ListArray:
+    """Each word as the fold's first state: its bytes with END before them and twice after them, n + 2 numbers of n bytes; see ``folded``."""
     ends = np.cumsum([0, *(len(w) + 2 for w in words)])
-    symbols = np.append(byte_ids[np.frombuffer(b"".join([b"\0%b\0" % w for w in words]), np.uint8)], END)
-    symbols[ends] = END
-    symbols[ends[1:] - 1] = END
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(key_of(symbols[:-1], symbols[1:])))
+    symbols = np.append(np.frombuffer(b"".join([b"\0%b\0" % w for w in words]), np.uint8).astype(np.int64), 256)
+    symbols[ends] = 256
+    symbols[ends[1:] - 1] = 256
+    places = np.arange(ends[-1]) - np.repeat(ends[:-1], np.diff(ends))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(firsts[symbols[:-1], symbols[1:]] + (places << ID_BITS)))
 
 
-def folded(keys: Column, ranks: Column, divisors: tuple[int, int]) -> Column:
+def folded(begin: Column, ranks: Column, divisors: tuple[int, int]) -> Column:
     """The ids of a spelled word: n - 1 times, the leftmost pair of lowest rank is merged, if any has a rank.
 
     The state has for each symbol the rank of its pair with the next one, its place in the word and the symbol, in one
-    number, whose minimum so is that pair; a merge looks up two pairs anew. A key differs from any other's entry above
+    number, whose minimum so is that pair; ``begin`` is that of the bytes, and a merge looks up two pairs anew. A key differs from any other's entry above
     the bits of the rank, so that the exclusive or is the rank where the pair has one and NONE or more elsewhere.
     """
     whole = lambda n: F.lit(n).cast("bigint")
@@ -120,9 +132,8 @@ def folded(keys: Column, ranks: Column, divisors: tuple[int, int]) -> Column:
             lambda low: F.when(low >= whole(NONE << 2 * ID_BITS), state).otherwise(bound(F.array_position(state, low).cast("int"), lambda at: merged(state, low, at))),
         )
 
-    begin = F.transform(keys, lambda key, i: rank(key) + F.shiftleft(i.cast("bigint"), ID_BITS) + F.shiftright(key, 2 * ID_BITS))
     symbols = lambda state: F.transform(F.slice(state, F.lit(2), F.size(state) - 2), lambda x: x.bitwiseAND(whole(LOW)).cast("int"))
-    return F.aggregate(F.sequence(F.lit(0), F.size(keys) - 3), begin, step, symbols)
+    return F.aggregate(F.sequence(F.lit(0), F.size(begin) - 3), begin, step, symbols)
 
 
 def heap_merged(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
@@ -148,46 +159,90 @@ def heap_merged(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-#: Bytes that letters in words have; others end a word.
-LETTERS = bytes(b if chr(b).isascii() and chr(b).isalpha() or b > 127 else 32 for b in range(256))
+#: Texts are kept apart at blanks only for patterns whose matches never reach past a blank that something other than white space follows.
+APART = (public_tokenizers.PATTERN,)
 
 
-def word_counts(docs: DataFrame, longest: int) -> DataFrame:
-    """(word, n) of the runs of letters in all texts, each with the blank that mostly stands before it. Tasks sum before the shuffle.
+class Stretches:
+    """A batch of texts, cut at blanks by Arrow: ``distinct`` has each stretch between blanks once, ``places`` the one at each position.
 
-    This tells which words are worth folding beforehand; what a text's words are is settled by the pattern alone.
+    ``starts`` has each text's first position; what stands there has no blank before it. Texts with a blank within a
+    run of white space, which is matched as a whole, are ``joint``; ``counts`` leaves those and all first stretches out.
     """
 
+    def __init__(self, texts: pa.Array):
+        parts = pc.split_pattern(texts.fill_null(""), " ")
+        found = parts.flatten().dictionary_encode()
+        self.starts = parts.offsets.to_numpy()[:-1] if len(texts) else np.zeros(0, np.int32)
+        self.places, self.distinct = found.indices.to_numpy(), found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.sizes = parts.value_lengths().to_numpy()
+        self.later = np.ones(len(self.places), bool)
+        self.later[self.starts] = False
+        white = np.array([not s or s[0].isspace() for s in self.distinct], bool)
+        self.joint = np.logical_or.reduceat(white[self.places] & self.later, self.starts) if len(texts) else np.zeros(0, bool)
+        self.later &= ~np.repeat(self.joint, self.sizes)
+        self.counts = np.bincount(self.places[self.later], minlength=len(self.distinct))
+        self.alone = [t if j else self.distinct[p] for t, j, p in zip(texts.to_pylist() if self.joint.any() else self.starts, self.joint, self.places[self.starts])]
+
+    @staticmethod
+    def matches(s: str, find) -> list[str]:
+        """The matches in a blank and the stretch after it; the pattern is spared for Latin letters, also before one mark."""
+        end = -1 if s[-1] in ",.;:!?" else len(s)
+        if s[:end].isalpha() and (s.isascii() or max(s) < "\u0250"):
+            return [" " + s] if end > 0 else [" " + s[:end], s[end:]]
+        return find(" " + s)
+
+
+def word_counts(docs: DataFrame, pattern: str, longest: int) -> DataFrame:
+    """(word, n) of the pattern's matches of up to ``longest`` bytes in all texts, which tells those worth folding beforehand. Tasks sum before the shuffle."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        find, counts = regex.compile(pattern).findall, Counter()
 
         def out() -> pa.RecordBatch:
-            made = [(b" " + w, n) for w, n in counts.items() if len(w) < longest]
+            made = [(raw, n) for raw, n in ((w.encode(), n) for w, n in counts.items()) if len(raw) <= longest]
             counts.clear()
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in made], pa.binary()), pa.array([n for _, n in made], pa.int64())], names=["word", "n"])
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
+        def whole(texts: list[str | None]) -> Iterator[pa.RecordBatch]:
+            for text in texts:
                 if text:
-                    counts.update(text.encode("utf-8", "replace").translate(LETTERS).split())
+                    counts.update(w for w in find(text) if len(w) <= longest)
                     if len(counts) > 300_000:
                         yield out()
+
+        for batch in batches:
+            if pattern not in APART:
+                yield from whole(batch.column(0).to_pylist())
+                continue
+            cut = Stretches(batch.column(0))
+            for s, n in zip(cut.distinct, cut.counts.tolist(), strict=True):
+                if n:
+                    for word in cut.matches(s, find):
+                        if len(word) <= longest:
+                            counts[word] += n
+            yield from whole(cut.alone)
+            if len(counts) > 300_000:
+                yield out()
         yield out()
 
     return docs.select("text").mapInArrow(lean(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent(counts: DataFrame, most: int) -> DataFrame:
-    """Words that occur twice or more, of the lowest count class (a power of two) down to which at most ``most`` words exist, and all above."""
-    power = F.floor(F.log2("n")).cast("int")
-    classes = {r["power"]: r["count"] for r in counts.where("n > 1").groupBy(power.alias("power")).count().collect()}
-    total, least = 0, 63
-    for p in sorted(classes, reverse=True):
-        total += classes[p]
+    """Words that occur twice or more, of the lowest count class down to which at most ``most`` words exist, and all above.
+
+    A class is a single count below 64, a power of two from there on: the driver gets some 120 of them at most.
+    """
+    kind = F.when(F.col("n") < 64, F.col("n")).otherwise(F.floor(F.log2("n")) + 58)
+    classes = {r["kind"]: r["count"] for r in counts.where("n > 1").groupBy(kind.alias("kind")).count().collect()}
+    total, least = 0, 1 << 20
+    for c in sorted(classes, reverse=True):
+        total += classes[c]
         if total > most:
             break
-        least = p
-    return counts.where((F.col("n") > 1) & (power >= least))
+        least = c
+    return counts.where((F.col("n") > 1) & (kind >= least))
 
 
 class Words:
@@ -210,14 +265,14 @@ class Words:
 
     @staticmethod
     def packed(words: DataFrame, fold, buckets: int) -> tuple[bytes, bytes]:
-        """The two parts, of ``words`` with ids by ``fold`` of keys; tasks hold ranges of buckets, so that the driver only joins strings."""
+        """The two parts, of ``words`` with ids by ``fold``; tasks hold ranges of buckets, so that the driver only joins strings."""
 
-        byte_ids = fold.byte_ids
+        firsts = fold.firsts
 
         def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = batch.column(0).to_pylist()
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), spelled(found, byte_ids)], names=["word", "bucket", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), spelled(found, firsts)], names=["word", "bucket", "state"])
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
@@ -232,8 +287,8 @@ class Words:
 
         parts = words.sparkSession.sparkContext.defaultParallelism
         placed = words.select("word", F.crc32("word").bitwiseAND(F.lit(buckets - 1).cast("bigint")).alias("bucket")).repartitionByRange(parts, "bucket")
-        spelt = placed.mapInArrow(lean(spell), "word binary, bucket long, keys array<bigint>")
-        made = spelt.select("word", "bucket", fold.ids("keys").alias("ids")).mapInArrow(lean(pack), "first long, buckets binary, sizes binary, entries binary")
+        spelt = placed.mapInArrow(lean(spell), "word binary, bucket long, state array<bigint>")
+        made = spelt.select("word", "bucket", fold.ids("state").alias("ids")).mapInArrow(lean(pack), "first long, buckets binary, sizes binary, entries binary")
         rows = sorted(made.where(F.length("buckets") > 0).collect(), key=lambda r: r["first"])
         found = np.frombuffer(b"".join([r["buckets"] for r in rows]), "<u4")
         sizes = np.frombuffer(b"".join([r["sizes"] for r in rows]), "<u4")
@@ -247,6 +302,7 @@ class Fold:
     def __init__(self, ranks: dict[bytes, int]):
         slots, self.divisors = rank_map(pair_ranks(ranks))
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.firsts = first_ranks(ranks, self.byte_ids)
         self.table = F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<bigint>")
 
     def ids(self, column: str) -> Column:
@@ -259,10 +315,6 @@ class Fold:
 _pairs: dict[str, dict] = {}
 
 
-#: Texts are kept apart at blanks only for patterns whose matches never reach past a blank that something other than white space follows.
-APART = (public_tokenizers.PATTERN,)
-
-
 def encode(
     docs: DataFrame, vocabulary: str, pattern: str, most: int = 1_200_000, longest: int = 48, block_chars: int = 2_000_000, fold_bytes: int = 1024, key: str = "doc_id",
 ) -> DataFrame:
@@ -275,12 +327,18 @@ def encode(
     the fold's quadratic cost would tell, are merged by a heap to the same ids. Null and empty texts have no ids;
     a null key stays null; repeated rows are encoded each; extra columns are left out.
     """
+    kind = docs.schema[key].dataType.simpleString()
+    return folded_blocks(docs, vocabulary, pattern, most, longest, block_chars, fold_bytes, key).mapInArrow(lean(filled), f"doc_id {kind}, ids array<int>")
+
+
+def folded_blocks(docs: DataFrame, vocabulary: str, pattern: str, most: int, longest: int, block_chars: int, fold_bytes: int, key: str) -> DataFrame:
+    """Blocks of (keys, streams of ids with holes, ids of the words that fill them), of ``encode``'s arguments; see ``filled``."""
     spark = docs.sparkSession
     text = read_small(vocabulary)
     fold = Fold(read_ranks(text))
-    byte_ids = fold.byte_ids
+    byte_ids, firsts = fold.byte_ids, fold.firsts
     chosen = docs.select(F.col(key).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = stored(word_counts(chosen, longest), "bpe-words")
+    counts = stored(word_counts(chosen, pattern, longest), "bpe-words")
     shared = spark.sparkContext.broadcast(Words.packed(frequent(counts, most), fold, 1 << most.bit_length() - 1 if most else 1))
     spec = spark.sparkContext.broadcast(text)
     kind = chosen.schema["doc_id"].dataType.simpleString()
@@ -288,9 +346,8 @@ def encode(
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of (keys, streams of ids with holes, spelled words missing from the map). A hole is 2**31 + its place among the missing."""
         find, known = regex.compile(pattern).findall, Words(*shared.value).get
-        apart = pattern in APART
-        #: Ids of what was seen: all of them known, or with holes of this block. Of words, and of what stands after a blank up to the next.
-        words, stretches = ({}, {}), ({}, {})
+        #: Ids of what was seen: words all of them known, words with holes of this block, and what stands after a blank up to the next, all known.
+        words, open_words, after_blank = {}, {}, {}
         keys, streams, missing, chars = [], [], {}, 0
         key_kind = None
 
@@ -301,106 +358,121 @@ def encode(
                 return np.array(heap_merged(byte_ids[np.frombuffer(raw, np.uint8)].tolist(), _pairs[vocabulary]), "<u4").tobytes()
             return ((1 << 31) + missing.setdefault(raw, len(missing))).to_bytes(4, "little")
 
-        def noted(seen: tuple[dict, dict], name: str, matches: list[str]) -> bytes:
+        def kept(seen: dict, name: str, ids: bytes) -> None:
+            if len(name) <= longest:
+                if len(seen) >= 100_000:
+                    seen.clear()
+                seen[name] = ids
+
+        def of_word(word: str) -> bytes:
+            raw = word.encode()
+            ids = known(raw) if len(raw) <= longest else None
+            if ids is not None:
+                kept(words, word, ids)
+                return ids
+            ids = hole(raw)
+            kept(open_words, word, ids)
+            return ids
+
+        def by_words(value: str | None) -> bytes:
+            return b"".join([words.get(w) or open_words.get(w) or of_word(w) for w in find(value)]) if value else b""
+
+        def of_stretch(s: str, n: int) -> bytes:
+            """What recurs within one batch is kept for the next ones."""
             parts, whole = [], True
-            for word in matches:
+            for word in Stretches.matches(s, find):
                 raw = word.encode()
                 ids = known(raw) if len(raw) <= longest else None
                 if ids is None:
                     ids, whole = hole(raw), False
                 parts.append(ids)
             made = b"".join(parts)
-            if len(name) <= longest:
-                if len(seen[0]) >= 100_000:
-                    seen[0].clear()
-                seen[0 if whole else 1][name] = made
+            if whole and n > 1:
+                kept(after_blank, s, made)
             return made
 
-        def apart_at_blank(s: str) -> list[str]:
-            """The matches in a blank and the stretch after it; the pattern is spared for Latin letters, also before one mark."""
-            end = -1 if s[-1] in ",.;:!?" else len(s)
-            if s[:end].isalpha() and max(s) < "\u0250":
-                return [" " + s] if end > 0 else [" " + s[:end], s[end:]]
-            return find(" " + s)
-
-        def by_words(value: str) -> bytes:
-            kept, open_ = words
-            return b"".join([kept.get(w) or open_.get(w) or noted(words, w, [w]) for w in find(value)])
-
-        def stream(value: str) -> bytes:
-            if not apart:
-                return by_words(value)
-            kept, open_ = stretches
-            first, *rest = value.split(" ")
-            out = [by_words(first)]
-            for s in rest:
-                ids = kept.get(s) or open_.get(s)
-                if ids is None:
-                    if not s or s[0].isspace():  # a blank within a run of white space, which is matched as a whole
-                        return by_words(value)
-                    ids = noted(stretches, s, apart_at_blank(s))
-                out.append(ids)
-            return b"".join(out)
+        def by_stretches(texts: pa.Array) -> list[bytes]:
+            cut = Stretches(texts)
+            made = [n and (after_blank.get(s) or of_stretch(s, n)) or b"" for s, n in zip(cut.distinct, cut.counts.tolist(), strict=True)]
+            made += map(by_words, cut.alone)
+            places = np.where(cut.later, cut.places, 0)
+            places[cut.starts] = len(cut.distinct) + np.arange(len(cut.starts))
+            sizes = np.array([len(m) // 4 for m in made])
+            counts = np.where(cut.later, sizes[places], 0)
+            counts[cut.starts] = sizes[places[cut.starts]]
+            ends = np.cumsum(counts)
+            at = np.repeat((np.cumsum(sizes) - sizes)[places] - ends + counts, counts) + np.arange(counts.sum())
+            data = np.frombuffer(b"".join(made), "<u4")[at].tobytes()
+            bounds = [0, *(4 * ends[cut.starts + cut.sizes - 1]).tolist()]
+            return [data[a:b] for a, b in zip(bounds, bounds[1:])]
 
         def out() -> pa.RecordBatch:
-            lacking = spelled(list(missing), byte_ids)
+            lacking = spelled(list(missing), firsts)
             made = pa.RecordBatch.from_arrays(
                 [pa.array([keys], pa.list_(key_kind)), pa.array([streams], pa.list_(pa.binary())), pa.ListArray.from_arrays(pa.array([0, len(lacking)], pa.int32()), lacking)],
                 names=["keys", "streams", "missing"],
             )
-            keys.clear(), streams.clear(), missing.clear(), words[1].clear(), stretches[1].clear()
+            keys.clear(), streams.clear(), missing.clear(), open_words.clear()
             return made
 
         for batch in batches:
             key_kind = batch.schema.field(0).type
-            for k, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys.append(k)
-                streams.append(stream(value) if value else b"")
-                chars += len(value or "")
+            lengths, at = pc.utf8_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), 0
+            while at < len(lengths):
+                so_far = chars + np.cumsum(lengths[at:])
+                end = at + min(int(np.searchsorted(so_far, block_chars)) + 1, len(so_far))
+                some = batch.slice(at, end - at)
+                keys += some.column(0).to_pylist()
+                streams += by_stretches(some.column(1)) if pattern in APART else map(by_words, some.column(1).to_pylist())
+                chars, at = int(so_far[end - at - 1]), end
                 if chars >= block_chars:
                     yield out()
                     chars = 0
         if keys:
             yield out()
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, streams, found in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                sizes, pieces = found.values.value_lengths().to_numpy().astype(np.int64), found.values.flatten().to_numpy()
-                firsts = np.cumsum(sizes) - sizes
-                for at in range(0, len(streams), 256):
-                    some = streams[at : at + 256]
-                    codes = np.frombuffer(b"".join(some), "<u4")
-                    counts = np.ones(len(codes), np.int64)
-                    holes = np.flatnonzero(codes >= NONE)
-                    which = codes[holes].astype(np.int64) - (1 << 31)
-                    counts[holes] = sizes[which]
-                    ends = np.concatenate([[0], np.cumsum(counts)])
-                    flat = np.repeat(codes.astype(np.int32), counts)
-                    place = np.arange(sizes[which].sum()) - np.repeat(np.cumsum(sizes[which]) - sizes[which], sizes[which])
-                    flat[place + np.repeat(ends[holes], sizes[which])] = pieces[place + np.repeat(firsts[which], sizes[which])]
-                    offsets = ends[np.cumsum([0, *(len(s) // 4 for s in some)])].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([keys.values[at : at + 256], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "ids"])
-
     blocks = chosen.mapInArrow(lean(look_up), f"keys array<{kind}>, streams array<binary>, missing array<array<bigint>>")
-    return blocks.select("keys", "streams", fold.ids_each("missing").alias("found")).mapInArrow(lean(fill), f"doc_id {kind}, ids array<int>")
-
-
-def pieces_of(vocabulary_text: str) -> list[bytes | None]:
+    return blocks.select("keys", "streams", fold.ids_each("missing").alias("found"))
+
+
+def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``folded_blocks``, 256 at a time, with the holes of their streams filled."""
+    for batch in batches:
+        for keys, streams, found in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            sizes, pieces = found.values.value_lengths().to_numpy().astype(np.int64), found.values.flatten().to_numpy()
+            firsts = np.cumsum(sizes) - sizes
+            for at in range(0, len(streams), 256):
+                some = streams[at : at + 256]
+                codes = np.frombuffer(b"".join(some), "<u4")
+                counts = np.ones(len(codes), np.int64)
+                holes = np.flatnonzero(codes >= NONE)
+                which = codes[holes].astype(np.int64) - (1 << 31)
+                counts[holes] = sizes[which]
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                flat = np.repeat(codes.astype(np.int32), counts)
+                place = np.arange(sizes[which].sum()) - np.repeat(np.cumsum(sizes[which]) - sizes[which], sizes[which])
+                flat[place + np.repeat(ends[holes], sizes[which])] = pieces[place + np.repeat(firsts[which], sizes[which])]
+                offsets = ends[np.cumsum([0, *(len(s) // 4 for s in some)])].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([keys.values[at : at + 256], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "ids"])
+
+
+def pieces_of(vocabulary_text: str) -> np.ndarray:
     """The binary piece of each id."""
     ranks = read_ranks(vocabulary_text)
-    pieces: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    pieces = np.full(max(ranks.values()) + 1, None, object)
     for t, r in ranks.items():
         pieces[r] = t
     return pieces
 
 
-def joined(codes: list[int], pieces: list[bytes | None]) -> bytes:
-    """The pieces of ``codes`` one after the other; an id that the vocabulary lacks is an error."""
+def joined(codes: np.ndarray, pieces: np.ndarray) -> bytes:
+    """The pieces of ``codes`` one after the other; an id that is null or that the vocabulary lacks is an error."""
+    if not len(codes):
+        return b""
     try:
-        if codes and min(codes) < 0:
+        if codes.dtype.kind != "i" or codes.min() < 0:
             raise IndexError
-        return b"".join(map(pieces.__getitem__, codes))
+        return b"".join(pieces[codes].tolist())
     except (IndexError, TypeError):
         raise ValueError("an id is not in the vocabulary") from None
 
@@ -419,31 +491,43 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(spec.value)
         for batch in batches:
-            found = [None if ids is None else joined(ids, pieces) for ids in batch.column(at).to_pylist()]
+            found = [joined(ids.values.to_numpy(zero_copy_only=False), pieces) if ids.is_valid else None for ids in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=schema.names)
 
     return rows.mapInArrow(lean(run), schema)
 
 
+def digested(batches: Iterator[pa.RecordBatch], pieces: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of rows of doc_id and ids."""
+    for batch in batches:
+        rows = []
+        for ids in batch.column(1):
+            codes = ids.values.to_numpy()
+            data = joined(codes, pieces)
+            rows.append((len(codes), hashlib.sha256(codes.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(data).hexdigest()))
+        columns = [pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
 def decode_digests(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of ``encode``'s rows: decoding as ``decode`` does it, of which digests alone leave the task."""
     spec = encoded.sparkSession.sparkContext.broadcast(read_small(vocabulary))
     kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.mapInArrow(lean(lambda batches: digested(batches, pieces_of(spec.value))), f"doc_id {kind}, {DIGESTS}")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(spec.value)
-        for batch in batches:
-            rows = []
-            for ids in batch.column(1):
-                codes = ids.values.to_numpy()
-                data = joined(codes.tolist(), pieces)
-                rows.append((len(codes), hashlib.sha256(codes.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(data).hexdigest()))
-            columns = [pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.mapInArrow(lean(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def encode_digests(docs: DataFrame, vocabulary: str, pattern: str, **settings) -> DataFrame:
+    """``decode_digests`` of ``encode``'s rows, which one Python worker fills, decodes and digests, so that ids do not pass through the JVM between."""
+    bound = inspect.signature(encode).bind(docs, vocabulary, pattern, **settings)
+    bound.apply_defaults()
+    spec = docs.sparkSession.sparkContext.broadcast(read_small(vocabulary))
+    kind = docs.schema[bound.arguments["key"]].dataType.simpleString()
+    return folded_blocks(*bound.args).mapInArrow(lean(lambda batches: digested(filled(batches), pieces_of(spec.value))), f"doc_id {kind}, {DIGESTS}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return decode_digests(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return encode_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
