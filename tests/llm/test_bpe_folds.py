@@ -4,10 +4,12 @@ import base64
 import hashlib
 import inspect
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -106,3 +108,35 @@ def test_digests_of_odd_texts_in_small_batches(spark, most):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == len(texts)
     assert sorted(r.decoded_sha256 for r in got) == sorted(hashlib.sha256((t or "").encode()).hexdigest() for t in texts)
+
+
+def test_plans_do_not_spell_the_rank_table_out(spark):
+    plan = byte_bpe.query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert len(plan) < 200_000
+
+
+def test_latin_stretches_are_matched_without_the_pattern(library):
+    texts = pa.array(["x Café naïve! it's a, ɐ. , ß\nEnd. no\n\nno", "y Café ÷ ab12 a,\nb", None, "", "z  joint", "Café"])
+    asked = []
+    cut = byte_bpe.Stretches(texts, lambda s: asked.append(s) or regex.findall(P.PATTERN, s))
+    assert asked == [" it's", " ɐ.", " ,", " no\n\nno", " ÷", " ab12"]
+    assert cut.distinct.take(pa.array(cut.plain)).to_pylist() == ["Café", "naïve!", "a,"] and [chr(m) for m in cut.marked] == ["\0", "!", ","]
+    odd = cut.distinct.take(pa.array(cut.odd)).to_pylist()
+    want = [w for s in odd for w in regex.findall(P.PATTERN, " " + s)]
+    assert odd == ["it's", "ɐ.", ",", "ß\nEnd.", "no\n\nno", "÷", "ab12", "a,\nb"] and cut.parts.sum() == len(want)
+    assert [w.decode() for w in cut.words.to_pylist()] == [" Café", " naïve", " a", *want] and cut.alone == ["x", "y", "", "", "z  joint", "Café"]
+
+
+def test_words_are_looked_up_together_as_one_by_one():
+    draw = random.Random(4)
+    words = list({bytes(draw.choices(b"abc\xff", k=draw.randint(1, 48))) for _ in range(3000)} | {b" " * n for n in range(1, 49)})
+    there, mask = sorted(words[::2], key=lambda w: zlib.crc32(w) & 255), 255
+    entries = [len(w).to_bytes(2, "little") + (4 * (len(w) % 3 + 1)).to_bytes(2, "little") + w + w[:1] * (4 * (len(w) % 3 + 1)) for w in there]
+    sizes = np.bincount([zlib.crc32(w) & mask for w in there], [len(e) for e in entries], mask + 1)
+    known = byte_bpe.Words(np.append(0, np.cumsum(sizes)).astype("<u4").tobytes(), b"".join(entries) + bytes(8))
+    asked = [*words, b"", b"a" * 500, b"a" * 48 + b"b"]
+    counts, ids = known.get_each(pa.array([b"left out", *asked], pa.binary())[1:], 48)
+    want = [known.get(w) or b"" for w in asked]
+    assert sum(map(bool, want)) == len(there) and counts.tolist() == [len(w) // 4 for w in want] and ids.astype("<u4").tobytes() == b"".join(want)
+    none = byte_bpe.Words(np.zeros(2, "<u4").tobytes(), bytes(8))
+    assert not none.get_each(pa.array(asked, pa.binary()), 48)[0].any() and not len(known.get_each(pa.array([], pa.binary()), 48)[0])

@@ -6,7 +6,6 @@ import base64
 import hashlib
 import heapq
 import inspect
-import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -163,33 +162,89 @@ def heap_merged(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
 APART = (public_tokenizers.PATTERN,)
 
 
+def _bytes_of(those: str) -> np.ndarray:
+    return np.isin(np.arange(256), np.frombuffer(those.encode(), np.uint8))
+
+
+LETTERS = _bytes_of("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+MARKS = _bytes_of(",.;:!?")
+#: Of two bytes as one number, lower one last: whether they are a Latin letter.
+LATIN = np.zeros(1 << 16, bool)
+LATIN[[int.from_bytes(c.encode(), "big") for c in map(chr, range(0x80, 0x250)) if c.isalpha()]] = True
+WHITE = _bytes_of("".join(c for c in map(chr, range(128)) if c.isspace()))
+
+
+def flat(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings, with eight more after the last, and the bounds of each."""
+    whole = strings.cast(pa.large_binary())
+    if not len(whole):
+        return np.zeros(8, np.uint8), np.zeros(1, np.int64)
+    bounds = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    data = np.frombuffer(whole.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    return np.append(data, np.zeros(8, np.uint8)), bounds - bounds[0]
+
+
+def spans(firsts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each of ``firsts`` on, as many as ``counts`` has, one after the other."""
+    ends = np.cumsum(counts)
+    return np.repeat(firsts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Stretches:
     """A batch of texts, cut at blanks by Arrow: ``distinct`` has each stretch between blanks once, ``places`` the one at each position.
 
     ``starts`` has each text's first position; what stands there has no blank before it. Texts with a blank within a
     run of white space, which is matched as a whole, are ``joint``; ``counts`` leaves those and all first stretches out.
+    ``words`` are the matches in stretches that are counted, with the blank before them: one in each of ``plain``, Latin letters, whose mark after
+    them is in ``marked`` if it is not 0, and then, as many as ``parts`` has, in each of ``odd``, found by the pattern.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, find):
         parts = pc.split_pattern(texts.fill_null(""), " ")
         found = parts.flatten().dictionary_encode()
         self.starts = parts.offsets.to_numpy()[:-1] if len(texts) else np.zeros(0, np.int32)
-        self.places, self.distinct = found.indices.to_numpy(), found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.places, self.distinct = found.indices.to_numpy(), found.dictionary
         self.sizes = parts.value_lengths().to_numpy()
         self.later = np.ones(len(self.places), bool)
         self.later[self.starts] = False
-        white = np.array([not s or s[0].isspace() for s in self.distinct], bool)
+        data, bounds = flat(self.distinct)
+        first, size = bounds[:-1], np.diff(bounds)
+        white = (size == 0) | WHITE[data[first]]
+        beyond = np.flatnonzero((size > 0) & (data[first] >= 128))
+        white[beyond] = [s[0].isspace() for s in self.distinct.take(pa.array(beyond)).to_pylist()]
         self.joint = np.logical_or.reduceat(white[self.places] & self.later, self.starts) if len(texts) else np.zeros(0, bool)
         self.later &= ~np.repeat(self.joint, self.sizes)
         self.counts = np.bincount(self.places[self.later], minlength=len(self.distinct))
-        self.alone = [t if j else self.distinct[p] for t, j, p in zip(texts.to_pylist() if self.joint.any() else self.starts, self.joint, self.places[self.starts])]
+        heads = self.distinct.take(pa.array(self.places[self.starts])).to_pylist()
+        self.alone = [t if j else s for t, j, s in zip(texts.to_pylist() if self.joint.any() else heads, self.joint, heads)]
+        last = data[bounds[1:] - 1]
+        marked = MARKS[last] & (size > 1)
+        letter, latin = LETTERS[data], LATIN[data[:-1].astype(np.uint16) << 8 | data[1:]]
+        letter[:-1] |= latin
+        letter[1:] |= latin
+        others = np.append(0, np.cumsum(~letter))
+        plain = (size > 0) & (others[bounds[1:]] - others[first] == marked)
+        self.plain, self.odd = np.flatnonzero(plain & (self.counts > 0)), np.flatnonzero(~plain & (self.counts > 0))
+        self.marked = np.where(marked, last, 0)[self.plain]
+        letters = pc.ascii_rtrim(self.distinct.take(pa.array(self.plain)), ",.;:!?")
+        matches = [self.matches(x, find) for x in self.distinct.take(pa.array(self.odd)).to_pylist()]
+        self.parts = np.array([len(m) for m in matches], np.int64)
+        self.words = pa.concat_arrays([pc.binary_join_element_wise("", letters, " ").cast(pa.binary()), pa.array([w.encode() for m in matches for w in m], pa.binary())])
 
     @staticmethod
-    def matches(s: str, find) -> list[str]:
-        """The matches in a blank and the stretch after it; the pattern is spared for Latin letters, also before one mark."""
+    def plainly(s: str) -> list[str] | None:
+        """``s`` apart at its last character if that is a mark; None unless all others are Latin letters."""
         end = -1 if s[-1] in ",.;:!?" else len(s)
         if s[:end].isalpha() and (s.isascii() or max(s) < "\u0250"):
-            return [" " + s] if end > 0 else [" " + s[:end], s[end:]]
+            return [s] if end > 0 else [s[:end], s[end:]]
+        return None
+
+    @staticmethod
+    def matches(s: str, find) -> list[str]:
+        """The matches in a blank and the stretch after it; the pattern is spared for Latin letters, also before one mark, at either side of a line's end."""
+        head, _, tail = s.partition("\n")
+        if head and tail and (one := Stretches.plainly(head)) and (two := Stretches.plainly(tail)):
+            return [" " + one[0], *one[1:], "\n", *two]
         return find(" " + s)
 
 
@@ -198,11 +253,20 @@ def word_counts(docs: DataFrame, pattern: str, longest: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, counts = regex.compile(pattern).findall, Counter()
+        found: list[tuple[pa.Array, np.ndarray]] = []
+
+        def rows(words: pa.Array, numbers: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([words, pa.array(numbers, pa.int64())], names=["word", "n"])
 
         def out() -> pa.RecordBatch:
             made = [(raw, n) for raw, n in ((w.encode(), n) for w, n in counts.items()) if len(raw) <= longest]
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in made], pa.binary()), pa.array([n for _, n in made], pa.int64())], names=["word", "n"])
+            return rows(pa.array([w for w, _ in made], pa.binary()), np.array([n for _, n in made], np.int64))
+
+        def summed() -> pa.RecordBatch:
+            words, numbers = pa.concat_arrays([w for w, _ in found]).dictionary_encode(), np.concatenate([n for _, n in found])
+            found.clear()
+            return rows(words.dictionary, np.bincount(words.indices.to_numpy(), numbers, len(words.dictionary)).astype(np.int64))
 
         def whole(texts: list[str | None]) -> Iterator[pa.RecordBatch]:
             for text in texts:
@@ -215,15 +279,19 @@ def word_counts(docs: DataFrame, pattern: str, longest: int) -> DataFrame:
             if pattern not in APART:
                 yield from whole(batch.column(0).to_pylist())
                 continue
-            cut = Stretches(batch.column(0))
-            for s, n in zip(cut.distinct, cut.counts.tolist(), strict=True):
-                if n:
-                    for word in cut.matches(s, find):
-                        if len(word) <= longest:
-                            counts[word] += n
+            cut = Stretches(batch.column(0), find)
+            numbers = np.append(cut.counts[cut.plain], np.repeat(cut.counts[cut.odd], cut.parts))
+            fits = pc.less_equal(pc.binary_length(cut.words), longest)
+            found.append((cut.words.filter(fits), numbers[fits.to_numpy(zero_copy_only=False)]))
+            marks = np.bincount(cut.marked, cut.counts[cut.plain], 256).astype(np.int64)
+            counts.update({chr(m): int(marks[m]) for m in np.flatnonzero(marks[1:]) + 1})
+            if sum(len(w) for w, _ in found) > 600_000:
+                yield summed()
             yield from whole(cut.alone)
             if len(counts) > 300_000:
                 yield out()
+        if found:
+            yield summed()
         yield out()
 
     return docs.select("text").mapInArrow(lean(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -245,6 +313,33 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where((F.col("n") > 1) & (kind >= least))
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = table >> 1 ^ np.where(table & 1, np.uint32(0xEDB88320), np.uint32(0))
+    return table
+
+
+CRC_TABLE = _crc_table()
+
+
+def crc32s(data: np.ndarray, firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The CRC-32 of each stretch of ``data``, byte after byte of all of them."""
+    order = np.argsort(-sizes, kind="stable")
+    at, falling, state = firsts[order], -sizes[order], np.full(len(sizes), 0xFFFFFFFF, np.uint32)
+    for k in range(-falling[0] if len(falling) else 0):
+        some = state[: np.searchsorted(falling, -k)]  # those of more than k bytes
+        some[:] = CRC_TABLE[(some ^ data[at[: len(some)] + k]) & 255] ^ some >> 8
+    found = np.empty_like(state)
+    found[order] = ~state
+    return found
+
+
+def numbers_at(data, kind: str) -> np.ndarray:
+    """The numbers of ``kind`` that begin at each byte of ``data``, as a view."""
+    return np.ndarray(max(0, len(data) - np.dtype(kind).itemsize + 1), kind, data, strides=(1,))
+
+
 class Words:
     """Words and their ids in one string of bytes, ordered by bucket: lengths in two bytes each, the word, its ids. Buckets are by CRC-32."""
 
@@ -263,6 +358,30 @@ class Words:
             at = after
         return None
 
+    def get_each(self, words: pa.Array, longest: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of ``words`` has, 0 where it is not there, and all these ids. No entry's word is over ``longest`` bytes, and eight bytes follow the last entry."""
+        data, bounds = flat(words)
+        firsts, sizes = bounds[:-1], np.diff(bounds)
+        short, own, theirs = numbers_at(self.entries, "<u2"), numbers_at(data, "<u8"), numbers_at(self.entries, "<u8")
+        starts, buckets = np.asarray(self.starts), crc32s(data, firsts, np.minimum(sizes, longest)) & np.uint32(self.mask)
+        at, ends = starts[buckets].astype(np.int64), starts[buckets + 1].astype(np.int64)
+        begin, counts, left = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.flatnonzero(at < ends)
+        while len(left):
+            here = at[left]
+            length, n = short[here].astype(np.int64), short[here + 2].astype(np.int64)
+            same = np.flatnonzero(length == sizes[left])
+            for k in range(0, int(length[same].max(initial=0)), 8):
+                rest = length[same] - k
+                spare = np.clip(8 - rest, 0, 7).astype(np.uint64) * np.uint64(8)
+                most = np.where(rest > 0, k, 0)  # a word that has ended is compared from its start again
+                unlike = own[firsts[left[same]] + most] ^ theirs[here[same] + 4 + most]
+                same = same[(rest <= 0) | (unlike << spare == 0)]
+            begin[left[same]], counts[left[same]] = (here + 4 + length)[same], n[same] >> 2
+            at[left] = here + 4 + length + n
+            at[left[same]] = ends[left[same]]
+            left = left[at[left] < ends[left]]
+        return counts, numbers_at(self.entries, "<u4")[np.repeat(begin, counts) + 4 * spans(np.zeros(len(counts), np.int64), counts)]
+
     @staticmethod
     def packed(words: DataFrame, fold, buckets: int) -> tuple[bytes, bytes]:
         """The two parts, of ``words`` with ids by ``fold``; tasks hold ranges of buckets, so that the driver only joins strings."""
@@ -288,28 +407,39 @@ class Words:
         parts = words.sparkSession.sparkContext.defaultParallelism
         placed = words.select("word", F.crc32("word").bitwiseAND(F.lit(buckets - 1).cast("bigint")).alias("bucket")).repartitionByRange(parts, "bucket")
         spelt = placed.mapInArrow(lean(spell), "word binary, bucket long, state array<bigint>")
-        made = spelt.select("word", "bucket", fold.ids("state").alias("ids")).mapInArrow(lean(pack), "first long, buckets binary, sizes binary, entries binary")
+        made = fold.ids(spelt, "state", "ids").mapInArrow(lean(pack), "first long, buckets binary, sizes binary, entries binary")
         rows = sorted(made.where(F.length("buckets") > 0).collect(), key=lambda r: r["first"])
         found = np.frombuffer(b"".join([r["buckets"] for r in rows]), "<u4")
         sizes = np.frombuffer(b"".join([r["sizes"] for r in rows]), "<u4")
         starts = np.concatenate([[0], np.cumsum(np.bincount(found, sizes, buckets))]).astype("<u4")
-        return starts.tobytes(), b"".join([r["entries"] for r in rows])
+        return starts.tobytes(), b"".join([*(r["entries"] for r in rows), bytes(8)])
 
 
 class Fold:
-    """The fold of a vocabulary: its bytes' ids and the literal rank table."""
+    """The fold of a vocabulary: its bytes' ids and the literal rank table.
+
+    The table is a local relation of one row that a scalar subquery hands to the plan: an array literal would stand in every text of a plan, of which Spark's
+    driver keeps some for each query, with all of its 270,000 numbers.
+    """
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
         slots, self.divisors = rank_map(pair_ranks(ranks))
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.firsts = first_ranks(ranks, self.byte_ids)
-        self.table = F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<bigint>")
+        self.table = spark.createDataFrame(pa.table({"slots": pa.array([slots], pa.list_(pa.int64()))})).scalar()
+
+    def ids(self, rows: DataFrame, column: str, name: str) -> DataFrame:
+        """``rows`` with the ids of a spelled word in ``column`` as ``name``, in place of it."""
+        return self._folded(rows, column, name, lambda m: folded(F.col(column), m, self.divisors))
 
-    def ids(self, column: str) -> Column:
-        return F.get(F.transform(F.array(self.table), lambda m: folded(F.col(column), m, self.divisors)), 0)
+    def ids_each(self, rows: DataFrame, column: str, name: str) -> DataFrame:
+        """The same for an array of spelled words."""
+        return self._folded(rows, column, name, lambda m: F.transform(column, lambda w: folded(w, m, self.divisors)))
 
-    def ids_each(self, column: str) -> Column:
-        return F.get(F.transform(F.array(self.table), lambda m: F.transform(column, lambda w: folded(w, m, self.divisors))), 0)
+    def _folded(self, rows: DataFrame, column: str, name: str, use) -> DataFrame:
+        """Subqueries must not stand within higher-order functions, so the table has a column of its own, which Spark collapses with the next."""
+        others = [c for c in rows.columns if c != column]
+        return rows.select("*", self.table.alias("_ranks")).select(*others, F.get(F.transform(F.array("_ranks"), use), 0).alias(name))
 
 
 _pairs: dict[str, dict] = {}
@@ -335,7 +465,7 @@ def folded_blocks(docs: DataFrame, vocabulary: str, pattern: str, most: int, lon
     """Blocks of (keys, streams of ids with holes, ids of the words that fill them), of ``encode``'s arguments; see ``filled``."""
     spark = docs.sparkSession
     text = read_small(vocabulary)
-    fold = Fold(read_ranks(text))
+    fold = Fold(spark, read_ranks(text))
     byte_ids, firsts = fold.byte_ids, fold.firsts
     chosen = docs.select(F.col(key).alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = stored(word_counts(chosen, pattern, longest), "bpe-words")
@@ -345,9 +475,10 @@ def folded_blocks(docs: DataFrame, vocabulary: str, pattern: str, most: int, lon
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of (keys, streams of ids with holes, spelled words missing from the map). A hole is 2**31 + its place among the missing."""
-        find, known = regex.compile(pattern).findall, Words(*shared.value).get
-        #: Ids of what was seen: words all of them known, words with holes of this block, and what stands after a blank up to the next, all known.
-        words, open_words, after_blank = {}, {}, {}
+        find, shared_words = regex.compile(pattern).findall, Words(*shared.value)
+        known = shared_words.get
+        #: Ids of what was seen: words all of them known, and words with holes of this block.
+        words, open_words = {}, {}
         keys, streams, missing, chars = [], [], {}, 0
         key_kind = None
 
@@ -377,33 +508,36 @@ def folded_blocks(docs: DataFrame, vocabulary: str, pattern: str, most: int, lon
         def by_words(value: str | None) -> bytes:
             return b"".join([words.get(w) or open_words.get(w) or of_word(w) for w in find(value)]) if value else b""
 
-        def of_stretch(s: str, n: int) -> bytes:
-            """What recurs within one batch is kept for the next ones."""
-            parts, whole = [], True
-            for word in Stretches.matches(s, find):
-                raw = word.encode()
-                ids = known(raw) if len(raw) <= longest else None
-                if ids is None:
-                    ids, whole = hole(raw), False
-                parts.append(ids)
-            made = b"".join(parts)
-            if whole and n > 1:
-                kept(after_blank, s, made)
-            return made
-
         def by_stretches(texts: pa.Array) -> list[bytes]:
-            cut = Stretches(texts)
-            made = [n and (after_blank.get(s) or of_stretch(s, n)) or b"" for s, n in zip(cut.distinct, cut.counts.tolist(), strict=True)]
-            made += map(by_words, cut.alone)
+            cut = Stretches(texts, find)
+            counts, ids = shared_words.get_each(cut.words, longest)
+            lacking, mark = np.flatnonzero(counts == 0), np.flatnonzero(cut.marked)
+            open_ids = [hole(w) for w in cut.words.take(pa.array(lacking)).to_pylist()]
+            alone = [by_words(t) for t in cut.alone]
+            #: The ids of each word, and the mark's after them, then those of each text's first stretch or of the whole text.
+            sizes = np.concatenate([counts, [len(x) // 4 for x in alone]]).astype(np.int64)
+            sizes[lacking] = [len(x) // 4 for x in open_ids]
+            sizes[mark] += 1
+            firsts = np.cumsum(sizes) - sizes
+            pool = np.empty(sizes.sum(), np.uint32)
+            pool[spans(firsts[: len(counts)], counts)] = ids
+            pool[spans(firsts[lacking], sizes[lacking] - np.isin(lacking, mark))] = np.frombuffer(b"".join(open_ids), "<u4")
+            pool[firsts[mark] + sizes[mark] - 1] = byte_ids[cut.marked[mark]]
+            pool[len(pool) - sizes[len(counts) :].sum() :] = np.frombuffer(b"".join(alone), "<u4")
+            n_plain, n = len(cut.plain), len(cut.distinct)
+            begin, length = np.zeros(n + len(alone), np.int64), np.zeros(n + len(alone), np.int64)
+            begin[cut.plain], length[cut.plain] = firsts[:n_plain], sizes[:n_plain]
+            if len(cut.odd):
+                parts = n_plain + np.cumsum(cut.parts) - cut.parts
+                begin[cut.odd], length[cut.odd] = firsts[parts], np.add.reduceat(sizes[: len(counts)], parts)
+            begin[n:], length[n:] = firsts[len(counts) :], sizes[len(counts) :]
             places = np.where(cut.later, cut.places, 0)
-            places[cut.starts] = len(cut.distinct) + np.arange(len(cut.starts))
-            sizes = np.array([len(m) // 4 for m in made])
-            counts = np.where(cut.later, sizes[places], 0)
-            counts[cut.starts] = sizes[places[cut.starts]]
-            ends = np.cumsum(counts)
-            at = np.repeat((np.cumsum(sizes) - sizes)[places] - ends + counts, counts) + np.arange(counts.sum())
-            data = np.frombuffer(b"".join(made), "<u4")[at].tobytes()
-            bounds = [0, *(4 * ends[cut.starts + cut.sizes - 1]).tolist()]
+            places[cut.starts] = n + np.arange(len(alone))
+            used = cut.later.copy()
+            used[cut.starts] = True
+            counts = np.where(used, length[places], 0)
+            data = pool[spans(begin[places], counts)].astype("<u4", copy=False).tobytes()
+            bounds = [0, *(4 * np.cumsum(counts)[cut.starts + cut.sizes - 1]).tolist()]
             return [data[a:b] for a, b in zip(bounds, bounds[1:])]
 
         def out() -> pa.RecordBatch:
@@ -432,7 +566,7 @@ def folded_blocks(docs: DataFrame, vocabulary: str, pattern: str, most: int, lon
             yield out()
 
     blocks = chosen.mapInArrow(lean(look_up), f"keys array<{kind}>, streams array<binary>, missing array<array<bigint>>")
-    return blocks.select("keys", "streams", fold.ids_each("missing").alias("found"))
+    return fold.ids_each(blocks, "missing", "found")
 
 
 def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
