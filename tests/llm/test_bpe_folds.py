@@ -140,3 +140,13 @@ def test_words_are_looked_up_together_as_one_by_one():
     assert sum(map(bool, want)) == len(there) and counts.tolist() == [len(w) // 4 for w in want] and ids.astype("<u4").tobytes() == b"".join(want)
     none = byte_bpe.Words(np.zeros(2, "<u4").tobytes(), bytes(8))
     assert not none.get_each(pa.array(asked, pa.binary()), 48)[0].any() and not len(known.get_each(pa.array([], pa.binary()), 48)[0])
+
+
+def test_pieces_of_many_texts_are_joined_by_one_look():
+    pieces = pa.array([b"a", b"", b"\xff\xfe", None], pa.large_binary())
+    ids = pa.array([[9], [0, 2, 1], [], [2], [0] * 5], pa.list_(pa.int32()))[1:]
+    assert [bytes(d) for d in byte_bpe.joined_each(ids, pieces)] == [b"a\xff\xfe", b"", b"\xff\xfe", b"aaaaa"]
+    assert [bytes(d) for d in byte_bpe.joined_each(ids[1:2], pieces)] == [b""] and byte_bpe.joined_each(ids[:0], pieces) == []
+    for wrong in ([4], [-1], [3], [0, None]):
+        with pytest.raises(ValueError, match="vocabulary"):
+            byte_bpe.joined_each(pa.array([[0], wrong], pa.list_(pa.int32())), pieces)

@@ -209,8 +209,11 @@ class Stretches:
         self.later[self.starts] = False
         data, bounds = flat(self.distinct)
         first, size = bounds[:-1], np.diff(bounds)
+        letter, latin = LETTERS[data], LATIN[data[:-1].astype(np.uint16) << 8 | data[1:]]
+        letter[:-1] |= latin
+        letter[1:] |= latin
         white = (size == 0) | WHITE[data[first]]
-        beyond = np.flatnonzero((size > 0) & (data[first] >= 128))
+        beyond = np.flatnonzero((size > 0) & (data[first] >= 128) & ~letter[first])
         white[beyond] = [s[0].isspace() for s in self.distinct.take(pa.array(beyond)).to_pylist()]
         self.joint = np.logical_or.reduceat(white[self.places] & self.later, self.starts) if len(texts) else np.zeros(0, bool)
         self.later &= ~np.repeat(self.joint, self.sizes)
@@ -219,9 +222,6 @@ class Stretches:
         self.alone = [t if j else s for t, j, s in zip(texts.to_pylist() if self.joint.any() else heads, self.joint, heads)]
         last = data[bounds[1:] - 1]
         marked = MARKS[last] & (size > 1)
-        letter, latin = LETTERS[data], LATIN[data[:-1].astype(np.uint16) << 8 | data[1:]]
-        letter[:-1] |= latin
-        letter[1:] |= latin
         others = np.append(0, np.cumsum(~letter))
         plain = (size > 0) & (others[bounds[1:]] - others[first] == marked)
         self.plain, self.odd = np.flatnonzero(plain & (self.counts > 0)), np.flatnonzero(~plain & (self.counts > 0))
@@ -631,13 +631,27 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     return rows.mapInArrow(lean(run), schema)
 
 
+def joined_each(ids: pa.ListArray, pieces: pa.LargeBinaryArray) -> list[memoryview]:
+    """``joined`` for each of ``ids``, by one look at ``pieces``."""
+    codes, ends = ids.flatten(), np.append(0, np.cumsum(ids.value_lengths().to_numpy()))
+    if codes.null_count or len(codes) and not 0 <= pc.min(codes).as_py() <= pc.max(codes).as_py() < len(pieces):
+        raise ValueError("an id is not in the vocabulary")
+    found = pieces.take(codes)
+    if found.null_count:
+        raise ValueError("an id is not in the vocabulary")
+    if not len(found):
+        return [memoryview(b"")] * len(ids)
+    bounds, data = np.frombuffer(found.buffers()[1], np.int64)[ends].tolist(), memoryview(found.buffers()[2] or b"")
+    return [data[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
 def digested(batches: Iterator[pa.RecordBatch], pieces: np.ndarray) -> Iterator[pa.RecordBatch]:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of rows of doc_id and ids."""
+    known = pa.array(pieces, pa.large_binary())
     for batch in batches:
         rows = []
-        for ids in batch.column(1):
+        for ids, data in zip(batch.column(1), joined_each(batch.column(1), known), strict=True):
             codes = ids.values.to_numpy()
-            data = joined(codes, pieces)
             rows.append((len(codes), hashlib.sha256(codes.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(data).hexdigest()))
         columns = [pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2))]
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
