@@ -43,6 +43,21 @@ def test_wide_graph_features_are_rounded_in_tasks(spark):
     assert sorted(map(tuple, made.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_wide_graph_features_are_joined_by_item_only_and_tasks_go_by_rows(spark):
+    random = np.random.default_rng(5)
+    events = [(s, p, int(random.integers(12)), 10**9 - 40_000 * p, int(random.integers(3))) for s in range(40) for p in range(1, (3, 9, 70)[s % 3])]
+    pre = spark.createDataFrame(events, "session long, pos long, aid long, ts long, event_type long")
+    cand = spark.createDataFrame([(s, i) for s in range(40) for i in range(s % 2, 30, 2)], "session long, aid long")
+    edges = spark.createDataFrame([(a, b, *random.random(3).tolist()) for a in range(10) for b in range(40) if random.random() < 0.3], "source_aid long, target_aid long, time_score double, cart_score double, order_score double")
+    made = wide.graph_columns(cand, pre, edges, 5, NUDGE, task_rows=50, batch_rows=7)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # it was a join by item, then one by session and item
+    assert made.rdd.getNumPartitions() == cand.count() // 50
+    names = ["session", "aid", *wide.GRAPH_NAMES]
+    got = {(r[0], r[1]): r[2:] for r in made.select(names).collect()}
+    want = {(r.session, r.aid): tuple(np.floor((np.array(r.graph) + NUDGE) * 1e5 + 0.5) / 1e5) for r in wide.kernel(cand, pre, edges).collect()}
+    assert got == want and len(got) == 600
+
+
 def joined(s: Steps, role: str):
     """The studied matrix by a join for each family, as its parts are defined."""
     cand, pre = s.candidates_of(role), s.role(role)
