@@ -118,6 +118,17 @@ def test_evaluation_writes_places_but_no_matrix(spark):
     assert "standings" in names() and "matrix-evaluation" not in names()
 
 
+def test_rankers_are_fitted_on_all_rows_of_all_sessions(spark):
+    s = Steps(spark, "/root/testdata/sf0.01")
+    sessions = {r["split_role"]: r["count"] for r in s.qs.groupBy("split_role").count().collect()}
+    for role in ("fit", "selection"):
+        assert s.whole.candidates_of(role).select("session").distinct().count() == sessions[role] > s.candidates_of(role).select("session").distinct().count()
+    rows = s.whole.candidates_of("fit").count()
+    for group in study_queries.sealed(s).values():
+        assert {int(tree.cover[0]) for model in group.values() for tree in model.trees} == {rows}
+    assert registry.QUERIES["ablation_audit"](spark, s.dir).count() == 24  # raises if a recall is not that of all selection sessions
+
+
 def test_systems_meet_labels_without_scoring_or_ranking_again(spark):
     s = Steps(spark, "/root/testdata/sf0.01")
     made = study_queries.systems(s).where("system = 'selected'").select("session", "objective", "hits", "ndcg", "mrr")
